@@ -108,7 +108,7 @@ def decisions(gold: DataFrame, texts: DataFrame, patterns: Mapping[str, str], po
         *[
             F.struct(
                 F.lit(name).alias("pattern"),
-                F.exists(matches(text, IGNORE_CASE + p), lambda m: m["start"] == offset).alias("fired"),
+                F.exists(matches("text", IGNORE_CASE + p), lambda m: m["start"] == offset).alias("fired"),
             )
             for name, p in patterns.items()
         ]

@@ -22,14 +22,13 @@ def dossier(provisions: DataFrame, ranks: DataFrame, lexicon: Lexicon = SWEDISH)
     ``ranks`` is the ranked shortlist (provision_id, rank). The spans come from the
     provision's own text, so only the rank needs a join.
     """
-    text = F.col("text")
     graded = score(provisions.select("provision_id", "text"), lexicon).drop("determinacy")
     graded = with_qualifier_determinacy(with_determinacy(graded, lexicon), lexicon)
     wide = graded.withColumns(
         {
-            "marker_spans": ordered_hits(text, lexicon),
-            "qualifier_clauses": qualifier_clauses(text, lexicon),
-            "ceiling_flags": F.filter(ceiling_windows(text, lexicon), lambda w: w["has_bound"]),
+            "marker_spans": ordered_hits("text", lexicon),
+            "qualifier_clauses": qualifier_clauses("text", lexicon),
+            "ceiling_flags": F.filter(ceiling_windows("text", lexicon), lambda w: w["has_bound"]),
         }
     )
     return (

@@ -12,7 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from normtext.functions.text import IGNORE_CASE, around, distinct_lower, matches, one_line
+from normtext.functions.text import (
+    IGNORE_CASE,
+    around,
+    distinct_lower,
+    matches,
+    matches_sql,
+    one_line,
+    sql_literal,
+)
 from normtext.lexicon import SWEDISH, Lexicon, Marker
 
 HIT_TYPE = (
@@ -21,31 +29,30 @@ HIT_TYPE = (
 )
 
 
-def hits(text: Column, lexicon: Lexicon = SWEDISH, markers: Sequence[Marker] | None = None) -> Column:
+def hits(
+    text: str = "text",
+    lexicon: Lexicon = SWEDISH,
+    markers: Sequence[Marker] | None = None,
+    ahead: str | None = None,
+) -> Column:
     """All occurrences of all markers as an array of structs, marker by marker.
 
     Overlaps between different markers are kept: each marker is scanned alone.
     """
-    places = {m: i for i, m in enumerate(lexicon.markers)}
-
-    def of_marker(m: Marker) -> Column:
-        def entry(match: Column) -> Column:
-            return F.struct(
-                F.lit(m.category).alias("category"),
-                F.lit(m.marker).alias("marker"),
-                F.lit(places[m]).alias("position"),
-                match["span"].alias("matched_span"),
-                match["start"].alias("char_offset"),
-                match["end"].alias("char_end"),
-            )
-
-        return F.transform(matches(text, IGNORE_CASE + m.pattern), entry)
-
-    per_marker = [of_marker(m) for m in (lexicon.markers if markers is None else markers)]
-    return F.concat(*per_marker).cast(HIT_TYPE) if per_marker else F.array().cast(HIT_TYPE)
+    chosen = lexicon.markers if markers is None else markers
+    extra = ", 'ahead', m.ahead" if ahead else ""
+    hit_type = HIT_TYPE.replace(">>", ",ahead:string>>") if ahead else HIT_TYPE
+    per_marker = ", ".join(
+        f"transform({matches_sql(text, IGNORE_CASE + m.pattern, ahead)}, m -> named_struct("
+        f"'category', {sql_literal(m.category)}, 'marker', {sql_literal(m.marker)},"
+        f" 'position', {lexicon.markers.index(m)}, 'matched_span', m.span,"
+        f" 'char_offset', m.start, 'char_end', m.end{extra}))"
+        for m in chosen
+    )
+    return F.expr(f"cast(concat({per_marker}) AS {hit_type})" if chosen else f"cast(array() AS {hit_type})")
 
 
-def ordered_hits(text: Column, lexicon: Lexicon = SWEDISH) -> Column:
+def ordered_hits(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
     """The hits in reading order: by start, the longer one first, then by marker."""
     keyed = F.transform(
         hits(text, lexicon),
@@ -56,7 +63,7 @@ def ordered_hits(text: Column, lexicon: Lexicon = SWEDISH) -> Column:
 
 def marker_hits(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] = ("provision_id",)) -> DataFrame:
     """One row per occurrence, over every provision, with verbatim span and offsets."""
-    return df.select(*keep, F.explode(hits(F.col("text"), lexicon)).alias("_h")).select(*keep, "_h.*")
+    return df.select(*keep, F.explode(hits("text", lexicon)).alias("_h")).select(*keep, "_h.*")
 
 
 def fires(text: Column, marker: Marker) -> Column:
@@ -113,24 +120,22 @@ def with_determinacy(df: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
     )
 
 
-def qualifier_clauses(text: Column, lexicon: Lexicon = SWEDISH) -> Column:
+def qualifier_clauses(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
     """The clause each qualifier hit opens: up to the next ``.,;:`` or the end of the text."""
 
     def clause(hit: Column) -> Column:
-        rest = F.substring(text, hit["char_end"] + 1, F.length(text))
-        tail = F.regexp_extract(rest, r"^[^.,;:]*", 0)
         return F.struct(
             hit["marker"].alias("marker"),
-            F.concat(hit["matched_span"], tail).alias("clause"),
+            F.concat(hit["matched_span"], hit["ahead"]).alias("clause"),
             hit["char_offset"].alias("clause_start"),
-            (hit["char_end"] + F.length(tail)).cast("int").alias("clause_end"),
+            (hit["char_end"] + F.length(hit["ahead"])).cast("int").alias("clause_end"),
         )
 
-    return F.transform(hits(text, lexicon, lexicon.of("qualifier")), clause)
+    return F.transform(hits(text, lexicon, lexicon.of("qualifier"), ahead=r"[^.,;:]*"), clause)
 
 
 def qualifier_spans(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] = ("provision_id",)) -> DataFrame:
-    clauses = F.explode(qualifier_clauses(F.col("text"), lexicon))
+    clauses = F.explode(qualifier_clauses("text", lexicon))
     return df.select(*keep, clauses.alias("_q")).select(*keep, "_q.*")
 
 
@@ -144,7 +149,7 @@ def _clause_terms(clauses: Column, pattern: str) -> Column:
 def with_qualifier_determinacy(df: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
     """The rung reached inside the qualifier clauses only, with the terms behind it."""
     clauses = F.col("_clauses")
-    graded = df.withColumn("_clauses", qualifier_clauses(F.col("text"), lexicon)).withColumns(
+    graded = df.withColumn("_clauses", qualifier_clauses("text", lexicon)).withColumns(
         {
             "qualifier_specific": _clause_terms(clauses, lexicon.specific),
             "qualifier_vague": _clause_terms(clauses, lexicon.vague),
@@ -154,23 +159,23 @@ def with_qualifier_determinacy(df: DataFrame, lexicon: Lexicon = SWEDISH) -> Dat
     return graded.withColumn("qualifier_determinacy", rung).drop("_clauses")
 
 
-def ceiling_windows(text: Column, lexicon: Lexicon = SWEDISH) -> Column:
+def ceiling_windows(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
     """Each opener with the characters after it, and whether a bound word stands there."""
 
     def window(hit: Column) -> Column:
-        width = hit["end"] - hit["start"] + lexicon.ceiling_window
-        span = F.substring(text, hit["start"] + 1, width)
+        span = F.concat(hit["span"], hit["ahead"])
         return F.struct(
             hit["start"].alias("char_offset"),
             one_line(span).alias("window"),
             span.rlike(IGNORE_CASE + lexicon.ceiling_bound).alias("has_bound"),
         )
 
-    return F.transform(matches(text, IGNORE_CASE + lexicon.ceiling_opener), window)
+    after = f"(?s:.{{0,{lexicon.ceiling_window}}})"
+    return F.transform(matches(text, IGNORE_CASE + lexicon.ceiling_opener, after), window)
 
 
 def ceiling_flags(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] = ("provision_id",)) -> DataFrame:
-    windows = F.explode(ceiling_windows(F.col("text"), lexicon))
+    windows = F.explode(ceiling_windows("text", lexicon))
     return df.select(*keep, windows.alias("_w")).select(*keep, "_w.*")
 
 
@@ -191,7 +196,7 @@ def layer_spans(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] =
     """
     text = F.col("text")
     found = F.col("_hits")
-    cut = df.select(*keep, text, ordered_hits(text, lexicon).alias("_hits")).withColumn(
+    cut = df.select(*keep, text, ordered_hits("text", lexicon).alias("_hits")).withColumn(
         "_edges",
         F.array_sort(
             F.array_distinct(
@@ -245,7 +250,9 @@ def layer_spans(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] =
             F.max("end").alias("end"),
             F.max("piece_text").alias("piece_text"),
             F.array_sort(F.collect_list(F.struct("span.seq", "span.category", "span.marker", "span.width"))).alias("_all"),
-            F.min_by("span.category", F.struct("span.width", "span.seq")).alias("narrowest"),
+            F.min_by(
+                "span.category", F.when(F.col("span").isNotNull(), F.struct("span.width", "span.seq"))
+            ).alias("narrowest"),
         )
         .withColumn("_all", F.filter("_all", lambda s: s["seq"].isNotNull()))
         .withColumn(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normtext.lexicon import Lexicon, Marker
+from normtext.session import spread
 
 STAND_IN = Lexicon(
     markers=(
@@ -37,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the lineage columns a bronze row has."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     document_id = F.concat(F.lit("doc-"), F.col("doc_id"))
     return docs.select(
         document_id.alias("document_id"),

@@ -156,7 +156,7 @@ def ceiling_flags(spark, sf_dir):
 )
 def ceiling_scan(spark, sf_dir):
     gated = shortlist.score(provisions(spark, sf_dir), STAND_IN).where(F.col("score").isNotNull())
-    windows = markers.ceiling_windows(F.col("text"), STAND_IN)
+    windows = markers.ceiling_windows("text", STAND_IN)
     seen = gated.select(F.transform(windows, lambda w: w["has_bound"]).alias("bounds"))
     opener, flagged = F.size("bounds") > 0, F.exists("bounds", lambda b: b)
     return seen.agg(
@@ -251,7 +251,7 @@ def _gold(spark, sf_dir):
         F.concat(F.lit("doc-"), "doc_id").alias("document_id"),
         F.when(F.col("quality") == 1, "conditional").otherwise("spurious").alias("label"),
     )
-    current = markers.matches(F.col("text"), markers.IGNORE_CASE + COMPARED["current"])
+    current = markers.matches("text", markers.IGNORE_CASE + COMPARED["current"])
     found = provisions(spark, sf_dir).select("document_id", "provision_id", F.explode(current).alias("m"))
     return found.join(labels, "document_id").select(
         "provision_id", F.col("m.start").alias("char_offset"), F.col("m.span").alias("span"), "label"
@@ -319,7 +319,7 @@ SAMPLED = STAND_IN.markers[2]
 def _sampling_pool(spark, sf_dir, english: bool):
     texts = provisions(spark, sf_dir)
     texts = texts.where(F.col("chapter") == "en") if english else texts
-    found = markers.hits(F.col("text"), STAND_IN, [SAMPLED])
+    found = markers.hits("text", STAND_IN, [SAMPLED])
     hits = texts.select("provision_id", F.explode(found).alias("h")).select("provision_id", "h.*")
     return hits, shortlist.shortlist(texts, STAND_IN)
 

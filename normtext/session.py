@@ -62,3 +62,13 @@ def stable(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a heavy per-row scan enough tasks when the input has only a few splits.
+
+    A small file is one split and would keep one core busy. Large inputs already
+    have more splits than the cluster has cores and pass through unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df

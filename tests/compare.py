@@ -86,6 +86,7 @@ def main():
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = build_session(
         master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g",
+        spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
