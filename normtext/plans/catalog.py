@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["selection"]
+AREAS = ["selection", "tables"]
 
 
 def _merge(attribute: str) -> dict:
