@@ -18,13 +18,14 @@ def sql_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches_sql(text: str, pattern: str, ahead: str | None = None) -> str:
+def matches_sql(text: str, pattern: str, ahead: str | None = None, computed: bool = False) -> str:
     """SQL for every match of ``pattern`` in the SQL expression ``text``.
 
     array<struct<span, start, end, ahead>> in text order. The gaps between the
     matches and the matches themselves tile the text, so a running sum of their
     lengths gives the offsets. ``ahead`` is a pattern for text to read after each
-    match without consuming it. The pattern must not match the empty string.
+    match without consuming it. The pattern must not match the empty string. With
+    ``computed`` the pattern is itself an SQL expression, one pattern per row.
 
     The fold appends to a short block and the block to the result, because
     appending to one array copies it and would make a text with many matches
@@ -33,7 +34,7 @@ def matches_sql(text: str, pattern: str, ahead: str | None = None) -> str:
     """
     flags = next((f for f in (IGNORE_CASE, UNICODE) if pattern.startswith(f)), "")
     body = pattern[len(flags) :]
-    regex = sql_literal(pattern)
+    regex = pattern if computed else sql_literal(pattern)
     spans = f"regexp_extract_all({text}, {regex}, 0)"
     if ahead is None:
         tails = f"transform({spans}, s -> '')"
@@ -137,5 +138,6 @@ def occurrences(text: Column, quote: Column) -> Column:
 def spaced_pattern(quote: Column) -> Column:
     """A pattern for the quote's words with any whitespace between them."""
     words = F.split(squeeze(quote), " ")
-    quoted = F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
-    return F.array_join(quoted, r"\s+")
+    safe = F.transform(words, lambda w: F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")))
+    quoted = F.transform(safe, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E")))
+    return F.concat(F.lit(UNICODE), F.array_join(quoted, r"\s+"))

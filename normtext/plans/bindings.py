@@ -77,3 +77,92 @@ def provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "source_sha256",
         )
     )
+
+
+# --- Runs: conversations as chains of rewritten texts -------------------------------------------
+
+SLOTS = [  # slot_id, kind, attaches_to, quote, determinacy, modality
+    ("operator", "modality", "duty", "the", None, "binding"),
+    ("time_limit", "deadline", "duty", "of", "specific", None),
+    ("carve_out", "exception", "exception", "and", None, None),
+    ("carve_out_condition", "condition", "exception", "with", "vague", None),
+    ("cap", "bound", "ceiling", "in", "specific", None),
+    ("party", "actor", "duty", "to", None, None),
+]
+SLOT_SCHEMA = (
+    "slot_id string, kind string, attaches_to string, quote string, determinacy string, modality string"
+)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn 0 is the source text of a passage, each later turn one generation of its chain."""
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("int")
+    style = F.when(F.col("conv_id") % 2 == 0, "paraphrase").otherwise("allegorize")
+    generated = turn > 0
+    chain = F.concat(F.lit("conv-"), conv, F.lit(":"), style, F.lit(":a"))
+    return turns.select(
+        F.concat(F.lit("run-"), (F.col("conv_id") % 3).cast("string")).alias("run_id"),
+        F.concat(F.lit("conv-"), conv, F.lit(":"), turn.cast("string")).alias("text_id"),
+        F.concat(F.lit("conv-"), conv).alias("passage_id"),
+        turn.alias("generation"),
+        F.when(generated, F.concat(F.lit("conv-"), conv, F.lit(":"), (turn - 1).cast("string"))).alias("parent_text_id"),
+        F.when(generated, style).alias("style"),
+        F.when(generated, F.lit("a")).alias("variant"),
+        F.when(generated, chain).alias("chain_id"),
+        F.when(F.col("conv_id") % 4 == 0, "categorical").otherwise("statutory").alias("norm_group"),
+        F.col("text"),
+        F.sha2("text", 256).alias("text_sha256"),
+        F.length("text").alias("chars"),
+        F.col("role"),
+    )
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).where(F.col("generation") == 0)
+
+
+def source_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slot stands in a passage if its source text holds the quote."""
+    vocabulary = spark.createDataFrame(SLOTS, SLOT_SCHEMA)  # six rows
+    found = sources(spark, sf_dir).select("run_id", "text_id", "passage_id", "text")
+    return found.join(F.broadcast(vocabulary), F.contains("text", F.col("quote"))).drop("text")
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reading per text, except where the length says it was never read."""
+    return (
+        texts(spark, sf_dir)
+        .where(F.col("chars") % 7 != 0)
+        .select(
+            "run_id",
+            F.concat(F.lit("read:"), "text_id").alias("call_id"),
+            "text_id",
+            "passage_id",
+            "generation",
+            F.concat(F.lit("reader-"), F.col("role")).alias("model"),
+            "text",
+            "chars",
+        )
+    )
+
+
+def slot_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verbatim reader's answer for every slot of the passage, with the rung it saw."""
+    read = readings(spark, sf_dir)
+    slots = source_slots(spark, sf_dir).select("run_id", "passage_id", "slot_id", "quote")
+    present = F.contains("text", F.col("quote"))
+    status = F.when(F.col("chars") % 5 == 0, "uncertain").when(present, "present").otherwise("absent")
+    return read.join(slots, ["run_id", "passage_id"]).select(
+        "run_id",
+        "call_id",
+        "text_id",
+        "slot_id",
+        status.alias("status"),
+        F.when(present, F.col("quote")).alias("quote"),
+        F.concat(F.lit("note "), F.col("chars").cast("string")).alias("note"),
+        F.when(F.contains("text", F.concat("quote", F.lit(" the"))), "specific")
+        .when(F.col("chars") % 3 != 0, "vague")
+        .alias("seen_determinacy"),
+        F.when(F.contains("text", F.lit(" is ")), "binding").when(F.col("chars") % 3 != 0, "weak").alias("seen_modality"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["selection", "tables"]
+AREAS = ["selection", "tables", "drift"]
 
 
 def _merge(attribute: str) -> dict:

@@ -59,11 +59,7 @@ judged AS MATERIALIZED (
   SELECT *, CASE WHEN text = '' THEN 'no text'
     WHEN length(text) > room AND list_max([length(p) for p in parts]) > room THEN 'block exceeds the limit' END AS reason
   FROM blocks),
-walk AS (
-  WITH RECURSIVE packing AS (
-    SELECT provision_id, 1 AS i, parts, room, 1 AS part FROM judged WHERE reason IS NULL AND length(text) > room
-    UNION ALL SELECT provision_id, i + 1, parts, room, part FROM packing WHERE false)
-  SELECT * FROM packing),
+walk AS MATERIALIZED (SELECT provision_id, parts, room FROM judged WHERE reason IS NULL AND length(text) > room),
 packed AS (
   WITH RECURSIVE step AS (
     SELECT provision_id, 1 AS i, length(parts[1]) AS size, 1 AS part FROM walk
