@@ -96,7 +96,7 @@ SLOT_SCHEMA = (
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turn 0 is the source text of a passage, each later turn one generation of its chain."""
-    turns = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    turns = table(spark, sf_dir, "conversations")
     conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("int")
     style = F.when(F.col("conv_id") % 2 == 0, "paraphrase").otherwise("allegorize")
     generated = turn > 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["selection", "tables", "drift"]
+AREAS = ["selection", "tables", "drift", "experiments"]
 
 
 def _merge(attribute: str) -> dict:
