@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["selection", "tables", "drift", "experiments"]
+AREAS = ["selection", "tables", "drift", "experiments", "specs", "debates"]
 
 
 def _merge(attribute: str) -> dict:
