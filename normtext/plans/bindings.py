@@ -6,6 +6,8 @@ stand-in lexicon of frequent function words. Every binding reads its whole table
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,3 +168,39 @@ def slot_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("seen_determinacy"),
         F.when(F.contains("text", F.lit(" is ")), "binding").when(F.col("chars") % 3 != 0, "weak").alias("seen_modality"),
     )
+
+
+# --- Annotated passages and the selection axis ---------------------------------------------------
+
+NESTED_SLOTS = [dict(zip(("slot_id", "kind", "attaches_to", "quote", "determinacy", "modality"), row)) for row in SLOTS]
+
+
+def annotated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source turns with the slots whose quote they hold, as an array on the row."""
+    vocabulary = F.from_json(F.lit(json.dumps(NESTED_SLOTS)), f"array<struct<{SLOT_SCHEMA.replace(' string', ':string')}>>")
+    return sources(spark, sf_dir).select(
+        "passage_id",
+        F.col("run_id").alias("experiment"),
+        F.when(F.col("role") == "system", "inline").otherwise("statute").alias("domain"),
+        F.col("norm_group").alias("group"),
+        "text",
+        F.filter(vocabulary, lambda s: F.contains("text", s["quote"])).alias("slots"),
+    )
+
+
+GROUP_NAMES = ["virtue", "categorical", "conditional", "statutory"]
+
+
+def axis_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as axis passages; neighbours form pairs, the language is the topic."""
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    group = F.element_at(F.array(*[F.lit(g) for g in GROUP_NAMES]), (F.col("doc_id") % 4).cast("int") + 1)
+    return docs.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("passage_id"),
+        group.alias("group"),
+        F.col("lang").alias("topic"),
+        F.when(F.col("doc_id") % 40 != 1, F.concat(F.lit("pair-"), F.floor(F.col("doc_id") / 4).cast("string"))).alias("pair_id"),
+        "text",
+        F.sha2("text", 256).alias("text_sha256"),
+        F.col("source"),
+    )
