@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["selection", "tables", "drift", "experiments", "specs", "debates", "passages"]
+AREAS = ["selection", "tables", "drift", "experiments", "specs", "debates", "passages", "checks", "intake"]
 
 
 def _merge(attribute: str) -> dict:
