@@ -12,6 +12,10 @@ and its next choices are the best of its next rows on either side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,40 +23,119 @@ from normtext.functions.ordered import with_ordinal, with_running_total
 from normtext.session import stable
 
 CHUNK = 4096  # a group's request is cut into pieces of this many rows
+FEW = 1000  # up to this many targets one task settles all of them
+SPARE = 64  # rows looked at beyond what is missing, to step over controls already lost
 
 
 def _requests(asking: DataFrame) -> DataFrame:
-    """(length, step) for every row a group asks for, spread over tasks in pieces."""
+    """(length, step) for every row a group looks at, spread over tasks in pieces."""
     pieces = asking.select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("missing") - 1, F.lit(CHUNK).cast("long"))).alias("_from")
+        "length", "up", "down", "window",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("window") - 1, F.lit(CHUNK).cast("long"))).alias("_from"),
     ).repartition("length", "_from")
-    last = F.least(F.col("missing"), F.col("_from") + CHUNK) - 1
+    last = F.least(F.col("window"), F.col("_from") + CHUNK) - 1
     return pieces.select("length", "up", "down", F.explode(F.sequence("_from", last)).alias("step"))
 
 
-def _best(asking: DataFrame, controls: DataFrame) -> DataFrame:
-    """The next ``missing`` controls of each group in (distance, id) order."""
+def _looked_at(asking: DataFrame, controls: DataFrame, held: DataFrame | None) -> DataFrame:
+    """The window of each asking group on both sides, cut where it stops being complete.
+
+    Beyond its last row a side may go on, so rows are only certain up to the nearer
+    of the two window ends in (distance, id) order.
+    """
     wanted = _requests(asking)
-    side = lambda place, name: (
-        wanted.withColumn(place, F.col(name) + F.col("step"))
-        .join(controls.select(place, "control_id", "control_length"), place)
-        .select("length", "control_id", "control_length", F.lit(name).alias("side"))
+
+    def side(place: str, name: str) -> DataFrame:
+        return (
+            wanted.withColumn(place, F.col(name) + F.col("step"))
+            .join(controls.select(place, "control_id", "control_length"), place)
+            .select("length", "control_id", "control_length", F.lit(name).alias("side"))
+        )
+
+    rows = side("upward", "up").unionByName(side("downward", "down")).withColumn(
+        "place", F.struct(F.abs(F.col("control_length") - F.col("length")).alias("distance"), "control_id")
     )
-    offered = side("upward", "up").unionByName(side("downward", "down")).withColumn(
-        "distance", F.abs(F.col("control_length") - F.col("length"))
+    up, down = F.col("side") == "up", F.col("side") == "down"
+    ends = rows.groupBy("length").agg(
+        F.max(F.when(up, F.col("place"))).alias("_up"), F.count_if(up).alias("_nu"),
+        F.max(F.when(down, F.col("place"))).alias("_down"), F.count_if(down).alias("_nd"),
+    ).join(asking.select("length", "window", "missing"), "length")
+    full_up, full_down = F.col("_nu") == F.col("window"), F.col("_nd") == F.col("window")
+    limit = (
+        F.when(full_up & full_down, F.least("_up", "_down")).when(full_up, F.col("_up")).when(full_down, F.col("_down"))
     )
-    placed = with_ordinal(offered, ["length", "distance", "control_id"], "_n")
+    certain = rows.join(ends.select("length", "missing", limit.alias("_limit")), "length").where(
+        F.col("_limit").isNull() | (F.col("place") <= F.col("_limit"))
+    ).drop("_limit")
+    if held is None:
+        return certain.withColumn("open", F.lit(True))
+    holder = held.select("control_id", F.col("length").alias("_holder"))
+    return certain.join(holder, "control_id", "left").withColumn(
+        "open", F.col("_holder").isNull() | (F.col("_holder") > F.col("length"))
+    ).drop("_holder")
+
+
+def _round(asking: DataFrame, controls: DataFrame, held: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(offers, steps): the nearest open controls each group now asks for, and how far
+    its two positions move. Controls it steps over are held by a group that comes
+    first and stay out of reach."""
+    seen = stable(_looked_at(asking, controls, held))
+    placed = with_ordinal(seen.where("open"), ["length", "place"], "_n")
     first = placed.groupBy("length").agg((F.min("_n") - 1).alias("_before"))
-    return (
-        placed.join(first, "length")
-        .join(asking.select("length", "missing"), "length")
-        .where(F.col("_n") - F.col("_before") <= F.col("missing"))
-        .select("length", "control_id", "control_length", "side")
+    offers = stable(placed.join(first, "length").where(F.col("_n") - F.col("_before") <= F.col("missing")))
+    last = offers.groupBy("length").agg(F.max("place").alias("_last"), F.count("*").alias("_got"))
+    passed = (
+        seen.join(last, "length", "left")
+        .where(F.coalesce(F.col("_got"), F.lit(0)) < F.col("missing"))
+        .unionByName(
+            seen.join(last, "length").where((F.col("_got") >= F.col("missing")) & (F.col("place") <= F.col("_last")))
+        )
+    )
+    steps = passed.groupBy("length").agg(
+        F.count_if(F.col("side") == "up").alias("_up"), F.count_if(F.col("side") == "down").alias("_down")
     )
+    return offers.select("length", "control_id", "control_length"), steps
 
 
-def match_lengths(targets: DataFrame, controls: DataFrame) -> DataFrame:
-    """Rows of (passage_id, chars) on both sides -> control, matched_to, length_difference."""
+def _settle_few(wanted: DataFrame, state: DataFrame, controls: DataFrame, targets: int) -> DataFrame:
+    """The sequential rule itself, in one task, for a checked number of targets.
+
+    No target can need more than the ``targets`` nearest controls on either side,
+    so at most 2 x FEW x FEW controls take part, whatever the pool holds.
+    """
+    asking = state.withColumn("window", F.lit(targets).cast("long"))
+    rows = _requests(asking)
+    near = controls.join(rows.select((F.col("up") + F.col("step")).alias("upward")).distinct(), "upward", "left_semi").unionByName(
+        controls.join(rows.select((F.col("down") + F.col("step")).alias("downward")).distinct(), "downward", "left_semi")
+    ).select("control_id", "control_length").distinct()
+    both = near.select(F.lit(None).cast("string").alias("matched_to"), "control_id", F.col("control_length").alias("chars")).unionByName(
+        wanted.select("matched_to", F.lit(None).cast("string").alias("control_id"), F.col("length").alias("chars"))
+    )
+    schema = "passage_id string, matched_to string, chars long, length_difference long"
+    return both.coalesce(1).mapInPandas(_nearest_unused, schema)
+
+
+def _nearest_unused(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(batches), ignore_index=True)
+    takers = rows[rows.matched_to.notna()].sort_values(["chars", "matched_to"])
+    pool = rows[rows.control_id.notna()].sort_values("control_id", ignore_index=True)
+    lengths, free = pool.chars.to_numpy(dtype="int64"), np.ones(len(pool), dtype=bool)
+    out = []
+    for name, length in zip(takers.matched_to, takers.chars):
+        # The pool is in id order, so the first of the smallest distances has the lowest id.
+        distance = np.where(free, np.abs(lengths - length), np.iinfo("int64").max)
+        chosen = int(distance.argmin())
+        free[chosen] = False
+        out.append((pool.control_id[chosen], name, int(lengths[chosen]), int(lengths[chosen] - length)))
+    yield pd.DataFrame(out, columns=["passage_id", "matched_to", "chars", "length_difference"])
+
+
+def match_lengths(targets: DataFrame, controls: DataFrame, few: int = FEW) -> DataFrame:
+    """Rows of (passage_id, chars) on both sides -> control, matched_to, length_difference.
+
+    Few targets are settled in one task over their proven neighbourhood; more go
+    through distributed rounds with the same result.
+    """
     wanted = targets.select(F.col("passage_id").alias("matched_to"), F.col("chars").cast("long").alias("length"))
     pool = controls.select(F.col("passage_id").alias("control_id"), F.col("chars").cast("long").alias("control_length"))
     sizes = wanted.agg(F.count("*").alias("t")).crossJoin(pool.agg(F.count("*").alias("c"))).first()  # two counts
@@ -76,6 +159,8 @@ def match_lengths(targets: DataFrame, controls: DataFrame) -> DataFrame:
             (F.lit(sizes["c"]) - F.col("_below") + 1).alias("down"),
         )
     )
+    if sizes["t"] <= few:
+        return _settle_few(wanted, state, numbered, sizes["t"])
     held = None
     while True:
         if held is None:
@@ -85,26 +170,24 @@ def match_lengths(targets: DataFrame, controls: DataFrame) -> DataFrame:
             missing = state.join(have, "length", "left").withColumn(
                 "missing", F.col("members") - F.coalesce("_have", F.lit(0))
             ).drop("_have")
-        asking = missing.where(F.col("missing") > 0)
+        asking = missing.where(F.col("missing") > 0).withColumn("window", F.col("missing") + SPARE)
+        asking = stable(asking)
         if asking.isEmpty():
             break
-        chosen = stable(_best(asking, numbered))
-        if chosen.isEmpty():
+        offers, steps = _round(asking, numbered, held)
+        steps = stable(steps)
+        if steps.isEmpty():
             raise RuntimeError("a target length has no control left to ask")
-        moved = chosen.groupBy("length").agg(
-            F.count_if(F.col("side") == "up").alias("_up"), F.count_if(F.col("side") == "down").alias("_down")
-        )
         state = stable(
-            state.join(moved, "length", "left").select(
+            state.join(steps, "length", "left").select(
                 "length", "members",
                 (F.col("up") + F.coalesce("_up", F.lit(0))).alias("up"),
                 (F.col("down") + F.coalesce("_down", F.lit(0))).alias("down"),
             )
         )
-        offers = chosen.drop("side")
-        offers = offers if held is None else held.unionByName(offers)
+        offers = offers if held is None else held.unionByName(offers.select(*held.columns))
         # A control keeps the shortest target length that asked for it.
-        held = stable(offers.groupBy("control_id", "control_length").agg(F.min("length").alias("length")))
+        held = stable(offers.select("control_id", "control_length", "length").groupBy("control_id", "control_length").agg(F.min("length").alias("length")))
 
     # Both sides are ordered by length first and each length has as many holds as
     # members, so equal positions belong together.

@@ -58,7 +58,7 @@ def _xml(spark, sf_dir):
     """Every document as an XML payload, with planted faults by number."""
     docs = documents(spark, sf_dir)
     n = _number()
-    escaped = F.regexp_replace(F.col("text"), r"[\x00-\x08\x0B\x0C\x0E-\x1F￾￿]", "")
+    escaped = F.regexp_replace(F.col("text"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "")
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(entity))
     element = lambda tag, value: F.concat(F.lit(f"<{tag}>"), value, F.lit(f"</{tag}>"))

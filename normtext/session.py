@@ -54,14 +54,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Write the rows once to the checkpoint folder and read them back from there.
+    """Write the rows once to the shared folder and read them back from there.
 
-    Needed wherever later steps rely on the exact placement of rows (range
-    partitions, row positions): a recomputed range partitioning may sample other
-    bounds, so its result must not be computed twice.
+    Needed wherever later steps rely on values that a recomputation could change
+    (row positions after range partitioning), and to cut lineage between rounds of
+    an iteration. A written table also drops the constraints the optimizer would
+    otherwise carry from round to round.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
