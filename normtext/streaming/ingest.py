@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,20 +13,22 @@ def stream_new_documents(incoming: DataFrame, store: str, checkpoint: str, key:
     """Appends every snapshot not yet in ``store``, and ends when the input is used up.
 
     A batch may be replayed after a failure: its rows are written under its own
-    batch folder, which a replay overwrites, so nothing is stored twice. The stored
-    ids are read without that folder for the same reason.
+    stream and batch folder, which only a replay overwrites, so nothing is stored
+    twice. The stored ids are read without that folder for the same reason. Another
+    checkpoint is another stream and never touches this one's folders.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
         try:
-            known = spark.read.parquet(store).where(F.col("batch") != batch_id).select(key)
+            known = spark.read.parquet(store).where((F.col("stream") != stream) | (F.col("batch") != batch_id)).select(key)
             fresh = fresh.join(known, key, "left_anti")
         except Exception as error:  # the first batch finds no store yet
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={batch_id}")
 
     return (
         incoming.writeStream.foreachBatch(append)

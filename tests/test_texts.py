@@ -176,3 +176,4 @@ def test_stream_restart_adds_nothing_twice(spark, tmp_path):
     assert run(checkpoint) == ["a", "b"]
     spark.createDataFrame([("b", "2"), ("c", "1")], schema).write.mode("append").parquet(source)
     assert run(checkpoint) == ["a", "b", "c"]
+    assert run(checkpoint + "-other") == ["a", "b", "c"]
