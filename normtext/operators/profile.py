@@ -12,6 +12,7 @@ from normtext.functions.ordered import with_running_total
 from normtext.functions.text import IGNORE_CASE
 from normtext.lexicon import CATEGORIES, SWEDISH, Lexicon
 from normtext.operators.shortlist import any_of, fires
+from normtext.session import stable
 
 PERCENTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
@@ -80,9 +81,9 @@ def length_position(provisions: DataFrame, chosen: DataFrame) -> DataFrame:
     Counted once per distinct length, so the running total runs over lengths and
     not over provisions.
     """
-    lengths = provisions.groupBy("char_count").agg(F.count("*").alias("_n"))
+    lengths = stable(provisions.groupBy("char_count").agg(F.count("*").alias("_n")))
     below = with_running_total(lengths, ["char_count"], "_n", "_below").drop("_n")
-    total = provisions.agg(F.count("*").alias("_total"))
+    total = lengths.agg(F.sum("_n").alias("_total"))
     return (
         chosen.select("provision_id", "char_count")
         .join(below, "char_count")
@@ -155,7 +156,7 @@ def _weighted_corr(x: Column, y: Column, n: Column) -> Column:
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson and Spearman. Everything after the first aggregation runs over the
     distinct (x, y) pairs with their counts, so repeated values cost nothing."""
-    cells = df.groupBy(x, y).agg(F.count("*").alias("_n"))
+    cells = stable(df.groupBy(x, y).agg(F.count("*").alias("_n")))  # read five times below
     ranked = cells.join(_average_rank(cells, x), x).join(_average_rank(cells, y), y)
     n = F.col("_n").cast("double")
     return ranked.agg(

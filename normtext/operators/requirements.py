@@ -11,6 +11,7 @@ from normtext import fixed_values as fv
 from normtext.functions.ordered import with_previous
 from normtext.functions.text import UNICODE, squeeze, strip
 from normtext.operators.direction import ladder_move, looked_up, modality_rung, sign_of
+from normtext.session import stable
 
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 KEYWORD = UNICODE + r"\b(" + "|".join(fv.REQUIREMENT_KEYWORDS) + r")\b"
@@ -110,7 +111,7 @@ def posture_series(profiles: DataFrame) -> DataFrame:
     Rows: family, year, document_id and the profile columns; versions without
     requirements are left out.
     """
-    usable = profiles.where(F.col("requirements") > 0)
+    usable = stable(profiles.where(F.col("requirements") > 0))
     stepped = with_previous(usable, ["family"], ["year", "document_id"], ["document_id", "binding_pct"])
     delta = F.round(F.col("binding_pct") - F.col("previous_binding_pct"), 1)
     return stepped.where(F.col("previous_document_id").isNotNull()).select(

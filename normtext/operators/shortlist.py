@@ -16,6 +16,7 @@ from normtext.functions.ordered import with_ordinal
 from normtext.functions.text import IGNORE_CASE
 from normtext.lexicon import CATEGORIES, SWEDISH, Lexicon
 from normtext.operators.markers import determinacy_of, fires, with_qualifier_determinacy
+from normtext.session import stable
 
 
 def _flag(category: str, index: int) -> str:
@@ -125,8 +126,12 @@ def candidates(
 
 
 def ranked(unranked: DataFrame) -> DataFrame:
-    """1-based rank by score (high first), length (short first), id."""
-    return with_ordinal(unranked, [F.desc("score"), F.asc("char_count"), F.asc("provision_id")])
+    """1-based rank by score (high first), length (short first), id.
+
+    The candidates are stored first: range partitioning samples its input, and
+    without the stored rows that would scan every text a second time.
+    """
+    return with_ordinal(stable(unranked), [F.desc("score"), F.asc("char_count"), F.asc("provision_id")])
 
 
 def shortlist(

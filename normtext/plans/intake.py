@@ -79,7 +79,7 @@ def _xml(spark, sf_dir):
     )
     content = F.when(n % 13 == 0, F.concat(F.encode(xml, "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode(xml, "UTF-8"))
     return docs.select(
-        F.col("document_id").alias("expected_id"), content.alias("content"), F.col("source_page_url"),
+        F.col("document_id").alias("expected_id"), F.explode(F.array(content)).alias("content"), F.col("source_page_url"),
         F.col("source_page_url").alias("source_data_url"), F.lit("2026-02-01").alias("retrieved_at"),
     )
 

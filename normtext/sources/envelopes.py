@@ -60,9 +60,9 @@ def documents_from_xml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     options = {"ignoreSurroundingSpaces": "false"}
     raw = F.col("content").cast("string")
     checked = files.withColumn("_lossless", F.is_valid_utf8(raw)).withColumn("raw_xml", F.when(F.col("_lossless"), raw))
-    parsed = checked.withColumn("_x", F.from_xml("raw_xml", f"dokument struct<{fields}>", options)).withColumn(
-        "_d", F.col("_x.dokument")
-    )
+    # The generator keeps the optimizer from repeating the parse for every field.
+    document = F.from_xml("raw_xml", f"dokument struct<{fields}>", options)
+    parsed = checked.select("*", F.explode(F.array(document)).alias("_x")).withColumn("_d", F.col("_x.dokument"))
     values = {
         column: F.col(f"_d.{element}") if column in PAYLOADS else F.nullif(F.trim(F.col(f"_d.{element}")), F.lit(""))
         for element, (column, _) in XML_FIELDS.items()
