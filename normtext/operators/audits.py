@@ -206,7 +206,7 @@ def stratified_sample(
         .orderBy("_draw", *key)
         .limit(size)
         .withColumn("_n", F.row_number().over(Window.orderBy("_draw", *key)))  # at most `size` rows
-        .join(F.broadcast(mandatory.agg(F.count("*").alias("_taken"))), F.col("_n") <= size - F.col("_taken"))
+        .where(F.col("_n") <= F.lit(size) - mandatory.agg(F.count("*")).scalar())
         .select(*key, F.lit(f"random-seed-{seed}").alias("selection_reason"))
     )
     return mandatory.unionByName(fill)

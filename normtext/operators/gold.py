@@ -131,13 +131,8 @@ def determinacy_distribution(candidates: DataFrame) -> DataFrame:
     counts = candidates.groupBy("determinacy").agg(
         F.count("*").alias("candidates"), F.round(F.avg("score"), 1).alias("mean_score")
     )
-    total = counts.agg(F.sum("candidates").alias("_total"))
-    return (
-        counts.crossJoin(F.broadcast(total))  # one row
-        .withColumn("pct", F.round(100.0 * F.col("candidates") / F.col("_total"), 1))
-        .drop("_total")
-        .orderBy(F.desc("candidates"))
-    )
+    total = counts.agg(F.sum("candidates")).scalar()
+    return counts.withColumn("pct", F.round(100.0 * F.col("candidates") / total, 1)).orderBy(F.desc("candidates"))
 
 
 def marker_frequency(markers: DataFrame, hits: DataFrame, provision_count: DataFrame) -> DataFrame:
@@ -145,15 +140,13 @@ def marker_frequency(markers: DataFrame, hits: DataFrame, provision_count: DataF
     counted = hits.groupBy("category", "marker").agg(
         F.count("*").alias("hits"), F.countDistinct("provision_id").alias("provisions")
     )
-    share = F.round(F.col("provisions") / F.col("_n"), 3)
+    share = F.round(F.col("provisions") / provision_count.select("provisions").scalar(), 3)
     return (
         markers.select("category", "marker", "weight")
         .join(counted, ["category", "marker"], "left")
         .fillna(0, ["hits", "provisions"])
-        .crossJoin(F.broadcast(provision_count.select(F.col("provisions").alias("_n"))))  # one row
         .withColumn("corpus_share", share)
         .withColumn("broad", F.col("corpus_share") > 0.25)
-        .drop("_n")
         .orderBy("hits", "category", "marker")
     )
 

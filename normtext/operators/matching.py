@@ -112,7 +112,7 @@ def _settle_few(wanted: DataFrame, state: DataFrame, controls: DataFrame, target
         wanted.select("matched_to", F.lit(None).cast("string").alias("control_id"), F.col("length").alias("chars"))
     )
     schema = "passage_id string, matched_to string, chars long, length_difference long"
-    return both.coalesce(1).mapInPandas(_nearest_unused, schema)
+    return both.repartition(1).mapInPandas(_nearest_unused, schema)
 
 
 def _nearest_unused(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +138,7 @@ def match_lengths(targets: DataFrame, controls: DataFrame, few: int = FEW) -> Da
     """
     wanted = targets.select(F.col("passage_id").alias("matched_to"), F.col("chars").cast("long").alias("length"))
     pool = controls.select(F.col("passage_id").alias("control_id"), F.col("chars").cast("long").alias("control_length"))
-    sizes = wanted.agg(F.count("*").alias("t")).crossJoin(pool.agg(F.count("*").alias("c"))).first()  # two counts
+    sizes = {"t": wanted.count(), "c": pool.count()}
     if sizes["c"] < sizes["t"]:
         raise ValueError(f"not enough controls: {sizes['c']} for {sizes['t']} targets")
 

@@ -40,9 +40,9 @@ def per_document(provisions: DataFrame) -> DataFrame:
 def concentration(provisions: DataFrame, top: int = 5) -> DataFrame:
     """Share of all provisions held by the largest documents."""
     documents = per_document(provisions)
-    largest = documents.orderBy(F.desc("provisions")).limit(top).agg(F.sum("provisions").alias("held"))
+    largest = documents.orderBy(F.desc("provisions")).limit(top).agg(F.sum("provisions")).scalar()
     total = documents.agg(F.sum("provisions").alias("provisions"), F.count("*").alias("documents"))
-    return total.crossJoin(F.broadcast(largest)).select(  # one row each
+    return total.withColumn("held", largest).select(
         "documents", "provisions", "held", F.round(F.col("held") / F.col("provisions"), 6).alias("top_share")
     )
 
@@ -83,12 +83,11 @@ def length_position(provisions: DataFrame, chosen: DataFrame) -> DataFrame:
     """
     lengths = stable(provisions.groupBy("char_count").agg(F.count("*").alias("_n")))
     below = with_running_total(lengths, ["char_count"], "_n", "_below").drop("_n")
-    total = lengths.agg(F.sum("_n").alias("_total"))
+    total = lengths.agg(F.sum("_n")).scalar()
     return (
         chosen.select("provision_id", "char_count")
         .join(below, "char_count")
-        .crossJoin(F.broadcast(total))  # one row
-        .select("provision_id", "char_count", F.round(F.col("_below") / F.col("_total"), 6).alias("share_shorter"))
+        .select("provision_id", "char_count", F.round(F.col("_below") / total, 6).alias("share_shorter"))
     )
 
 
@@ -103,10 +102,8 @@ def category_patterns(flagged: DataFrame) -> DataFrame:
     counts = flagged.groupBy(F.when(named == "", "(none)").otherwise(named).alias("pattern")).agg(
         F.count("*").alias("provisions")
     )
-    total = counts.agg(F.sum("provisions").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(  # one row
-        "pattern", "provisions", F.round(F.col("provisions") / F.col("_total"), 3).alias("share")
-    )
+    total = counts.agg(F.sum("provisions")).scalar()
+    return counts.select("pattern", "provisions", F.round(F.col("provisions") / total, 3).alias("share"))
 
 
 def co_occurrence(flagged: DataFrame) -> DataFrame:
@@ -216,14 +213,14 @@ def pool_comparison(pools: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFra
     """Per pool (provisions, candidates): rate, median score, specific share."""
     rows = []
     for name, (provisions, candidates) in pools.items():
-        size = provisions.agg(F.count("*").alias("provisions"))
+        size = provisions.agg(F.count("*")).scalar()
         found = candidates.agg(
             F.count("*").alias("candidates"),
             F.percentile("score", 0.5).alias("median_score"),
             F.round(F.avg((F.col("determinacy") == "specific").cast("double")), 3).alias("specific_share"),
         )
         rows.append(
-            size.crossJoin(found).select(  # one row each
+            found.withColumn("provisions", size).select(
                 F.lit(name).alias("pool"),
                 "provisions",
                 "candidates",

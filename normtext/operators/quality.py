@@ -85,8 +85,8 @@ def missing_lineage(df: DataFrame, columns: Sequence[str] = ("source_sha256",))
 def reconcile(gold: DataFrame, silver: DataFrame, count: str = "provision_count", key: str = "provision_id") -> DataFrame:
     """Sum of the group counts against the distinct ids upstream."""
     total = gold.agg(F.coalesce(F.sum(count), F.lit(0)).alias("gold_total"))
-    distinct = silver.agg(F.countDistinct(key).alias("silver_total"))
-    return total.crossJoin(distinct).withColumn("reconciled", F.col("gold_total") == F.col("silver_total"))  # one row each
+    distinct = silver.agg(F.countDistinct(key)).scalar()
+    return total.withColumn("silver_total", distinct).withColumn("reconciled", F.col("gold_total") == F.col("silver_total"))
 
 
 def check_chunks(chunks: DataFrame, provisions: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def check_pool(provisions: DataFrame, expected_documents: int | None = None, exp
         F.countDistinct("document_id").alias("documents"),
         F.count("*").alias("provisions"),
         F.count_if(blank("source_sha256")).alias("unsourced"),
-    ).crossJoin(duplicate_keys(provisions, ["provision_id"]).agg(F.count("*").alias("duplicates")))  # one row each
+    ).withColumn("duplicates", duplicate_keys(provisions, ["provision_id"]).agg(F.count("*")).scalar())
     expected = lambda name, want: F.when(
         F.col(name) != want, F.concat(F.lit(f"{name}: expected {want}, got "), F.col(name).cast("string"))
     )

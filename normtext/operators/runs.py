@@ -24,11 +24,12 @@ MAX_DEPTH = 60  # generations fit a 64-bit mask
 # --- Design --------------------------------------------------------------------------------------
 
 
-def grid(passages: DataFrame, prompts: DataFrame, depth: int) -> DataFrame:
+def grid(passages: DataFrame, prompts: Sequence[tuple[str, str]], depth: int) -> DataFrame:
     """Every planned (chain, generation). ``passages`` may carry ``styles``, the subset
-    of styles its corpus uses (NULL = all); ``prompts`` is one row per style and variant."""
-    wanted = F.col("styles").isNull() | F.array_contains("styles", F.col("style"))
-    chains = passages.join(F.broadcast(prompts), wanted).withColumn(
+    of styles its corpus uses (NULL = all); ``prompts`` lists (style, variant)."""
+    entries = F.array(*[F.struct(F.lit(s).alias("style"), F.lit(v).alias("variant")) for s, v in prompts])
+    wanted = F.filter(entries, lambda p: F.col("styles").isNull() | F.array_contains("styles", p["style"]))
+    chains = passages.select("passage_id", F.explode(wanted).alias("_p")).select("passage_id", "_p.*").withColumn(
         "chain_id", F.concat_ws(":", "passage_id", "style", "variant")
     )
     return chains.select(
@@ -42,7 +43,7 @@ def planned(passages: DataFrame, cells: DataFrame, transform_usd: float, read_us
         F.count("*").alias("planned_transformations"), F.countDistinct("chain_id").alias("chains")
     )
     readings = F.col("planned_transformations") + F.col("passages")
-    return passages.agg(F.count("*").alias("passages")).crossJoin(per_cell).select(  # one row each
+    return per_cell.withColumn("passages", passages.agg(F.count("*")).scalar()).select(
         "passages",
         "chains",
         "planned_transformations",

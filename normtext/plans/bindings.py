@@ -91,6 +91,7 @@ SLOTS = [  # slot_id, kind, attaches_to, quote, determinacy, modality
     ("cap", "bound", "ceiling", "in", "specific", None),
     ("party", "actor", "duty", "to", None, None),
 ]
+NESTED_SLOTS = [dict(zip(("slot_id", "kind", "attaches_to", "quote", "determinacy", "modality"), row)) for row in SLOTS]
 SLOT_SCHEMA = (
     "slot_id string, kind string, attaches_to string, quote string, determinacy string, modality string"
 )
@@ -124,11 +125,19 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).where(F.col("generation") == 0)
 
 
+def _held_slots():
+    """The slots whose quote stands in the row's text, as an array."""
+    vocabulary = F.from_json(F.lit(json.dumps(NESTED_SLOTS)), f"array<struct<{SLOT_SCHEMA.replace(' string', ':string')}>>")
+    return F.filter(vocabulary, lambda s: F.contains("text", s["quote"]))
+
+
 def source_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slot stands in a passage if its source text holds the quote."""
-    vocabulary = spark.createDataFrame(SLOTS, SLOT_SCHEMA)  # six rows
-    found = sources(spark, sf_dir).select("run_id", "text_id", "passage_id", "text")
-    return found.join(F.broadcast(vocabulary), F.contains("text", F.col("quote"))).drop("text")
+    return (
+        sources(spark, sf_dir)
+        .select("run_id", "text_id", "passage_id", F.explode(_held_slots()).alias("s"))
+        .select("run_id", "text_id", "passage_id", "s.*")
+    )
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,19 +181,15 @@ def slot_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Annotated passages and the selection axis ---------------------------------------------------
 
-NESTED_SLOTS = [dict(zip(("slot_id", "kind", "attaches_to", "quote", "determinacy", "modality"), row)) for row in SLOTS]
-
-
 def annotated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source turns with the slots whose quote they hold, as an array on the row."""
-    vocabulary = F.from_json(F.lit(json.dumps(NESTED_SLOTS)), f"array<struct<{SLOT_SCHEMA.replace(' string', ':string')}>>")
     return sources(spark, sf_dir).select(
         "passage_id",
         F.col("run_id").alias("experiment"),
         F.when(F.col("role") == "system", "inline").otherwise("statute").alias("domain"),
         F.col("norm_group").alias("group"),
         "text",
-        F.filter(vocabulary, lambda s: F.contains("text", s["quote"])).alias("slots"),
+        _held_slots().alias("slots"),
     )
 
 

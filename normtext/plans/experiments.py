@@ -38,8 +38,7 @@ def _passages(spark, sf_dir):
 
 
 def _grid(spark, sf_dir):
-    prompts = spark.createDataFrame(PROMPTS, "style string, variant string")
-    return runs.grid(_passages(spark, sf_dir), prompts, DEPTH)
+    return runs.grid(_passages(spark, sf_dir), PROMPTS, DEPTH)
 
 
 _GRID = f"""{run_sql.BASE},

@@ -81,7 +81,7 @@ def condition_order(spark, sf_dir):
 def _chains(spark, sf_dir):
     only = F.when(F.col("norm_group") == "categorical", F.array(F.lit("paraphrase")))
     passages = sources(spark, sf_dir).select("passage_id", only.alias("styles"))
-    cells = runs.grid(passages, spark.createDataFrame(PROMPTS, "style string, variant string"), 1)
+    cells = runs.grid(passages, PROMPTS, 1)
     return cells.join(sources(spark, sf_dir).select("passage_id", F.col("run_id").alias("experiment")), "passage_id")
 
 

@@ -30,7 +30,7 @@ def select_pool(listing: DataFrame, seeds: DataFrame, count: int, rule: Column)
     rows per task reach the last step. Repeated ids count once.
     """
     fixed = seeds.select("document_id").distinct().withColumn("selected_as", F.lit("seed"))
-    taken = fixed.agg(F.count("*").alias("_seeds"))
+    taken = fixed.agg(F.count("*")).scalar()
     newest = (
         listing.where(rule)
         .groupBy("document_id")
@@ -42,7 +42,7 @@ def select_pool(listing: DataFrame, seeds: DataFrame, count: int, rule: Column)
     place = F.row_number().over(Window.orderBy(F.desc("issued_at"), "document_id"))  # at most `count` rows
     fill = (
         newest.withColumn("_n", place)
-        .join(F.broadcast(taken), F.col("_n") <= F.lit(count) - F.col("_seeds"))
+        .where(F.col("_n") <= F.lit(count) - taken)
         .select("document_id", F.lit("newest").alias("selected_as"))
     )
     return fixed.unionByName(fill)
