@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normtext.llm.buffers import BYTE_VALUE, IS_SPACE, binary_array, pieces, text_bytes
-from normtext.llm.storage import UID, with_uid, written
+from normtext.llm.storage import UID, with_uid, without, written
 
 CUT_BITS = 10  # a chunk has about 2**CUT_BITS bytes
 WINDOW = 32  # bytes that decide about a cut
@@ -175,17 +175,15 @@ def chunk_recipes(docs: DataFrame, hash_of: Callable = fingerprint) -> DataFrame
     return recipes.join(numbered, UID, "left").withColumn("ordinals", F.coalesce("ordinals", F.lit("")))
 
 
-def exact_duplicates(docs: DataFrame, hash_of: Callable = fingerprint) -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256, n_recipe_bytes`` per row, dropped ones too.
-
-    ``docs`` has ``doc_id`` and ``text``.
-    """
+def exact_groups(docs: DataFrame, hash_of: Callable = fingerprint) -> DataFrame:
+    """``exact_duplicates`` with the row number of each row of ``docs``."""
     recipes = chunk_recipes(docs, hash_of)
     rank = F.struct(
         (-F.col("n_points")).alias("shortness"), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(UID).alias("uid")
     )
     groups = recipes.groupBy("recipe", "ordinals").agg(F.count("*").alias("group_size"), F.min(rank).alias("best"))
     return recipes.join(groups, ["recipe", "ordinals"]).select(
+        UID,
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
@@ -193,3 +191,16 @@ def exact_duplicates(docs: DataFrame, hash_of: Callable = fingerprint) -> DataFr
         "text_sha256",
         F.length("recipe").cast("long").alias("n_recipe_bytes"),
     )
+
+
+def exact_duplicates(docs: DataFrame, hash_of: Callable = fingerprint) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256, n_recipe_bytes`` per row, dropped ones too.
+
+    ``docs`` has ``doc_id`` and ``text`` and may be read several times: it must give its rows alike each time.
+    """
+    return exact_groups(docs, hash_of).drop(UID)
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, one row of each group of equal texts."""
+    return without(docs, written(exact_groups(docs).where("NOT kept").select(UID)))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from normtext.llm.buffers import IS_SPACE, LOWER, mix, pieces, span_hashes, text_bytes, window_hashes, words_of
 from normtext.llm.components import components
-from normtext.llm.storage import UID, with_uid, written
+from normtext.llm.storage import UID, with_uid, without, written
 
 SHINGLE = 4
 PERCENT = 80
@@ -163,16 +163,10 @@ def confirmed_links(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, pe
     )
 
 
-def near_duplicates(
+def near_groups(
     docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, n_copies`` per row of ``docs`` (``doc_id``, ``text``).
-
-    ``docs`` is read twice and must give its rows alike both times, as a stored table does.
-
-    ``component_id`` is the smallest ``doc_id`` reachable over links, ``n_copies`` the rows
-    with the very same set; one row of each component is kept.
-    """
+    """``near_duplicates`` with the row number of each row of ``docs``."""
     rows_of = written(signed(docs, width, bands, rows))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(UID).alias("uid"))
     classes = written(
@@ -220,9 +214,26 @@ def near_duplicates(
     heads = parts.groupBy("root").agg(F.min("best").alias("head"))
     of_digest = parts.join(heads, "root").select("digest", "n_copies", "head")
     linked = rows_of.where("n_shingles > 0").join(of_digest, "digest").select(
-        "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col(UID) == F.col("head.uid")).alias("kept"), "n_copies"
+        UID, "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col(UID) == F.col("head.uid")).alias("kept"), "n_copies"
     )
     alone = rows_of.where("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_copies")
+        UID, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_copies")
     )
     return linked.union(alone)
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, n_copies`` per row of ``docs`` (``doc_id``, ``text``).
+
+    ``component_id`` is the smallest ``doc_id`` reachable over links, ``n_copies`` the rows
+    with the very same set; one row of each component is kept. ``docs`` is read several
+    times and must give its rows alike each time, as a stored table does.
+    """
+    return near_groups(docs, width, percent, bands, rows).drop(UID)
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with all its columns, one row of each component of near duplicates."""
+    return without(docs, written(near_groups(docs, width, percent).where("NOT kept").select(UID)))

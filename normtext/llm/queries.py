@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from normtext.llm.decontaminate import contaminated
 from normtext.llm.exact_chunks import exact_duplicates
+from normtext.llm.language_bits import identify
+from normtext.llm.length_buckets import pack
 from normtext.llm.minhash import near_duplicates
+from normtext.llm.url_filter import path_of, url_verdicts
+from normtext.llm.warc import archived
 from normtext.plans.registry import Registry
 
 registry = Registry()
@@ -58,6 +64,78 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM c LEFT JOIN n USING (doc_id)
 """
 
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+_DOC_IN_PATH = r"/([0-9]+)(?:\.html)?/?$"  # the document that a page shows
+
+_URLS = r"""
+WITH p AS (
+  SELECT page_id, url,
+         coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'),
+                   lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid|sid)(=|$)'))) AS kept
+  FROM pages
+), c AS (
+  SELECT page_id, host, path, CASE WHEN contains(url, '://') THEN
+           regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+           || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical
+  FROM p
+), listed AS (
+  SELECT DISTINCT canonical FROM c JOIN labels
+    ON labels.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]+)(?:\.html)?/?$', 1) AS BIGINT)
+  WHERE toxic = 1 AND canonical IS NOT NULL
+), rules(rule_host, rule_path, told) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fits AS (
+  SELECT page_id, rule_host || rule_path AS rule, told,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS place
+  FROM c JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT c.page_id, host, path, rule,
+       coalesce(told, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN fits ON fits.page_id = c.page_id AND place = 1 LEFT JOIN listed ON listed.canonical = c.canonical
+"""
+
+_ARCHIVES = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), d AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex,
+         min(page_id) OVER (PARTITION BY sha256(payload)) AS first_id
+  FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) % 32 + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+
+@registry.add("op1_url_filter", _URLS)
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL; listed are the pages whose document is labelled toxic."""
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    shown = pages.select("url", F.regexp_extract(path_of(), _DOC_IN_PATH, 1).try_cast("long").alias("doc_id"))
+    listed = shown.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return url_verdicts(pages, listed, RULES)
+
+
+@registry.add("op5_warc", _ARCHIVES)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from them."""
+    return archived(spark, _table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
 
 @registry.add("op3_exact_dedup", _EXACT)
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,3 +149,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of all documents by circulant MinHash with exact verification."""
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@registry.add("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by bit-sliced n-gram filters, learned from two thirds of the labelled rows."""
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+@registry.add("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in optimal length buckets and token-budget batches."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+@registry.add("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or re-parameterised."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -18,3 +18,20 @@ def written(df: DataFrame) -> DataFrame:
 def with_uid(df: DataFrame) -> DataFrame:
     """A number for each row, so that repeated rows stay apart. Fixed only once the rows are written."""
     return df.withColumn(UID, F.monotonically_increasing_id())
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` as they are, less the rows whose numbers (``with_uid`` over the same stored rows) are in ``dropped``.
+
+    The row travels as one struct, so no column of it can clash with the number.
+    """
+    numbered = docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias(UID))
+    return numbered.join(dropped.select(UID), UID, "left_anti").select("_row.*")
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, with a hint to broadcast if its counted ``rows`` of a few numbers each are at most ``most``."""
+    return F.broadcast(df) if rows <= most else df
