@@ -10,6 +10,7 @@ from normtext.llm.exact_chunks import exact_duplicates
 from normtext.llm.language_bits import identify
 from normtext.llm.length_buckets import pack
 from normtext.llm.minhash import near_duplicates
+from normtext.llm.secret_scan import scan
 from normtext.llm.url_filter import path_of, url_verdicts
 from normtext.llm.warc import archived
 from normtext.plans.registry import Registry
@@ -167,3 +168,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or re-parameterised."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@registry.add("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed patterns, and random strings by two Markov models."""
+    return scan(_table(spark, sf_dir, "documents"))
