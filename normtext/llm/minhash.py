@@ -8,10 +8,12 @@ bands; documents that share a band are candidates. Every candidate link is confi
 the full sets of 64-bit shingle hashes before it counts.
 
 The work follows the number of different sets, not of pairs. Documents with the same set
-are one class from the start. Inside a bucket, every class is compared with the smallest
-one; only classes that are then still in different components are compared with each
-other. So a group of thousands of near copies costs one comparison per member and band,
-and no link between different components goes unseen.
+are one class from the start. Inside a bucket, every class is compared with the most
+central one; only classes that are then still in different components go on. Of those, a
+class whose own shingles (found in none of the others) leave too few to share can have no
+link and goes, by an exact bound; the rest are compared with each other. So a group of
+thousands of near copies costs one comparison per member and band, and no candidate link
+between different components goes unseen.
 
 With the default 32 bands of 6, a pair of similarity 0.8 is a candidate with probability
 0.99994, one of 0.85 with 0.9999997, one of 0.3 with 0.02.
@@ -163,6 +165,52 @@ def confirmed_links(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, pe
     )
 
 
+def _similar_size(x: str, y: str, percent: int):
+    return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bucket, node, n, root`` of the buckets whose members lie in several components."""
+    rooted = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return rooted.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            sets, starts = shingle_sets(piece.column("text"), width)
+            node = np.repeat(piece.column("node").to_numpy(), np.diff(starts))
+            yield pa.record_batch({"node": pa.array(node, pa.int64()), "shingle": pa.array(sets.view(np.int64))})
+
+
+def _unshared(texts: DataFrame, width: int) -> DataFrame:
+    """``node, u``: how many shingles of a text no other of the given texts has."""
+    shingles = texts.select("node", "text").mapInArrow(lambda batches: _sets(width, batches), "node long, shingle long")
+    once = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("node").alias("node")).where("texts = 1")
+    return once.groupBy("node").agg(F.count("*").alias("u"))
+
+
+def _can_link(apart: DataFrame, percent: int) -> DataFrame:
+    """``apart`` with ``s``, the shingles that can be shared, less the members that fit no other of their bucket.
+
+    An overlap of at most s with a set of m gives a similarity of at most s / (n + m - s),
+    so m must be at most s * (100 + percent) / percent - n. Copies that strayed too far from
+    all others hold shingles of their own, and go here, before any pair is made.
+    """
+    shared = apart.withColumn("s", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+    least = shared.groupBy("bucket").agg(F.min("n").alias("least"))
+    fit = shared.join(least, "bucket").where(
+        (F.col("s") * (100 + percent) >= percent * (F.col("n") + F.col("least"))) & (100 * F.col("s") >= percent * F.col("n"))
+    )
+    mixed = fit.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return fit.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "node", "n", "s", "root")
+
+
 def near_groups(
     docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -175,36 +223,36 @@ def near_groups(
             F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
         )
     )
-    # Buckets of at least two classes, each with its smallest class as centre.
+    # Buckets of at least two classes, each with its most central class: the one that shares
+    # the fullest buckets, which in a group of copies is the one nearest to their origin.
     places = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
-    members = written(places.join(shared.select("bucket", "centre"), "bucket"))
-    similar_size = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
-    centre_size = classes.select(F.col("node").alias("centre"), F.col("n").alias("centre_n"))
+    shared = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    members = written(places.join(shared, "bucket"))
+    central = members.groupBy("node").agg(F.sum("members").alias("company"))
+    placed = members.join(central, "node")
+    centres = placed.groupBy("bucket").agg(F.max(F.struct("company", -F.col("node"), "n")).alias("c")).select(
+        "bucket", (-F.col("c.col2")).alias("centre"), F.col("c.n").alias("centre_n")
+    )
     stars = written(
-        members.where("node <> centre").select("centre", "node", "n").distinct()
-        .join(centre_size, "centre").where(similar_size("n", "centre_n"))
-        .select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        members.join(centres, "bucket").where("node <> centre").where(_similar_size("n", "centre_n", percent))
+        .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     )
-    wanted = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
     texts = with_uid(docs.select("doc_id", "text")).select(F.col(UID).alias("node"), "text")
-    first = written(confirmed_links(stars, texts.join(wanted, "node", "left_semi"), width, percent))
-
-    # Members of one bucket that the stars left in different components.
-    roots = written(components(first))
-    placed = members.join(roots, "node", "left").select(
-        "bucket", "centre", "node", "n", F.coalesce("root", "node").alias("root")
-    )
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rest = written(placed.join(apart.select("bucket"), "bucket", "left_semi").where("node <> centre"))
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    first = written(confirmed_links(stars, texts.join(_ends(stars), "node", "left_semi"), width, percent))
+
+    # What the stars left in different components of one bucket, less what can have no link there.
+    apart = written(_apart(members.drop("members"), components(first)))
+    alone = _unshared(texts.join(apart.select("node").distinct(), "node", "left_semi"), width)
+    rest = written(_can_link(apart.join(alone, "node", "left"), percent))
+    other = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("root").alias("root_b"))
+    most = F.least("s", "s_b")  # shingles that both can have
     pairs = written(
         rest.withColumnRenamed("node", "a").join(other, "bucket")
-        .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & similar_size("n", "n_b"))
-        .select("a", "b").distinct()
+        .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
+        .where(100 * most >= percent * (F.col("n") + F.col("n_b") - most))
+        .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     )
-    again = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    second = confirmed_links(pairs, texts.join(again, "node", "left_semi"), width, percent)
+    second = written(confirmed_links(pairs, texts.join(_ends(pairs), "node", "left_semi"), width, percent))
     nodes = components(first.union(second))
 
     # From classes to rows: the best row of a component stays.
