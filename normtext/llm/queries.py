@@ -11,6 +11,7 @@ from normtext.llm.language_bits import identify
 from normtext.llm.length_buckets import pack
 from normtext.llm.minhash import near_duplicates
 from normtext.llm.secret_scan import scan
+from normtext.llm.toxic_crf import score_toxicity
 from normtext.llm.url_filter import path_of, url_verdicts
 from normtext.llm.warc import archived
 from normtext.plans.registry import Registry
@@ -174,3 +175,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: fixed patterns, and random strings by two Markov models."""
     return scan(_table(spark, sf_dir, "documents"))
+
+
+@registry.add("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic spans and scores of every document, learned from three quarters of the labelled rows."""
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
