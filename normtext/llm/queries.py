@@ -11,8 +11,9 @@ from normtext.llm.language_bits import identify
 from normtext.llm.length_buckets import pack
 from normtext.llm.minhash import near_duplicates
 from normtext.llm.secret_scan import scan
+from normtext.llm.site_quality import measure, site_quality
 from normtext.llm.toxic_crf import score_toxicity
-from normtext.llm.url_filter import path_of, url_verdicts
+from normtext.llm.url_filter import host_of, path_of, url_verdicts
 from normtext.llm.warc import archived
 from normtext.plans.registry import Registry
 
@@ -181,3 +182,21 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic spans and scores of every document, learned from three quarters of the labelled rows."""
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@registry.add("op6_site_quality")
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its text, its page's host and its path; the source stands in where it has no page."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    shown = pages.select(
+        F.regexp_extract(path_of(), _DOC_IN_PATH, 1).try_cast("long").alias("doc_id"),
+        F.struct(host_of().alias("host"), F.regexp_extract(path_of(), "^/[^/]*", 0).alias("path")).alias("site"),
+    )
+    sites = shown.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("site").alias("site"))
+    sited = measure(docs, ["doc_id", "source", "lang"]).join(sites, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("site.host", "source").alias("host"),
+        F.coalesce("site.path", F.concat(F.lit("/"), F.col("lang"))).alias("path"),
+        "measures",
+    )
+    return site_quality(sited, _table(spark, sf_dir, "labels"))
