@@ -4,7 +4,7 @@ Base spans come from three patterns over the whole text. The method adds spans o
 ``random``: runs of key characters (at least ``LEAST_RUN``) that mix letters with digits
 or change from lower to upper case inside, whose transitions are likelier under a model
 of random strings than under one of ordinary identifiers, by more than the prior odds
-against a secret. Both models are bigram counts with add-one smoothing, learned from
+against a secret. Both models are counts of character pairs backed by their single characters, learned from
 samples: the values that the base patterns label as secrets, and the letter runs of the
 same documents outside them. About ``FIT_ROWS`` rows are read for that. Added spans that touch a
 base span are dropped. DataFrame functions only.
@@ -41,6 +41,7 @@ WORD = r"[A-Za-z][A-Za-z_]{3,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 FIT_ROWS = 20_000
 PRIOR_ODDS = 1e-4
+BACK_OFF = 20  # counts that the single characters are worth
 
 _SPAN = "named_struct('at', x.start, 'kind', {kind}, 'till', x.end, 'span', x.span)"
 
@@ -63,11 +64,12 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _transitions(samples: DataFrame) -> DataFrame:
-    """``kind, pair``: every two neighbouring characters of ``sample``."""
-    places = F.when(F.length("sample") >= 2, F.sequence(F.lit(1), F.length("sample") - 1))
-    return samples.select("kind", "sample", F.explode(places).alias("i")).select(
-        "kind", F.substring(F.col("sample"), F.col("i"), F.lit(2)).alias("pair")
-    )
+    """``kind, pair``: the different pairs of neighbouring characters of each ``sample``.
+
+    A pair counts once for a sample, so one long monotonous value doesn't make the model.
+    """
+    pairs = F.transform(F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.substring(F.col("sample"), i, F.lit(2)))
+    return samples.where(F.length("sample") >= 2).select("kind", F.explode(F.array_distinct(pairs)).alias("pair"))
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> list[float]:
@@ -85,8 +87,13 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> list[float]:
     known = counted.where(F.rlike("pair", F.lit(r"^[A-Za-z0-9+/_=.-]{2}$")))
     counts = {(r["kind"], r["pair"]): r["n"] for r in known.collect()}  # at most two rows for each pair of the alphabet
 
+    singles = {(kind, b): sum(counts.get((kind, a + b), 0) for a in ALPHABET) for kind in ("random", "ordinary") for b in ALPHABET}
+    rows_of = {(kind, a): sum(counts.get((kind, a + b), 0) for b in ALPHABET) for kind in ("random", "ordinary") for a in ALPHABET}
+    totals = {kind: sum(singles[kind, b] for b in ALPHABET) for kind in ("random", "ordinary")}
+
     def log_share(kind: str, a: str, b: str) -> float:
-        return math.log(counts.get((kind, a + b), 0) + 1) - math.log(sum(counts.get((kind, a + c), 0) for c in ALPHABET) + len(ALPHABET))
+        everywhere = (singles[kind, b] + 0.5) / (totals[kind] + 0.5 * len(ALPHABET))
+        return math.log((counts.get((kind, a + b), 0) + BACK_OFF * everywhere) / (rows_of[kind, a] + BACK_OFF))
 
     return [log_share("random", a, b) - log_share("ordinary", a, b) for a in ALPHABET for b in ALPHABET]
 
