@@ -36,4 +36,9 @@ def words(rng: random.Random, n: int, vocabulary: int = 5000) -> str:
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
 
+def prose(rng: random.Random, n: int) -> str:
+    """Words of letters only, so that no two are the same template."""
+    return " ".join("".join(rng.choice("abdegiklmnorstu") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+
+
 ODD_TEXTS = [None, "", "   \n\t", "a", "b c", "Ünï çødé 漢字 🙂 end", "x" * 50_000, "lorem ipsum dolor sit amet " * 4000]

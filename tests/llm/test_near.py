@@ -110,3 +110,13 @@ def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 300)] + [(500, 501), (501, 500), (502, 502)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(61)) and all(found[100 + i] == 100 for i in range(300)) and found[501] == 500
+
+
+def test_sketch_bound_is_exact():
+    texts = [t for _, t in cases() if shingles(t)]
+    batch = pa.record_batch({"node": pa.array(range(len(texts))), "text": pa.array(texts)})
+    rows = [r for b in minhash._sketched(4, iter([batch])) for r in b.column("sketch").to_pylist()]
+    bits = np.unpackbits(np.array(rows, np.int64).view(np.uint8), axis=1)
+    for i in range(0, len(texts), 5):
+        for j in range(i):
+            assert (bits[i] != bits[j]).sum() <= len(shingles(texts[i]) ^ shingles(texts[j]))
