@@ -11,9 +11,10 @@ The work follows the number of different sets, not of pairs. Documents with the
 are one class from the start. Inside a bucket, every class is compared with the most
 central one; only classes that are then still in different components go on. Of those, a
 class whose own shingles (found in none of the others) leave too few to share can have no
-link and goes, by an exact bound; the rest are compared with each other. So a group of
-thousands of near copies costs one comparison per member and band, and no candidate link
-between different components goes unseen.
+link and goes, and so does a pair whose parity sketches differ in too many bits: both
+bounds are exact. What is left is compared. So a group of thousands of near copies costs
+one comparison per member and band, and no candidate link between different components
+goes unseen. The texts of candidates are picked out once.
 
 With the default 32 bands of 6, a pair of similarity 0.8 is a candidate with probability
 0.99994, one of 0.85 with 0.9999997, one of 0.3 with 0.02.
@@ -36,12 +37,14 @@ from pyspark.sql import functions as F
 
 from normtext.llm.buffers import IS_SPACE, LOWER, mix, pieces, span_hashes, text_bytes, window_hashes, words_of
 from normtext.llm.components import components
-from normtext.llm.storage import UID, with_uid, without, written
+from normtext.llm.storage import UID, small, with_uid, without, written
 
 SHINGLE = 4
 PERCENT = 80
 BANDS, ROWS = 32, 6
 BLOCK = 1 << 16  # shingles hashed at a time
+SKETCH = 2048  # bits
+MOST_IDS = 1_000_000  # ids of 8 bytes that may be broadcast
 KNOWN = 1 << 21  # shingle hashes kept for the next pairs while confirming
 
 _FIRST = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))  # odd multipliers of the two permutations
@@ -188,6 +191,27 @@ def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.record_batch({"node": pa.array(node, pa.int64()), "shingle": pa.array(sets.view(np.int64))})
 
 
+def _sketched(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in pieces(batch, "text"):
+            sets, starts = shingle_sets(piece.column("text"), width)
+            document = np.repeat(np.arange(piece.num_rows), np.diff(starts))
+            place = document * SKETCH + (sets & np.uint64(SKETCH - 1)).astype(np.int64)
+            odd = (np.bincount(place, minlength=piece.num_rows * SKETCH) & 1).astype(np.uint8)
+            words = np.packbits(odd).view(np.int64)
+            at = np.arange(0, len(words) + 1, SKETCH // 64, dtype=np.int32)
+            yield pa.record_batch({"node": piece.column("node"), "sketch": pa.ListArray.from_arrays(pa.array(at), pa.array(words))})
+
+
+def _sketches(texts: DataFrame, width: int) -> DataFrame:
+    """``node, sketch``: the parity of the set's shingles in each of ``SKETCH`` places.
+
+    Two sketches differ in at most as many bits as the sets differ in shingles, so too
+    many bits prove that a pair is no link, without its texts.
+    """
+    return texts.select("node", "text").mapInArrow(lambda batches: _sketched(width, batches), "node long, sketch array<long>")
+
+
 def _unshared(texts: DataFrame, width: int) -> DataFrame:
     """``node, u``: how many shingles of a text no other of the given texts has."""
     shingles = texts.select("node", "text").mapInArrow(lambda batches: _sets(width, batches), "node long, shingle long")
@@ -237,19 +261,28 @@ def near_groups(
         members.join(centres, "bucket").where("node <> centre").where(_similar_size("n", "centre_n", percent))
         .select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     )
+    wanted = written(members.select("node").distinct())
     texts = with_uid(docs.select("doc_id", "text")).select(F.col(UID).alias("node"), "text")
+    texts = written(texts.join(small(wanted, wanted.count(), MOST_IDS), "node", "left_semi"))
     first = written(confirmed_links(stars, texts.join(_ends(stars), "node", "left_semi"), width, percent))
 
     # What the stars left in different components of one bucket, less what can have no link there.
     apart = written(_apart(members.drop("members"), components(first)))
     alone = _unshared(texts.join(apart.select("node").distinct(), "node", "left_semi"), width)
     rest = written(_can_link(apart.join(alone, "node", "left"), percent))
-    other = rest.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("root").alias("root_b"))
+    rest = written(rest.join(_sketches(texts.join(rest.select("node").distinct(), "node", "left_semi"), width), "node"))
+    other = rest.select(
+        "bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("root").alias("root_b"), F.col("sketch").alias("sketch_b")
+    )
     most = F.least("s", "s_b")  # shingles that both can have
+    differ = sum(
+        (F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0)
+    )
     pairs = written(
         rest.withColumnRenamed("node", "a").join(other, "bucket")
         .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")))
         .where(100 * most >= percent * (F.col("n") + F.col("n_b") - most))
+        .where((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_b")))
         .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     )
     second = written(confirmed_links(pairs, texts.join(_ends(pairs), "node", "left_semi"), width, percent))
