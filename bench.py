@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from normtext.plans import catalog
@@ -29,6 +30,8 @@ def main() -> None:
         master=f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="12g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
+        spark__normtext__scanTasks=str(2 * int(cpus)),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )

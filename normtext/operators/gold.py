@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normtext import fixed_values as fv
-from normtext.functions.text import sql_literal
+from normtext.functions.text import IGNORE_CASE, sql_literal
+from normtext.lexicon import SWEDISH, Lexicon
+from normtext.operators.shortlist import any_of, fires
 
 SUMMARY_KEYS = [
     "document_snapshot_id", "document_id", "document_title", "document_version", "kind", "chapter", "heading",
@@ -135,20 +137,30 @@ def determinacy_distribution(candidates: DataFrame) -> DataFrame:
     return counts.withColumn("pct", F.round(100.0 * F.col("candidates") / total, 1)).orderBy(F.desc("candidates"))
 
 
-def marker_frequency(markers: DataFrame, hits: DataFrame, provision_count: DataFrame) -> DataFrame:
-    """Hits and provisions per marker; markers that never fire stay in, with zero."""
-    counted = hits.groupBy("category", "marker").agg(
-        F.count("*").alias("hits"), F.countDistinct("provision_id").alias("provisions")
-    )
-    share = F.round(F.col("provisions") / provision_count.select("provisions").scalar(), 3)
-    return (
-        markers.select("category", "marker", "weight")
-        .join(counted, ["category", "marker"], "left")
-        .fillna(0, ["hits", "provisions"])
-        .withColumn("corpus_share", share)
-        .withColumn("broad", F.col("corpus_share") > 0.25)
-        .orderBy("hits", "category", "marker")
-    )
+def marker_frequency(provisions: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
+    """Hits and provisions per marker; markers that never fire stay in, with zero.
+
+    Counted inside the row that holds the text: one scan, one global aggregate, and
+    no hit is ever shuffled. Shares are NULL over an empty corpus.
+    """
+    counts = [F.regexp_count("text", F.lit(IGNORE_CASE + m.pattern)) for m in lexicon.markers]
+    sums = provisions.select(F.array(*counts).alias("_c")).agg(
+        F.count("*").alias("_n"),
+        *[F.coalesce(F.sum(F.get("_c", F.lit(i))), F.lit(0)).alias(f"_h{i}") for i in range(len(counts))],
+        *[F.count_if(F.get("_c", F.lit(i)) > 0).alias(f"_p{i}") for i in range(len(counts))],
+    )
+    share = lambda i: F.round(F.try_divide(f"_p{i}", "_n"), 3)
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(m.category).alias("category"), F.lit(m.marker).alias("marker"), F.lit(m.weight).alias("weight"),
+                F.col(f"_h{i}").alias("hits"), F.col(f"_p{i}").alias("provisions"), share(i).alias("corpus_share"),
+                (share(i) > 0.25).alias("broad"),
+            )
+            for i, m in enumerate(lexicon.markers)
+        ]
+    )
+    return sums.select(F.explode(rows).alias("r")).select("r.*").orderBy("hits", "category", "marker")
 
 
 def short_checkable(ranked: DataFrame, max_chars: int = 300) -> DataFrame:
@@ -159,15 +171,12 @@ def short_checkable(ranked: DataFrame, max_chars: int = 300) -> DataFrame:
     )
 
 
-def near_misses(hits: DataFrame, provisions: DataFrame) -> DataFrame:
-    """Duty and exception, no qualifier."""
-    parts = hits.groupBy("provision_id").agg(
-        *[(F.count_if(F.col("category") == c) > 0).alias(f"has_{c}") for c in ("duty", "exception", "qualifier")]
-    )
-    chosen = parts.where(F.col("has_duty") & F.col("has_exception") & ~F.col("has_qualifier"))
+def near_misses(provisions: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
+    """Duty and exception, no qualifier: a filter on the row that holds the text."""
+    has = {c: any_of([fires(F.col("text"), m) for m in lexicon.of(c)]) for c in ("duty", "exception", "qualifier")}
     return (
-        provisions.select("provision_id", "label", "char_count", "document_title")
-        .join(chosen.select("provision_id"), "provision_id", "left_semi")
+        provisions.where(has["duty"] & has["exception"] & ~has["qualifier"])
+        .select("provision_id", "label", "char_count", "document_title")
         .orderBy("char_count")
     )
 
@@ -211,9 +220,14 @@ def best_specimens(ranked: DataFrame) -> DataFrame:
     )
 
 
-def top_candidates(ranked: DataFrame, count: int = 10, chars: int = 120) -> DataFrame:
-    """``ranked`` carries document_title and text_start from the scan."""
-    return ranked.where(F.col("rank") <= count).select(
+def top_candidates(candidates: DataFrame, count: int = 10, chars: int = 120) -> DataFrame:
+    """The first ``count`` in reading order. ``candidates`` are unranked and carry document_title and text_start.
+
+    Ordered and limited first, so only ``count`` rows per task reach the ranking.
+    """
+    order = [F.desc("score"), F.asc("char_count"), F.asc("provision_id")]
+    first = candidates.orderBy(*order).limit(count)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select(
         "rank", "provision_id", "score", "determinacy", "duty_marker", "exception_marker", "qualifier_marker",
         "document_title", F.substring("text_start", 1, chars).alias("text_start"),
     ).orderBy("rank")

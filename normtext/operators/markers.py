@@ -179,6 +179,18 @@ def ceiling_flags(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str]
     return df.select(*keep, windows.alias("_w")).select(*keep, "_w.*")
 
 
+def ceiling_scan(gated: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
+    """How many texts have an opener, and how many of those a bound word behind it; no share without an opener."""
+    seen = gated.select(F.transform(ceiling_windows("text", lexicon), lambda w: w["has_bound"]).alias("bounds"))
+    opener, flagged = F.size("bounds") > 0, F.exists("bounds", lambda b: b)
+    return seen.agg(
+        F.count("*").alias("candidates"),
+        F.count_if(opener).alias("with_opener"),
+        F.count_if(flagged).alias("flagged"),
+        F.round(F.try_divide(100.0 * F.count_if(flagged), F.count_if(opener)), 1).alias("flagged_pct"),
+    )
+
+
 def kwic(hits_with_text: DataFrame, width: int) -> DataFrame:
     """Adds ``context``: ``width`` characters either side of each hit, on one line."""
     return hits_with_text.withColumn(

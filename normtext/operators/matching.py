@@ -1,202 +1,135 @@
 """Length matching: each target, shortest first, takes the nearest unused control.
 
-The sequential rule equals deferred acceptance in which every control prefers the
-target that comes first in (length, id) order. Targets of one length share one
-preference list, so they act as one group that asks for as many controls as it
-has members: a length shared by a third of all targets costs no extra rounds.
-
-A preference list is never stored. The controls are numbered once upwards
-(length, id) and once from each length downwards; a group keeps two positions,
-and its next choices are the best of its next rows on either side.
+A run of neighbouring target lengths with M targets can only reach the M nearest controls on
+either side of it, so runs whose reaches share no length are independent. The runs are
+found from two histograms (rows per distinct length), by joining neighbours until no two
+reaches touch; each run is then settled by the rule itself, all runs at the same time. There
+are no rounds, and one algorithm serves every size.
+
+Targets that are nearly as many as the controls around them do depend on each other from
+first to last; such a run is one task by the nature of the rule. Its rows are ids and
+lengths, never texts, at most three per target.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normtext.functions.ordered import with_ordinal, with_running_total
-from normtext.session import stable
+from normtext.functions.ordered import with_ordinal
 
-CHUNK = 4096  # a group's request is cut into pieces of this many rows
-FEW = 1000  # up to this many targets one task settles all of them
-SPARE = 64  # rows looked at beyond what is missing, to step over controls already lost
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of the package on their path
 
 
-def _requests(asking: DataFrame) -> DataFrame:
-    """(length, step) for every row a group looks at, spread over tasks in pieces."""
-    pieces = asking.select(
-        "length", "up", "down", "window",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("window") - 1, F.lit(CHUNK).cast("long"))).alias("_from"),
-    ).repartition("length", "_from")
-    last = F.least(F.col("window"), F.col("_from") + CHUNK) - 1
-    return pieces.select("length", "up", "down", F.explode(F.sequence("_from", last)).alias("step"))
+def independent_runs(targets: dict[int, int], controls: dict[int, int]) -> pd.DataFrame:
+    """Runs of target lengths that share no control, from rows per length.
 
-
-def _looked_at(asking: DataFrame, controls: DataFrame, held: DataFrame | None) -> DataFrame:
-    """The window of each asking group on both sides, cut where it stops being complete.
-
-    Beyond its last row a side may go on, so rows are only certain up to the nearer
-    of the two window ends in (distance, id) order.
+    One row per run: its first and last length, the targets in it, and the controls shorter than
+    its first (``below``) and than its last length (``under``).
     """
-    wanted = _requests(asking)
-
-    def side(place: str, name: str) -> DataFrame:
-        return (
-            wanted.withColumn(place, F.col(name) + F.col("step"))
-            .join(controls.select(place, "control_id", "control_length"), place)
-            .select("length", "control_id", "control_length", F.lit(name).alias("side"))
-        )
-
-    rows = side("upward", "up").unionByName(side("downward", "down")).withColumn(
-        "place", F.struct(F.abs(F.col("control_length") - F.col("length")).alias("distance"), "control_id")
+    lengths = np.array(sorted(controls), np.int64)
+    upto = np.cumsum([controls[x] for x in lengths.tolist()]) if len(lengths) else np.zeros(0, np.int64)
+    total = int(upto[-1]) if len(upto) else 0
+
+    def shorter(length: int) -> int:
+        at = int(np.searchsorted(lengths, length))
+        return int(upto[at - 1]) if at else 0
+
+    def reach(first: int, last: int, members: int) -> tuple[int, int]:
+        low = max(shorter(first) - members, 0)
+        high = min(shorter(last) + members, total) - 1
+        at = [int(np.searchsorted(upto, p, side="right")) for p in (low, high)]
+        return min(int(lengths[at[0]]), first), max(int(lengths[at[1]]), last)
+
+    runs: list[tuple[int, int, int]] = []
+    for length in sorted(targets):
+        run = (length, length, targets[length])
+        while runs and reach(*runs[-1])[1] >= reach(*run)[0]:
+            before = runs.pop()
+            run = (before[0], run[1], before[2] + run[2])
+        runs.append(run)
+    return pd.DataFrame(
+        [(a, b, n, shorter(a), shorter(b)) for a, b, n in runs], columns=["first", "last", "members", "below", "under"]
     )
-    up, down = F.col("side") == "up", F.col("side") == "down"
-    ends = rows.groupBy("length").agg(
-        F.max(F.when(up, F.col("place"))).alias("_up"), F.count_if(up).alias("_nu"),
-        F.max(F.when(down, F.col("place"))).alias("_down"), F.count_if(down).alias("_nd"),
-    ).join(asking.select("length", "window", "missing"), "length")
-    full_up, full_down = F.col("_nu") == F.col("window"), F.col("_nd") == F.col("window")
-    limit = (
-        F.when(full_up & full_down, F.least("_up", "_down")).when(full_up, F.col("_up")).when(full_down, F.col("_down"))
-    )
-    certain = rows.join(ends.select("length", "missing", limit.alias("_limit")), "length").where(
-        F.col("_limit").isNull() | (F.col("place") <= F.col("_limit"))
-    ).drop("_limit")
-    if held is None:
-        return certain.withColumn("open", F.lit(True))
-    holder = held.select("control_id", F.col("length").alias("_holder"))
-    return certain.join(holder, "control_id", "left").withColumn(
-        "open", F.col("_holder").isNull() | (F.col("_holder") > F.col("length"))
-    ).drop("_holder")
-
-
-def _round(asking: DataFrame, controls: DataFrame, held: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(offers, steps): the nearest open controls each group now asks for, and how far
-    its two positions move. Controls it steps over are held by a group that comes
-    first and stay out of reach."""
-    seen = stable(_looked_at(asking, controls, held))
-    placed = with_ordinal(seen.where("open"), ["length", "place"], "_n")
-    first = placed.groupBy("length").agg((F.min("_n") - 1).alias("_before"))
-    offers = stable(placed.join(first, "length").where(F.col("_n") - F.col("_before") <= F.col("missing")))
-    last = offers.groupBy("length").agg(F.max("place").alias("_last"), F.count("*").alias("_got"))
-    passed = (
-        seen.join(last, "length", "left")
-        .where(F.coalesce(F.col("_got"), F.lit(0)) < F.col("missing"))
-        .unionByName(
-            seen.join(last, "length").where((F.col("_got") >= F.col("missing")) & (F.col("place") <= F.col("_last")))
-        )
-    )
-    steps = passed.groupBy("length").agg(
-        F.count_if(F.col("side") == "up").alias("_up"), F.count_if(F.col("side") == "down").alias("_down")
-    )
-    return offers.select("length", "control_id", "control_length"), steps
 
 
-def _settle_few(wanted: DataFrame, state: DataFrame, controls: DataFrame, targets: int) -> DataFrame:
-    """The sequential rule itself, in one task, for a checked number of targets.
+def settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rule over the targets and controls of one run.
 
-    No target can need more than the ``targets`` nearest controls on either side,
-    so at most 2 x FEW x FEW controls take part, whatever the pool holds.
+    Controls stand in (length, id) order. At every length the used ones are the first by
+    id, so the nearest free one above is the next free place, and below it is the first
+    free place of the nearest length that has one.
     """
-    asking = state.withColumn("window", F.lit(targets).cast("long"))
-    rows = _requests(asking)
-    near = controls.join(rows.select((F.col("up") + F.col("step")).alias("upward")).distinct(), "upward", "left_semi").unionByName(
-        controls.join(rows.select((F.col("down") + F.col("step")).alias("downward")).distinct(), "downward", "left_semi")
-    ).select("control_id", "control_length").distinct()
-    both = near.select(F.lit(None).cast("string").alias("matched_to"), "control_id", F.col("control_length").alias("chars")).unionByName(
-        wanted.select("matched_to", F.lit(None).cast("string").alias("control_id"), F.col("length").alias("chars"))
-    )
-    schema = "passage_id string, matched_to string, chars long, length_difference long"
-    return both.repartition(1).mapInPandas(_nearest_unused, schema)
-
-
-def _nearest_unused(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True)
     takers = rows[rows.matched_to.notna()].sort_values(["chars", "matched_to"])
-    pool = rows[rows.control_id.notna()].sort_values("control_id", ignore_index=True)
-    lengths, free = pool.chars.to_numpy(dtype="int64"), np.ones(len(pool), dtype=bool)
+    pool = rows[rows.control_id.notna()].sort_values(["chars", "control_id"], ignore_index=True)
+    lengths, ids = pool.chars.to_numpy(np.int64), pool.control_id.tolist()
+    n = len(ids)
+    after, before = list(range(n + 1)), list(range(n + 1))  # next free place from i on; last free place under i, plus one
+
+    def root(parent: list[int], i: int) -> int:
+        top = i
+        while parent[top] != top:
+            top = parent[top]
+        while parent[i] != top:
+            parent[i], i = top, parent[i]
+        return top
+
+    starts = np.searchsorted(lengths, lengths, side="left")
     out = []
-    for name, length in zip(takers.matched_to, takers.chars):
-        # The pool is in id order, so the first of the smallest distances has the lowest id.
-        distance = np.where(free, np.abs(lengths - length), np.iinfo("int64").max)
-        chosen = int(distance.argmin())
-        free[chosen] = False
-        out.append((pool.control_id[chosen], name, int(lengths[chosen]), int(lengths[chosen] - length)))
-    yield pd.DataFrame(out, columns=["passage_id", "matched_to", "chars", "length_difference"])
-
-
-def match_lengths(targets: DataFrame, controls: DataFrame, few: int = FEW) -> DataFrame:
-    """Rows of (passage_id, chars) on both sides -> control, matched_to, length_difference.
-
-    Few targets are settled in one task over their proven neighbourhood; more go
-    through distributed rounds with the same result.
-    """
-    wanted = targets.select(F.col("passage_id").alias("matched_to"), F.col("chars").cast("long").alias("length"))
-    pool = controls.select(F.col("passage_id").alias("control_id"), F.col("chars").cast("long").alias("control_length"))
-    sizes = {"t": wanted.count(), "c": pool.count()}
-    if sizes["c"] < sizes["t"]:
-        raise ValueError(f"not enough controls: {sizes['c']} for {sizes['t']} targets")
-
-    numbered = with_ordinal(pool, ["control_length", "control_id"], "upward")
-    numbered = stable(with_ordinal(numbered, [F.desc("control_length"), "control_id"], "downward"))
-
-    groups = wanted.groupBy("length").agg(F.count("*").alias("members"))
-    lengths = numbered.groupBy(F.col("control_length").alias("length")).agg(F.count("*").alias("_n"))
-    # Controls strictly shorter than each target length; a target row sorts before controls of its length.
-    marks = lengths.select("length", "_n", F.lit(1).alias("_kind")).unionByName(
-        groups.select("length", F.lit(0).cast("long").alias("_n"), F.lit(0).alias("_kind"))
-    )
-    below = with_running_total(marks, ["length", "_kind"], "_n", "_below").where("_kind = 0").select("length", "_below")
-    state = stable(
-        groups.join(below, "length").select(
-            "length", "members",
-            (F.col("_below") + 1).alias("up"),
-            (F.lit(sizes["c"]) - F.col("_below") + 1).alias("down"),
-        )
+    for name, length in zip(takers.matched_to.tolist(), takers.chars.tolist()):
+        at = int(np.searchsorted(lengths, length, side="left"))
+        up, under = root(after, at), root(before, at)
+        down = root(after, int(starts[under - 1])) if under else -1
+        options = [(abs(int(lengths[i]) - length), ids[i], i) for i in (up, down) if 0 <= i < n]
+        _, control, i = min(options)
+        after[i], before[i + 1] = i + 1, i
+        out.append((control, name, int(lengths[i]), int(lengths[i]) - length))
+    return pd.DataFrame(out, columns=["passage_id", "matched_to", "chars", "length_difference"])
+
+
+def match_lengths(targets: DataFrame, controls: DataFrame) -> DataFrame:
+    """Rows of (passage_id, chars) on both sides -> control, matched_to, length_difference."""
+    wanted = targets.select(F.col("passage_id").alias("matched_to"), F.col("chars").cast("long").alias("chars"))
+    pool = controls.select(F.col("passage_id").alias("control_id"), F.col("chars").cast("long").alias("chars"))
+
+    def histogram(df: DataFrame) -> dict[int, int]:  # one row for each length that occurs
+        return {r["chars"]: r["n"] for r in df.groupBy("chars").agg(F.count("*").alias("n")).collect()}
+
+    takers, free = histogram(wanted), histogram(pool)
+    if sum(free.values()) < sum(takers.values()):
+        raise ValueError(f"not enough controls: {sum(free.values())} for {sum(takers.values())} targets")
+    runs = independent_runs(takers, free)
+    total = sum(free.values())
+    first, members, below, under = (runs[c].to_numpy(np.int64) for c in ("first", "members", "below", "under"))
+
+    @F.pandas_udf("long")
+    def run_of(chars: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(first, chars.to_numpy(), side="right") - 1)
+
+    @F.pandas_udf("long")
+    def run_in_reach(upward: pd.Series, downward: pd.Series) -> pd.Series:
+        """The run that a control's two places belong to, else -1. Places count from 1."""
+        place = upward.to_numpy() - 1
+        run = np.searchsorted(below, place, side="right") - 1
+        above = (run >= 0) & (place < under[run] + members[run])
+        back = total - downward.to_numpy()  # controls that stand after it, downwards
+        nearest = np.searchsorted(below, back, side="right")  # the first run that starts after this place
+        at = np.minimum(nearest, len(below) - 1)
+        beneath = (nearest < len(below)) & (below[at] - back <= members[at])
+        return pd.Series(np.where(above, run, np.where(beneath, at, -1)))
+
+    placed = with_ordinal(pool, ["chars", "control_id"], "upward")
+    placed = with_ordinal(placed, [F.desc("chars"), "control_id"], "downward")
+    near = placed.withColumn("run", run_in_reach("upward", "downward")).where("run >= 0")
+    both = near.select("run", F.lit(None).cast("string").alias("matched_to"), "control_id", "chars").unionByName(
+        wanted.select(run_of("chars").alias("run"), "matched_to", F.lit(None).cast("string").alias("control_id"), "chars")
     )
-    if sizes["t"] <= few:
-        return _settle_few(wanted, state, numbered, sizes["t"])
-    held = None
-    while True:
-        if held is None:
-            missing = state.withColumn("missing", F.col("members"))
-        else:
-            have = held.groupBy("length").agg(F.count("*").alias("_have"))
-            missing = state.join(have, "length", "left").withColumn(
-                "missing", F.col("members") - F.coalesce("_have", F.lit(0))
-            ).drop("_have")
-        asking = missing.where(F.col("missing") > 0).withColumn("window", F.col("missing") + SPARE)
-        asking = stable(asking)
-        if asking.isEmpty():
-            break
-        offers, steps = _round(asking, numbered, held)
-        steps = stable(steps)
-        if steps.isEmpty():
-            raise RuntimeError("a target length has no control left to ask")
-        state = stable(
-            state.join(steps, "length", "left").select(
-                "length", "members",
-                (F.col("up") + F.coalesce("_up", F.lit(0))).alias("up"),
-                (F.col("down") + F.coalesce("_down", F.lit(0))).alias("down"),
-            )
-        )
-        offers = offers if held is None else held.unionByName(offers.select(*held.columns))
-        # A control keeps the shortest target length that asked for it.
-        held = stable(offers.select("control_id", "control_length", "length").groupBy("control_id", "control_length").agg(F.min("length").alias("length")))
-
-    # Both sides are ordered by length first and each length has as many holds as
-    # members, so equal positions belong together.
-    distance = F.abs(F.col("control_length") - F.col("length"))
-    takers = with_ordinal(wanted, ["length", "matched_to"], "_n")
-    taken = with_ordinal(held.withColumn("_d", distance), ["length", "_d", "control_id"], "_n")
-    return takers.join(taken.drop("length", "_d"), "_n").select(
-        F.col("control_id").alias("passage_id"),
-        "matched_to",
-        F.col("control_length").alias("chars"),
-        (F.col("control_length") - F.col("length")).alias("length_difference"),
+    return both.groupBy("run").applyInPandas(
+        settle, "passage_id string, matched_to string, chars long, length_difference long"
     )

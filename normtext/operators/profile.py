@@ -87,7 +87,7 @@ def length_position(provisions: DataFrame, chosen: DataFrame) -> DataFrame:
     return (
         chosen.select("provision_id", "char_count")
         .join(below, "char_count")
-        .select("provision_id", "char_count", F.round(F.col("_below") / total, 6).alias("share_shorter"))
+        .select("provision_id", "char_count", F.round(F.try_divide("_below", total), 6).alias("share_shorter"))
     )
 
 
@@ -103,7 +103,7 @@ def category_patterns(flagged: DataFrame) -> DataFrame:
         F.count("*").alias("provisions")
     )
     total = counts.agg(F.sum("provisions")).scalar()
-    return counts.select("pattern", "provisions", F.round(F.col("provisions") / total, 3).alias("share"))
+    return counts.select("pattern", "provisions", F.round(F.try_divide("provisions", total), 3).alias("share"))
 
 
 def co_occurrence(flagged: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def _weighted_corr(x: Column, y: Column, n: Column) -> Column:
     mean_x, mean_y = F.sum(n * x) / total, F.sum(n * y) / total
     cov = F.sum(n * x * y) / total - mean_x * mean_y
     var_x, var_y = F.sum(n * x * x) / total - mean_x * mean_x, F.sum(n * y * y) / total - mean_y * mean_y
-    return cov / F.sqrt(var_x * var_y)
+    return F.try_divide(cov, F.sqrt(var_x * var_y))  # a constant column has no correlation
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -178,12 +178,20 @@ def hits_by_length(counted: DataFrame) -> DataFrame:
     )
 
 
-def double_counting(hits: DataFrame) -> DataFrame:
-    """(provision, category) pairs where a marker repeats or several markers fire."""
-    return (
-        hits.groupBy("provision_id", "category")
-        .agg(F.count("*").alias("hits"), F.countDistinct("marker").alias("distinct_markers"))
-        .where((F.col("hits") > F.col("distinct_markers")) | (F.col("distinct_markers") > 1))
+def double_counting(provisions: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
+    """(provision, category) pairs where a marker repeats or several markers fire, counted in the row."""
+
+    def counted(category: str) -> Column:
+        counts = F.array(*[F.regexp_count("text", F.lit(IGNORE_CASE + m.pattern)) for m in lexicon.of(category)])
+        return F.struct(
+            F.lit(category).alias("category"),
+            F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + c).alias("hits"),
+            F.size(F.filter(counts, lambda c: c > 0)).cast("long").alias("distinct_markers"),
+        )
+
+    rows = provisions.select("provision_id", F.explode(F.array(*[counted(c) for c in CATEGORIES])).alias("r"))
+    return rows.select("provision_id", "r.*").where(
+        (F.col("hits") > F.col("distinct_markers")) | (F.col("distinct_markers") > 1)
     )
 
 
@@ -224,7 +232,7 @@ def pool_comparison(pools: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFra
                 F.lit(name).alias("pool"),
                 "provisions",
                 "candidates",
-                F.round(F.col("candidates") / F.col("provisions"), 4).alias("candidate_rate"),
+                F.round(F.try_divide("candidates", "provisions"), 4).alias("candidate_rate"),
                 "median_score",
                 "specific_share",
             )

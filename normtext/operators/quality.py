@@ -255,8 +255,8 @@ def audit_run(runs: DataFrame, texts: DataFrame, readings: DataFrame) -> DataFra
     chain metadata, and planned counts of completed runs.
 
     texts: run_id, text_id, passage_id, generation, parent_text_id, parent_sha256,
-    chain_id, style, variant, text, text_sha256. runs: run_id, status,
-    planned_transformations, planned_readings.
+    chain_id, style, variant, text, text_sha256. readings: run_id, text_id, passage_id,
+    generation. runs: run_id, status, planned_transformations, planned_readings.
     """
     named = lambda df, problem, key="text_id": df.select("run_id", F.col(key).cast("string").alias("id"), F.lit(problem).alias("problem"))
     wrong_hash = texts.where(F.sha2("text", 256) != F.col("text_sha256"))
@@ -264,7 +264,7 @@ def audit_run(runs: DataFrame, texts: DataFrame, readings: DataFrame) -> DataFra
     repeated_reading = duplicate_keys(readings, ["run_id", "text_id"])
     parent = texts.select(
         "run_id", F.col("text_id").alias("parent_text_id"), F.col("generation").alias("_g"),
-        F.col("text_sha256").alias("_sha"), F.col("chain_id").alias("_chain"), F.col("passage_id").alias("_passage"),
+        F.col("text_sha256").alias("_sha"), F.struct("chain_id", "style", "variant").alias("_chain"), F.col("passage_id").alias("_passage"),
     )
     children = texts.where(F.col("generation") > 0).join(parent, ["run_id", "parent_text_id"], "left")
     lineage = children.select(
@@ -274,7 +274,7 @@ def audit_run(runs: DataFrame, texts: DataFrame, readings: DataFrame) -> DataFra
         .when(F.col("generation") != F.col("_g") + 1, "generation is not parent + 1")
         .when(F.col("parent_sha256") != F.col("_sha"), "parent hash mismatch")
         .when(F.col("passage_id") != F.col("_passage"), "chain metadata mismatch")
-        .when((F.col("_g") > 0) & ~F.col("chain_id").eqNullSafe(F.col("_chain")), "chain metadata mismatch")
+        .when((F.col("_g") > 0) & ~F.struct("chain_id", "style", "variant").eqNullSafe(F.col("_chain")), "chain metadata mismatch")
         .alias("problem"),
     ).where(F.col("problem").isNotNull())
     made = texts.where(F.col("generation") > 0).groupBy("run_id").agg(F.count("*").alias("_made"))
@@ -288,12 +288,19 @@ def audit_run(runs: DataFrame, texts: DataFrame, readings: DataFrame) -> DataFra
             | (F.coalesce("_read", F.lit(0)) != F.col("planned_readings"))
         )
     )
+    repeated_source = duplicate_keys(texts.where(F.col("generation") == 0), ["run_id", "passage_id"])
+    read_text = texts.select("run_id", "text_id", F.col("passage_id").alias("_passage"), F.col("generation").alias("_g"))
+    misread = readings.join(read_text, ["run_id", "text_id"]).where(
+        ~F.col("passage_id").eqNullSafe(F.col("_passage")) | ~F.col("generation").eqNullSafe(F.col("_g"))
+    )
     unknown = readings.join(texts.select("run_id", "text_id"), ["run_id", "text_id"], "left_anti")
     reports = [
         named(wrong_hash, "text hash mismatch"),
         named(repeated_text, "repeated text id"),
         named(repeated_reading, "several readings of one text"),
         named(unknown, "reading of an unknown text"),
+        named(misread, "reading target metadata mismatch"),
+        named(repeated_source, "duplicate source passage", "passage_id"),
         lineage,
         named(short, "completed run misses generations or readings", "run_id"),
     ]

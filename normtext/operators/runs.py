@@ -18,29 +18,27 @@ from normtext.functions.ordered import with_ordinal
 from normtext.operators.direction import SIGNS, measure
 from normtext.operators.reader import quote_audit
 
-MAX_DEPTH = 60  # generations fit a 64-bit mask
-
 
 # --- Design --------------------------------------------------------------------------------------
 
 
 def grid(passages: DataFrame, prompts: Sequence[tuple[str, str]], depth: int) -> DataFrame:
-    """Every planned (chain, generation). ``passages`` may carry ``styles``, the subset
-    of styles its corpus uses (NULL = all); ``prompts`` lists (style, variant)."""
+    """Every planned (run, chain, generation). ``passages`` has run_id and may carry ``styles``, the
+    subset of styles its corpus uses (NULL = all); ``prompts`` lists (style, variant)."""
     entries = F.array(*[F.struct(F.lit(s).alias("style"), F.lit(v).alias("variant")) for s, v in prompts])
     wanted = F.filter(entries, lambda p: F.col("styles").isNull() | F.array_contains("styles", p["style"]))
-    chains = passages.select("passage_id", F.explode(wanted).alias("_p")).select("passage_id", "_p.*").withColumn(
+    chains = passages.select("run_id", "passage_id", F.explode(wanted).alias("_p")).select("run_id", "passage_id", "_p.*").withColumn(
         "chain_id", F.concat_ws(":", "passage_id", "style", "variant")
     )
     return chains.select(
-        "chain_id", "passage_id", "style", "variant", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("generation")
+        "run_id", "chain_id", "passage_id", "style", "variant", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("generation")
     )
 
 
 def planned(passages: DataFrame, cells: DataFrame, transform_usd: float, read_usd: float) -> DataFrame:
     """Planned counts and cost: one transformation per cell, one reading per cell and passage."""
     per_cell = cells.agg(
-        F.count("*").alias("planned_transformations"), F.countDistinct("chain_id").alias("chains")
+        F.count("*").alias("planned_transformations"), F.countDistinct("run_id", "chain_id").alias("chains")
     )
     readings = F.col("planned_transformations") + F.col("passages")
     return per_cell.withColumn("passages", passages.agg(F.count("*")).scalar()).select(
@@ -58,12 +56,12 @@ def call_cost(input_tokens: Column, output_tokens: Column, input_price: Column,
 
 
 def next_generations(cells: DataFrame, texts: DataFrame, ended: DataFrame) -> DataFrame:
-    """The first missing generation of every chain that has not ended."""
-    done = texts.where(F.col("generation") > 0).select("chain_id", "generation")
+    """The first missing generation of every chain that has not ended, run by run."""
+    done = texts.where(F.col("generation") > 0).select("run_id", "chain_id", "generation")
     return (
-        cells.join(done, ["chain_id", "generation"], "left_anti")
-        .join(ended.select("chain_id"), "chain_id", "left_anti")
-        .groupBy("chain_id")
+        cells.join(done, ["run_id", "chain_id", "generation"], "left_anti")
+        .join(ended.select("run_id", "chain_id"), ["run_id", "chain_id"], "left_anti")
+        .groupBy("run_id", "chain_id")
         .agg(F.min("generation").alias("next_generation"))
     )
 
@@ -110,11 +108,11 @@ def slot_comparisons(
         return readings.select("run_id", F.col("text_id").alias(name), *[F.col(c).alias(a) for c, a in columns.items()])
 
     children = texts.where(F.col("generation") > 0).select(
-        "run_id", "text_id", "parent_text_id", "passage_id", "generation", "chain_id", "norm_group", "style", "variant"
+        "run_id", "text_id", "parent_text_id", "passage_id", "generation", "chain_id", "norm_group", "pair_id", "style", "variant"
     )
     of_source = slots.select(
         "run_id", F.col("text_id").alias("source_text_id"), "slot_id", "kind", "attaches_to",
-        F.col("quote").alias("source_quote"),
+        F.col("quote").alias("source_quote"), "annotation_status",
     )
     return (
         children.join(runs.select("run_id", F.col("status").alias("run_status")), "run_id")
@@ -201,25 +199,23 @@ def first_absence(panel: DataFrame, keys: Sequence[str], depth: int) -> DataFram
     """First absent generation with censoring: observed, unresolved, not observed
     through depth, or baseline not present; and whether the slot came back.
 
-    Generations become bits of two masks, so one aggregation with map-side
-    partials answers it.
+    One aggregation with map-side partials answers it; its state is one small
+    number per generation of the key.
     """
-    if not 1 <= depth <= MAX_DEPTH:
-        raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
+    if depth < 1:
+        raise ValueError("depth must be at least 1")
     generation, status = F.col("generation"), F.col("status")
     inside = generation.between(1, depth)
-    bit = F.expr("shiftleft(1L, generation)")
     absent, present = status == "absent", status == "present"
     facts = panel.groupBy(*keys).agg(
         F.coalesce(F.bool_or((generation == 0) & present), F.lit(False)).alias("_baseline"),
         F.min(F.when(inside & absent, generation)).alias("_first"),
-        F.coalesce(F.bit_or(F.when(inside & (absent | present), bit)), F.lit(0)).alias("_resolved"),
-        F.coalesce(F.bit_or(F.when(inside & present, bit)), F.lit(0)).alias("_present"),
+        F.collect_set(F.when(inside & (absent | present), generation)).alias("_resolved"),
+        F.max(F.when(inside & present, generation)).alias("_last_present"),
     )
     end = F.coalesce("_first", F.lit(depth))
-    through = F.expr(f"shiftleft(1L, coalesce(_first, {depth}) + 1) - 2")  # bits 1..end
-    exact = F.col("_resolved").bitwiseAND(through) == through
-    after = F.expr("shiftright(_present, _first + 1)") != 0
+    exact = F.size(F.filter("_resolved", lambda g: g <= end)) == end  # every generation up to the end is resolved
+    after = F.col("_last_present") > F.col("_first")
     return facts.select(
         *keys,
         F.when(F.col("_baseline"), F.col("_first")).alias("first_absent"),
@@ -271,25 +267,28 @@ def order_counts(ordered: DataFrame) -> DataFrame:
 
 
 def coverage(cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """Generated against planned generations per chain."""
-    generated = texts.where(F.col("generation") > 0).groupBy("chain_id").agg(F.count("*").alias("generated"))
-    chains = cells.groupBy("chain_id", "passage_id", "style", "variant").agg(F.count("*").alias("planned"))
+    """Generated against planned generations per run and chain."""
+    keys = ["run_id", "chain_id"]
+    generated = texts.where(F.col("generation") > 0).groupBy(*keys).agg(F.count("*").alias("generated"))
+    chains = cells.groupBy(*keys, "passage_id", "style", "variant").agg(F.count("*").alias("planned"))
     return (
-        chains.join(generated, "chain_id", "left")
+        chains.join(generated, keys, "left")
         .fillna(0, ["generated"])
         .withColumn("complete", F.col("generated") == F.col("planned"))
     )
 
 
 def texts_per_generation(texts: DataFrame, depth: int) -> DataFrame:
-    """Counts for every generation up to depth, zero where nothing was generated."""
-    counts = texts.groupBy("generation").agg(F.count("*").alias("texts"))
-    every = texts.sparkSession.range(depth + 1).select(F.col("id").cast("int").alias("generation"))
-    return every.join(counts, "generation", "left").fillna(0, ["texts"])
+    """Counts for every run and generation up to depth, zero where nothing was generated."""
+    counts = texts.groupBy("run_id", "generation").agg(F.count("*").alias("texts"))
+    every = texts.select("run_id").distinct().select(
+        "run_id", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("generation")
+    )
+    return every.join(counts, ["run_id", "generation"], "left").fillna(0, ["texts"])
 
 
 def survival(panel: DataFrame) -> DataFrame:
-    """Present share among read slots by generation and slot category, statutory passages."""
+    """Present share among read slots by run, generation and slot category, statutory passages."""
     category = (
         F.when(F.col("kind") == "exception", "Exception")
         .when(F.col("attaches_to") == "exception", "Condition on exception")
@@ -297,7 +296,7 @@ def survival(panel: DataFrame) -> DataFrame:
     )
     counts = (
         panel.where(F.col("norm_group") == "statutory")
-        .groupBy("generation", category.alias("slot_category"))
+        .groupBy("run_id", "generation", category.alias("slot_category"))
         .agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("present", "absent", "uncertain", "not_read")])
     )
     available = F.col("present") + F.col("absent") + F.col("uncertain")
@@ -377,7 +376,7 @@ def settle(calls: DataFrame, prices: DataFrame) -> DataFrame:
         F.bool_or(received).alias("_received"),
     )
     cost = call_cost(F.col("_in"), F.col("_out"), F.col("input_price"), F.col("output_price"))
-    priced = per_call.withColumn("model", F.coalesce("_asked", "_claimed")).join(F.broadcast(prices), "model", "left")
+    priced = per_call.withColumn("model", F.coalesce("_asked", "_claimed")).join(prices, "model", "left")
     return priced.groupBy("run_id").agg(
         F.round(F.sum(F.when(F.col("_received"), F.coalesce(cost, F.lit(0.0))).otherwise(0.0)), 6).alias("usage_estimate"),
         F.round(
@@ -413,10 +412,10 @@ def blind_packet(texts: DataFrame, questions: DataFrame, seed: int) -> tuple[Dat
 def reader_scoreboard(readings: DataFrame, reference: str, by_kind: bool = False) -> DataFrame:
     """Per reader model: valid share, present share, agreement with a reference reader.
 
-    Rows are (model, text_id, slot_id, kind, status, valid). Agreement is over the
-    slots both readers answered validly.
+    Rows are (run_id, model, text_id, slot_id, kind, status, valid). Agreement is over
+    the slots both readers answered validly in the same run.
     """
-    key = ["text_id", "slot_id"]
+    key = ["run_id", "text_id", "slot_id"]
     against = readings.where((F.col("model") == reference) & F.col("valid")).select(
         *key, F.col("status").alias("_reference")
     )
@@ -435,14 +434,14 @@ def writer_scoreboard(writes: DataFrame) -> DataFrame:
     """Per writer model: texts, mean length ratio to the parent, cost."""
     return writes.groupBy("model").agg(
         F.count("*").alias("texts"),
-        F.round(F.avg(F.col("chars") / F.col("source_chars")), 4).alias("mean_length_ratio"),
+        F.round(F.avg(F.try_divide("chars", "source_chars")), 4).alias("mean_length_ratio"),
         F.round(F.sum("usd"), 6).alias("usd"),
     )
 
 
 def latest_run(runs: DataFrame, supported: DataFrame) -> DataFrame:
     """The newest run whose two models are both supported."""
-    names = F.broadcast(supported.select("model").distinct())
+    names = supported.select("model").distinct()
     usable = runs.join(names.withColumnRenamed("model", "transformer_model"), "transformer_model", "left_semi").join(
         names.withColumnRenamed("model", "extractor_model"), "extractor_model", "left_semi"
     )
@@ -482,7 +481,9 @@ def project_run(records: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Recorded evidence as the relational run tables.
 
     ``records`` holds runs (run_id, status, started_at, manifest) and parsed
-    sources, generations, readings and calls; calls carry event_index.
+    sources, generations, readings and calls; calls carry event_index. A source
+    without slots keeps its texts; a generation whose source is missing is no text but
+    a row of ``rejects`` with its reason.
     """
     sources, generations, readings = records["sources"], records["generations"], records["readings"]
     source_id = F.concat(F.lit("source:"), "passage_id")
@@ -499,7 +500,11 @@ def project_run(records: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     )
     from_generations = generations.drop("parent_sha256").withColumn(
         "parent_text_id", F.coalesce("parent_text_id", source_id)
-    ).join(groups, ["run_id", "passage_id"])
+    ).join(groups.withColumn("_known", F.lit(True)), ["run_id", "passage_id"], "left")
+    orphans = from_generations.where("_known IS NULL").select(
+        "run_id", "text_id", "passage_id", F.lit("source missing").alias("reason")
+    )
+    from_generations = from_generations.where("_known").drop("_known")
     slot = sources.select("run_id", source_id.alias("text_id"), "annotation_status", F.explode("slots").alias("s"))
     read_text = F.when(F.col("generation") == 0, source_id).otherwise(F.col("text_id"))
     observed = readings.select("run_id", "call_id", F.explode("slots").alias("s"))
@@ -514,4 +519,5 @@ def project_run(records: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "call_events": records["calls"].select(
             "run_id", "event_index", "call_id", "event", F.col("value").alias("receipt")
         ),
+        "rejects": orphans,
     }

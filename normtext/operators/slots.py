@@ -73,7 +73,7 @@ def quote_coverage(passages: DataFrame) -> DataFrame:
         "domain",
         F.length(text).cast("int").alias("chars"),
         union.alias("covered_chars"),
-        F.round(union / F.length(text), 3).alias("coverage"),
+        F.round(F.try_divide(union, F.length(text)), 3).alias("coverage"),
         F.size("slots").alias("slots"),
     )
 

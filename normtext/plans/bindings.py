@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normtext.lexicon import Lexicon, Marker
-from normtext.session import spread
+from normtext.session import dealt
 
 STAND_IN = Lexicon(
     markers=(
@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the lineage columns a bronze row has."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = dealt(table(spark, sf_dir, "documents"))
     document_id = F.concat(F.lit("doc-"), F.col("doc_id"))
     return docs.select(
         document_id.alias("document_id"),
@@ -98,10 +98,14 @@ SLOT_SCHEMA = (
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turn 0 is the source text of a passage, each later turn one generation of its chain."""
+    """Turn 0 is the source text of a passage, each later turn one generation of its chain.
+
+    Three runs hold passages, chains and texts of the same ids.
+    """
     turns = table(spark, sf_dir, "conversations")
-    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("int")
-    style = F.when(F.col("conv_id") % 2 == 0, "paraphrase").otherwise("allegorize")
+    number = F.expr("conv_id div 3")
+    conv, turn = number.cast("string"), F.col("turn").cast("int")
+    style = F.when(number % 2 == 0, "paraphrase").otherwise("allegorize")
     generated = turn > 0
     chain = F.concat(F.lit("conv-"), conv, F.lit(":"), style, F.lit(":a"))
     return turns.select(
@@ -113,7 +117,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(generated, style).alias("style"),
         F.when(generated, F.lit("a")).alias("variant"),
         F.when(generated, chain).alias("chain_id"),
-        F.when(F.col("conv_id") % 4 == 0, "categorical").otherwise("statutory").alias("norm_group"),
+        F.when(number % 4 == 0, "categorical").otherwise("statutory").alias("norm_group"),
+        F.when(number % 4 == 0, F.concat(F.lit("pair-"), conv)).alias("pair_id"),
         F.col("text"),
         F.sha2("text", 256).alias("text_sha256"),
         F.length("text").alias("chars"),
@@ -135,8 +140,11 @@ def source_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slot stands in a passage if its source text holds the quote."""
     return (
         sources(spark, sf_dir)
-        .select("run_id", "text_id", "passage_id", F.explode(_held_slots()).alias("s"))
-        .select("run_id", "text_id", "passage_id", "s.*")
+        .select("run_id", "text_id", "passage_id", "chars", F.explode(_held_slots()).alias("s"))
+        .select(
+            "run_id", "text_id", "passage_id", "s.*",
+            F.when(F.col("chars") % 2 == 0, "draft").otherwise("ratified").alias("annotation_status"),
+        )
     )
 
 
@@ -184,7 +192,7 @@ def slot_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source turns with the slots whose quote they hold, as an array on the row."""
     return sources(spark, sf_dir).select(
-        "passage_id",
+        F.concat_ws(":", "run_id", "passage_id").alias("passage_id"),  # runs repeat the ids of passages
         F.col("run_id").alias("experiment"),
         F.when(F.col("role") == "system", "inline").otherwise("statute").alias("domain"),
         F.col("norm_group").alias("group"),
@@ -198,7 +206,7 @@ GROUP_NAMES = ["virtue", "categorical", "conditional", "statutory"]
 
 def axis_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as axis passages; neighbours form pairs, the language is the topic."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = dealt(table(spark, sf_dir, "documents"))
     group = F.element_at(F.array(*[F.lit(g) for g in GROUP_NAMES]), (F.col("doc_id") % 4).cast("int") + 1)
     return docs.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("passage_id"),

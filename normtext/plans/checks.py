@@ -164,9 +164,10 @@ def passage_contract(spark, sf_dir):
 @registry.add(
     "reading_contract",
     f"""WITH {run_sql.TEXTS},{run_sql.SLOTS}, asked AS (SELECT run_id, passage_id, count(*) AS n FROM source_slots GROUP BY 1, 2)
-    SELECT t.run_id, t.text_id, reason, reason IS NULL AS valid FROM (SELECT t.*, CASE chars % 6 WHEN 0 THEN NULL WHEN 1 THEN 'unknown status'
+    SELECT t.run_id, t.text_id, reason, reason IS NULL AS valid
+    FROM (SELECT t.*, CASE CASE WHEN n IS NULL AND chars % 6 <> 5 THEN 0 ELSE chars % 6 END WHEN 0 THEN NULL WHEN 1 THEN 'unknown status'
       WHEN 2 THEN 'note required' WHEN 3 THEN 'quote is not in the text' WHEN 4 THEN 'missing, duplicate or unknown slot ids'
-      ELSE 'answer must contain only slots' END AS reason FROM texts t) t JOIN asked USING (run_id, passage_id)""",
+      ELSE 'answer must contain only slots' END AS reason FROM texts t LEFT JOIN asked USING (run_id, passage_id)) t""",
 )
 def reading_contract(spark, sf_dir):
     """Answers with one planted fault per remainder of the text's length."""
@@ -174,7 +175,9 @@ def reading_contract(spark, sf_dir):
     slots = source_slots(spark, sf_dir).groupBy("run_id", "passage_id").agg(
         F.array_sort(F.collect_list(F.struct("slot_id", F.col("quote").alias("q")))).alias("_s")
     )
-    rows = texts(spark, sf_dir).select("run_id", "text_id", "passage_id", "text", "chars").join(slots, ["run_id", "passage_id"])
+    rows = texts(spark, sf_dir).select("run_id", "text_id", "passage_id", "text", "chars").join(slots, ["run_id", "passage_id"], "left")
+    none = F.array().cast("array<struct<slot_id:string,q:string>>")
+    rows = rows.withColumn("_s", F.coalesce("_s", none))  # a passage may ask for nothing; an empty list answers it
 
     def answer(slot):
         there = F.contains("text", slot["q"])
@@ -214,34 +217,52 @@ def span_contract(spark, sf_dir):
 
 @registry.add(
     "run_audit",
-    f"""WITH {run_sql.BASE}, faulty AS (SELECT *, CASE WHEN chars % 13 = 0 THEN '0' ELSE sha256(text) END AS sha,
+    f"""WITH {run_sql.BASE}, twice AS (SELECT *, text_id AS own_id FROM texts
+      UNION ALL SELECT * REPLACE (text_id || ':again' AS text_id), text_id FROM texts WHERE generation = 0 AND chars % 31 = 0),
+    faulty AS (SELECT *, CASE WHEN chars % 13 = 0 THEN '0' ELSE sha256(text) END AS sha,
         CASE WHEN generation > 0 AND chars % 17 = 0 THEN generation + 1 ELSE generation END AS g,
-        CASE WHEN chars % 19 = 0 THEN 'other' ELSE chain_id END AS chain FROM texts),
+        CASE WHEN chars % 19 = 0 THEN 'other' ELSE chain_id END AS chain, CASE WHEN chars % 23 = 0 THEN 'other' ELSE style END AS way FROM twice),
     lineage AS (SELECT c.run_id, c.text_id AS id, CASE WHEN p.text_id IS NULL THEN 'parent text is missing'
         WHEN c.g <> p.g + 1 THEN 'generation is not parent + 1' WHEN CASE WHEN c.chars % 11 = 0 THEN 'x' ELSE sha256(p.text) END <> p.sha THEN 'parent hash mismatch'
-        WHEN p.g > 0 AND c.chain IS DISTINCT FROM p.chain THEN 'chain metadata mismatch' END AS problem
-      FROM faulty c LEFT JOIN texts q ON q.text_id = c.parent_text_id LEFT JOIN faulty p ON p.text_id = c.parent_text_id WHERE c.g > 0)
+        WHEN p.g > 0 AND (c.chain IS DISTINCT FROM p.chain OR c.way IS DISTINCT FROM p.way OR c.variant IS DISTINCT FROM p.variant)
+          THEN 'chain metadata mismatch' END AS problem
+      FROM faulty c LEFT JOIN faulty p ON p.run_id = c.run_id AND p.text_id = c.parent_text_id WHERE c.g > 0),
+    made AS (SELECT run_id, count(*) FILTER (g > 0) AS n FROM faulty GROUP BY 1),
+    taken AS (SELECT run_id, count(*) AS n FROM readings GROUP BY 1)
     SELECT run_id, text_id AS id, 'text hash mismatch' AS problem FROM faulty WHERE chars % 13 = 0
     UNION ALL SELECT * FROM lineage WHERE problem IS NOT NULL
-    UNION ALL SELECT run_id, run_id, 'completed run misses generations or readings' FROM (SELECT DISTINCT run_id FROM texts) r""",
+    UNION ALL SELECT run_id, text_id, 'reading target metadata mismatch' FROM faulty JOIN readings r USING (run_id, text_id)
+      WHERE r.chars % 29 = 0 OR faulty.g <> r.generation
+    UNION ALL SELECT run_id, passage_id, 'duplicate source passage' FROM faulty WHERE g = 0 GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT m.run_id, m.run_id, 'completed run misses generations or readings' FROM made m JOIN taken r USING (run_id)
+      WHERE m.run_id <> 'run-1'""",
 )
 def run_audit(spark, sf_dir):
-    """Runs with planted faults in hashes, generations, parents and chain ids."""
+    """Runs with planted faults in hashes, generations, parents, chains, styles, readings and sources."""
     plain = texts(spark, sf_dir)
     n = F.col("chars")
     parents = plain.select("run_id", F.col("text_id").alias("parent_text_id"), F.col("text_sha256").alias("_p"))
-    faulty = plain.join(parents, ["run_id", "parent_text_id"], "left").withColumns(
+    again = plain.where((F.col("generation") == 0) & (n % 31 == 0)).withColumn("text_id", F.concat("text_id", F.lit(":again")))
+    faulty = plain.unionByName(again).join(parents, ["run_id", "parent_text_id"], "left").withColumns(
         {
             "parent_sha256": F.when(n % 11 == 0, "x").otherwise(F.col("_p")),
             "text_sha256": F.when(n % 13 == 0, "0").otherwise(F.col("text_sha256")),
             "generation": F.when((F.col("generation") > 0) & (n % 17 == 0), F.col("generation") + 1).otherwise(F.col("generation")),
             "chain_id": F.when(n % 19 == 0, "other").otherwise(F.col("chain_id")),
+            "style": F.when(n % 23 == 0, "other").otherwise(F.col("style")),
         }
     )
-    headers = run_headers(spark, sf_dir).select(
-        "run_id", F.lit("completed").alias("status"), F.lit(3).alias("planned_transformations"), F.lit(3).alias("planned_readings")
+    read = readings(spark, sf_dir).withColumn(
+        "passage_id", F.when(n % 29 == 0, "nowhere").otherwise(F.col("passage_id"))
     )
-    return quality.audit_run(headers, faulty, readings(spark, sf_dir))
+    made = faulty.where("generation > 0").groupBy("run_id").agg(F.count("*").alias("made"))
+    taken = read.groupBy("run_id").agg(F.count("*").alias("taken"))
+    short = F.when(F.col("run_id") == "run-1", 0).otherwise(1)  # only run-1 holds what was planned
+    headers = made.join(taken, "run_id").select(
+        "run_id", F.lit("completed").alias("status"),
+        (F.col("made") + short).alias("planned_transformations"), (F.col("taken") + short).alias("planned_readings"),
+    )
+    return quality.audit_run(headers, faulty, read)
 
 
 @registry.add(

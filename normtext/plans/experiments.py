@@ -34,7 +34,7 @@ _HEADERS = """headers AS (SELECT run_id, CASE WHEN sum(chars) % 2 = 0 THEN 'comp
 def _passages(spark, sf_dir):
     """Categorical passages are only paraphrased; statutory ones get every style."""
     only = F.when(F.col("norm_group") == "categorical", F.array(F.lit("paraphrase")))
-    return sources(spark, sf_dir).select("passage_id", only.alias("styles"))
+    return sources(spark, sf_dir).select("run_id", "passage_id", only.alias("styles"))
 
 
 def _grid(spark, sf_dir):
@@ -43,7 +43,7 @@ def _grid(spark, sf_dir):
 
 _GRID = f"""{run_sql.BASE},
 grid AS MATERIALIZED (
-  SELECT t.passage_id || ':' || p.style || ':' || p.variant AS chain_id, t.passage_id, p.style, p.variant, g::INT AS generation
+  SELECT t.run_id, t.passage_id || ':' || p.style || ':' || p.variant AS chain_id, t.passage_id, p.style, p.variant, g::INT AS generation
   FROM texts t, (VALUES {", ".join(f"('{s}', '{v}')" for s, v in PROMPTS)}) p(style, variant), unnest(range(1, {DEPTH + 1})) r(g)
   WHERE t.generation = 0 AND (t.norm_group <> 'categorical' OR p.style = 'paraphrase'))"""
 
@@ -59,7 +59,7 @@ READ_USD = (1200 * 1.0 + 450 * 5.0) / 1e6
 
 @registry.add(
     "experiment_plan",
-    f"""WITH {_GRID}, n AS (SELECT count(*) AS cells, count(DISTINCT chain_id) AS chains FROM grid),
+    f"""WITH {_GRID}, n AS (SELECT count(*) AS cells, count(DISTINCT (run_id, chain_id)) AS chains FROM grid),
     p AS (SELECT count(*) AS passages FROM texts WHERE generation = 0)
     SELECT passages, chains, cells AS planned_transformations, cells + passages AS planned_readings,
       round(cells * {TRANSFORM_USD} + (cells + passages) * {READ_USD}, 4)::DOUBLE AS planned_usd FROM n, p""",
@@ -70,14 +70,16 @@ def experiment_plan(spark, sf_dir):
 
 def _ended(spark, sf_dir):
     """A chain has ended where its writer refused: here, where a turn has no period."""
-    return texts(spark, sf_dir).where((F.col("generation") > 0) & ~F.contains("text", F.lit("."))).select("chain_id").distinct()
+    return texts(spark, sf_dir).where((F.col("generation") > 0) & ~F.contains("text", F.lit("."))).select("run_id", "chain_id").distinct()
 
 
 @registry.add(
     "next_generations",
-    f"""WITH {_GRID} SELECT g.chain_id, min(g.generation) AS next_generation FROM grid g
-    ANTI JOIN (SELECT chain_id, generation FROM texts WHERE generation > 0) t ON t.chain_id = g.chain_id AND t.generation = g.generation
-    WHERE g.chain_id NOT IN (SELECT chain_id FROM texts WHERE generation > 0 AND NOT contains(text, '.')) GROUP BY 1""",
+    f"""WITH {_GRID} SELECT g.run_id, g.chain_id, min(g.generation) AS next_generation FROM grid g
+    ANTI JOIN (SELECT run_id, chain_id, generation FROM texts WHERE generation > 0) t
+      ON t.run_id = g.run_id AND t.chain_id = g.chain_id AND t.generation = g.generation
+    WHERE NOT EXISTS (SELECT 1 FROM texts e WHERE e.run_id = g.run_id AND e.chain_id = g.chain_id AND e.generation > 0
+      AND NOT contains(e.text, '.')) GROUP BY 1, 2""",
 )
 def next_generations(spark, sf_dir):
     return runs.next_generations(_grid(spark, sf_dir), texts(spark, sf_dir), _ended(spark, sf_dir))
@@ -95,8 +97,8 @@ def unread_texts(spark, sf_dir):
 
 _COMPARED = f"""{run_sql.BASE},{_HEADERS},
 comparisons AS MATERIALIZED (
-  SELECT t.run_id, t.text_id, t.parent_text_id, t.passage_id, t.generation, t.chain_id, t.norm_group, t.style, t.variant,
-    s.slot_id, s.kind, s.attaches_to, s.quote AS source_quote, pb.status AS parent_status, a.status AS child_status,
+  SELECT t.run_id, t.text_id, t.parent_text_id, t.passage_id, t.generation, t.chain_id, t.norm_group, t.pair_id, t.style, t.variant,
+    s.slot_id, s.kind, s.attaches_to, s.quote AS source_quote, s.annotation_status, pb.status AS parent_status, a.status AS child_status,
     a.quote AS child_quote, r.model AS reader_model, r.call_id AS reader_call_id, pr.call_id AS parent_reader_call_id,
     o.status AS source_status, a.note AS reader_note, h.status AS run_status
   FROM texts t JOIN headers h USING (run_id) JOIN source_slots s ON s.run_id = t.run_id AND s.passage_id = t.passage_id
@@ -249,9 +251,9 @@ def loss_order_counts(spark, sf_dir):
 
 @registry.add(
     "chain_coverage",
-    f"""WITH {_GRID}, done AS (SELECT chain_id, count(*) AS n FROM texts WHERE generation > 0 GROUP BY 1)
-    SELECT g.chain_id, passage_id, style, variant, count(*) AS planned, coalesce(any_value(n), 0) AS generated,
-      coalesce(any_value(n), 0) = count(*) AS complete FROM grid g LEFT JOIN done d ON d.chain_id = g.chain_id GROUP BY ALL""",
+    f"""WITH {_GRID}, done AS (SELECT run_id, chain_id, count(*) AS n FROM texts WHERE generation > 0 GROUP BY 1, 2)
+    SELECT g.run_id, g.chain_id, passage_id, style, variant, count(*) AS planned, coalesce(any_value(n), 0) AS generated,
+      coalesce(any_value(n), 0) = count(*) AS complete FROM grid g LEFT JOIN done d ON d.run_id = g.run_id AND d.chain_id = g.chain_id GROUP BY ALL""",
 )
 def chain_coverage(spark, sf_dir):
     return runs.coverage(_grid(spark, sf_dir), texts(spark, sf_dir))
@@ -259,8 +261,9 @@ def chain_coverage(spark, sf_dir):
 
 @registry.add(
     "texts_per_generation",
-    f"""WITH {run_sql.TEXTS} SELECT g::INT AS generation, count(t.text_id) AS texts FROM range(11) r(g)
-    LEFT JOIN texts t ON t.generation = g GROUP BY 1""",
+    f"""WITH {run_sql.TEXTS} SELECT n.run_id, g::INT AS generation, count(t.text_id) AS texts
+    FROM (SELECT DISTINCT run_id FROM texts) n CROSS JOIN range(11) r(g)
+    LEFT JOIN texts t ON t.run_id = n.run_id AND t.generation = g GROUP BY 1, 2""",
 )
 def texts_per_generation(spark, sf_dir):
     return runs.texts_per_generation(texts(spark, sf_dir), 10)
@@ -268,7 +271,7 @@ def texts_per_generation(spark, sf_dir):
 
 @registry.add(
     "survival_curve",
-    f"""WITH {_PANEL} SELECT generation, CASE WHEN kind = 'exception' THEN 'Exception' WHEN attaches_to = 'exception'
+    f"""WITH {_PANEL} SELECT run_id, generation, CASE WHEN kind = 'exception' THEN 'Exception' WHEN attaches_to = 'exception'
         THEN 'Condition on exception' ELSE 'Other slots' END AS slot_category,
       count(*) FILTER (status = 'present') AS present, count(*) FILTER (status = 'absent') AS absent,
       count(*) FILTER (status = 'uncertain') AS uncertain, count(*) FILTER (status = 'not_read') AS not_read,
@@ -381,7 +384,8 @@ def _two_readers(spark, sf_dir):
         F.struct(F.lit("verbatim").alias("model"), loose.alias("status"), F.lit(True).alias("valid")),
         F.struct(F.lit("strict").alias("model"), strict.alias("status"), (F.col("chars") % 11 != 0).alias("valid")),
     )
-    return read.select("text_id", "slot_id", "kind", F.explode(answers).alias("a")).select("text_id", "slot_id", "kind", "a.*")
+    keys = ["run_id", "text_id", "slot_id", "kind"]
+    return read.select(*keys, F.explode(answers).alias("a")).select(*keys, "a.*")
 
 
 def _readers_sql(by: str) -> str:
@@ -449,12 +453,13 @@ def run_records(spark, sf_dir):
     answers = seen.groupBy("run_id", "call_id").agg(
         F.array_sort(F.collect_list(F.struct("slot_id", "status", "quote", "note"))).alias("slots")
     )
-    source_lines = all_texts.where("generation = 0").join(slot_lists, ["run_id", "passage_id"]).select(
+    source_lines = all_texts.where("generation = 0").join(slot_lists, ["run_id", "passage_id"], "left").select(
         "run_id",
         F.to_json(
             F.struct(
                 "passage_id", "text", "text_sha256", F.lit("http://texts.example/").alias("source_url"),
-                F.col("norm_group").alias("group"), F.lit("draft").alias("annotation_status"), "slots",
+                F.col("norm_group").alias("group"), "pair_id",
+                F.when(F.col("chars") % 2 == 0, "draft").otherwise("ratified").alias("annotation_status"), "slots",
             )
         ).alias("value"),
     )
@@ -468,7 +473,7 @@ def run_records(spark, sf_dir):
             )
         ).alias("value"),
     )
-    reading_lines = read.join(answers, ["run_id", "call_id"]).select(
+    reading_lines = read.join(answers, ["run_id", "call_id"], "left").select(
         "run_id",
         F.to_json(
             F.struct(
@@ -490,14 +495,11 @@ def run_records(spark, sf_dir):
     }
 
 
-_HELD = "t.passage_id IN (SELECT passage_id FROM source_slots)"
-
-
 @registry.add(
     "projected_texts",
     f"""WITH {run_sql.BASE} SELECT run_id, CASE WHEN generation = 0 THEN 'source:' || passage_id ELSE text_id END AS text_id,
       passage_id, generation, CASE WHEN generation = 1 THEN 'source:' || passage_id ELSE parent_text_id END AS parent_text_id,
-      style, variant, sha256(text) AS text_sha256, chain_id, norm_group FROM texts t WHERE {_HELD}""",
+      style, variant, sha256(text) AS text_sha256, chain_id, norm_group FROM texts t""",
 )
 def projected_texts(spark, sf_dir):
     projected = runs.project_run(run_records(spark, sf_dir))["texts"]
@@ -510,7 +512,7 @@ def projected_texts(spark, sf_dir):
 @registry.add(
     "projected_source_slots",
     f"""WITH {run_sql.BASE} SELECT run_id, 'source:' || passage_id AS text_id, slot_id, kind, attaches_to, quote,
-      'draft' AS annotation_status FROM source_slots""",
+      annotation_status FROM source_slots""",
 )
 def projected_source_slots(spark, sf_dir):
     return runs.project_run(run_records(spark, sf_dir))["source_slots"]

@@ -16,11 +16,11 @@ from normtext.plans.registry import Registry
 registry = Registry()
 
 _ROWS = f"""{run_sql.TEXTS},{run_sql.SLOTS},
-passages AS (SELECT passage_id, run_id AS experiment, CASE WHEN role = 'system' THEN 'inline' ELSE 'statute' END AS domain,
+passages AS (SELECT run_id || ':' || passage_id AS passage_id, run_id AS experiment, CASE WHEN role = 'system' THEN 'inline' ELSE 'statute' END AS domain,
   norm_group AS "group", text FROM texts WHERE generation = 0),
 rows AS MATERIALIZED (SELECT p.*, s.slot_id, s.kind, s.attaches_to, s.quote, length(p.text)::INT AS passage_chars,
   length(s.quote)::INT AS quote_chars, (strpos(p.text, s.quote) - 1)::INT AS quote_start
-  FROM passages p JOIN source_slots s USING (passage_id))"""
+  FROM passages p JOIN source_slots s ON s.run_id || ':' || s.passage_id = p.passage_id)"""
 
 
 def _rows(spark, sf_dir):
@@ -80,9 +80,9 @@ def condition_order(spark, sf_dir):
 
 def _chains(spark, sf_dir):
     only = F.when(F.col("norm_group") == "categorical", F.array(F.lit("paraphrase")))
-    passages = sources(spark, sf_dir).select("passage_id", only.alias("styles"))
-    cells = runs.grid(passages, PROMPTS, 1)
-    return cells.join(sources(spark, sf_dir).select("passage_id", F.col("run_id").alias("experiment")), "passage_id")
+    own_id = F.concat_ws(":", "run_id", "passage_id").alias("passage_id")
+    passages = sources(spark, sf_dir).select("run_id", own_id, only.alias("styles"))
+    return runs.grid(passages, PROMPTS, 1).withColumnRenamed("run_id", "experiment")
 
 
 _CHAINS = f"""{_ROWS}, chains AS MATERIALIZED (SELECT p.experiment, p.passage_id, p.passage_id || ':' || s || ':' || v AS chain_id, s AS style
@@ -201,8 +201,9 @@ def control_failures(spark, sf_dir):
 
 @registry.add(
     "length_matches",
-    """WITH RECURSIVE targets AS (SELECT row_number() OVER (ORDER BY length(text), 'item-' || item_id) AS n,
-        'item-' || item_id AS id, length(text) AS chars FROM benchmark),
+    """WITH RECURSIVE wanted AS (SELECT 'item-' || item_id AS id, length(text) AS chars FROM benchmark
+      UNION ALL SELECT 'turn-' || conv_id || '-' || turn, length(text) FROM conversations),
+    targets AS (SELECT row_number() OVER (ORDER BY chars, id) AS n, id, chars FROM wanted),
     controls AS (SELECT 'doc-' || doc_id AS id, length(text) AS chars FROM documents),
     taking(n, used, id, chars) AS (
       SELECT 0::BIGINT, []::VARCHAR[], ''::VARCHAR, 0::BIGINT
@@ -215,9 +216,13 @@ def control_failures(spark, sf_dir):
     FROM taking k JOIN targets t USING (n)""",
 )
 def length_matches(spark, sf_dir):
-    """Benchmark passages take the document nearest in length, each document once."""
-    targets = table(spark, sf_dir, "benchmark").select(
+    """Benchmark passages and conversation turns take the document nearest in length, each document once."""
+    items = table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("passage_id"), F.length("text").alias("chars")
     )
+    turns = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("passage_id"), F.length("text").alias("chars")
+    )
+    targets = items.unionByName(turns)
     controls = documents(spark, sf_dir).select(F.col("document_id").alias("passage_id"), F.length("text").alias("chars"))
     return match_lengths(targets, controls)

@@ -11,17 +11,19 @@ def _value(v: str | None) -> str:
 
 TEXTS = """
 texts AS MATERIALIZED (
-  SELECT 'run-' || (conv_id % 3) AS run_id, 'conv-' || conv_id || ':' || turn AS text_id, 'conv-' || conv_id AS passage_id,
-    turn::INT AS generation, CASE WHEN turn > 0 THEN 'conv-' || conv_id || ':' || (turn - 1) END AS parent_text_id,
-    CASE WHEN turn > 0 THEN CASE WHEN conv_id % 2 = 0 THEN 'paraphrase' ELSE 'allegorize' END END AS style,
+  SELECT 'run-' || (conv_id % 3) AS run_id, 'conv-' || (conv_id // 3) || ':' || turn AS text_id, 'conv-' || (conv_id // 3) AS passage_id,
+    turn::INT AS generation, CASE WHEN turn > 0 THEN 'conv-' || (conv_id // 3) || ':' || (turn - 1) END AS parent_text_id,
+    CASE WHEN turn > 0 THEN CASE WHEN (conv_id // 3) % 2 = 0 THEN 'paraphrase' ELSE 'allegorize' END END AS style,
     CASE WHEN turn > 0 THEN 'a' END AS variant,
-    CASE WHEN turn > 0 THEN 'conv-' || conv_id || ':' || CASE WHEN conv_id % 2 = 0 THEN 'paraphrase' ELSE 'allegorize' END || ':a' END AS chain_id,
-    CASE WHEN conv_id % 4 = 0 THEN 'categorical' ELSE 'statutory' END AS norm_group, text, length(text)::INT AS chars, role
+    CASE WHEN turn > 0 THEN 'conv-' || (conv_id // 3) || ':' || CASE WHEN (conv_id // 3) % 2 = 0 THEN 'paraphrase' ELSE 'allegorize' END || ':a' END AS chain_id,
+    CASE WHEN (conv_id // 3) % 4 = 0 THEN 'categorical' ELSE 'statutory' END AS norm_group,
+    CASE WHEN (conv_id // 3) % 4 = 0 THEN 'pair-' || (conv_id // 3) END AS pair_id, text, length(text)::INT AS chars, role
   FROM conversations)"""
 
 SLOTS = f"""
 source_slots AS MATERIALIZED (
-  SELECT t.run_id, t.text_id, t.passage_id, v.* FROM texts t JOIN (VALUES
+  SELECT t.run_id, t.text_id, t.passage_id, v.*, CASE WHEN t.chars % 2 = 0 THEN 'draft' ELSE 'ratified' END AS annotation_status
+  FROM texts t JOIN (VALUES
     {", ".join("(" + ", ".join(_value(x) for x in row) + ")" for row in SLOT_ROWS)})
     v(slot_id, kind, attaches_to, quote, determinacy, modality)
   ON t.generation = 0 AND contains(t.text, v.quote))"""

@@ -156,15 +156,7 @@ def ceiling_flags(spark, sf_dir):
 )
 def ceiling_scan(spark, sf_dir):
     gated = shortlist.score(provisions(spark, sf_dir), STAND_IN).where(F.col("score").isNotNull())
-    windows = markers.ceiling_windows("text", STAND_IN)
-    seen = gated.select(F.transform(windows, lambda w: w["has_bound"]).alias("bounds"))
-    opener, flagged = F.size("bounds") > 0, F.exists("bounds", lambda b: b)
-    return seen.agg(
-        F.count("*").alias("candidates"),
-        F.count_if(opener).alias("with_opener"),
-        F.count_if(flagged).alias("flagged"),
-        F.round(100.0 * F.count_if(flagged) / F.count_if(opener), 1).alias("flagged_pct"),
-    )
+    return markers.ceiling_scan(gated, STAND_IN)
 
 
 @registry.add(

@@ -132,8 +132,7 @@ def determinacy_distribution(spark, sf_dir):
     FROM markers m LEFT JOIN hits h ON h.category = m.category AND h.marker = m.marker GROUP BY ALL""",
 )
 def marker_frequency(spark, sf_dir):
-    size = provisions(spark, sf_dir).agg(F.count("*").alias("provisions"))
-    return gold.marker_frequency(markers_table(spark, STAND_IN), _hits(spark, sf_dir), size)
+    return gold.marker_frequency(provisions(spark, sf_dir), STAND_IN)
 
 
 @registry.add(
@@ -154,7 +153,7 @@ def short_checkable(spark, sf_dir):
     WHERE d AND e AND NOT q""",
 )
 def near_misses(spark, sf_dir):
-    return gold.near_misses(_hits(spark, sf_dir), provisions(spark, sf_dir))
+    return gold.near_misses(provisions(spark, sf_dir), STAND_IN)
 
 
 @registry.add(
@@ -193,7 +192,7 @@ def best_specimens(spark, sf_dir):
 )
 def top_candidates(spark, sf_dir):
     with_start = provisions(spark, sf_dir).withColumn("text_start", F.substring("text", 1, 120))
-    found = shortlist.shortlist(with_start, STAND_IN, keep=["document_title", "text_start"])
+    found = shortlist.candidates(with_start, STAND_IN, keep=["document_title", "text_start"])
     return gold.top_candidates(found)
 
 
@@ -364,7 +363,7 @@ def hits_by_length(spark, sf_dir):
     GROUP BY 1, 2 HAVING count(*) > count(DISTINCT marker) OR count(DISTINCT marker) > 1""",
 )
 def double_counting(spark, sf_dir):
-    return profile.double_counting(_hits(spark, sf_dir))
+    return profile.double_counting(provisions(spark, sf_dir), STAND_IN)
 
 
 BAND = {"has_that": r"\bthat\b", "has_and_that": r"\band that\b", "has_the": r"\bthe\b", "has_with_the": r"\bwith the\b"}

@@ -31,9 +31,8 @@ def build_session(app: str = "normtext", master: str | None = None, **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A local session that names none gets a temporary folder. A cluster session
-    that names none is an error: a machine-local folder would not outlive the
-    executor that wrote it.
+    A session on one machine that names none, as in a trial, gets a temporary folder. On a
+    cluster that is an error: a folder of one machine would not outlive it.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -41,7 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="normtext-checkpoint-")
     context.setCheckpointDir(configured)
@@ -53,6 +52,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends; until then lazy results may read it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and read them back from there.
 
@@ -63,14 +68,14 @@ def stable(df: DataFrame) -> DataFrame:
     """
     path = shared_path(df.sparkSession, "rows")
     df.write.parquet(path)
+    _delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a heavy per-row scan enough tasks when the input has only a few splits.
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as the session setting ``spark.normtext.scanTasks`` says; as read where it is unset.
 
-    A small file is one split and would keep one core busy. Large inputs already
-    have more splits than the cluster has cores and pass through unshuffled.
+    A small file is one split and keeps one core busy; a benchmark over small files sets the number.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get("spark.normtext.scanTasks", None)
+    return df.repartition(int(tasks)) if tasks else df

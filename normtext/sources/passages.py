@@ -23,10 +23,6 @@ def resolve_passages(specs: DataFrame, provisions: DataFrame, sections: DataFram
             F.concat(F.lit("section-"), "section").alias("source_anchor"),
         )
     )
-    # One text per id and a count, so a repeated id is reported without gathering its texts.
-    unique = held.groupBy("domain", "document_id", "_part").agg(
-        F.count("*").alias("_matches"), F.min("text").alias("_text"), F.min("source_anchor").alias("_anchor")
-    )
     split = specs.withColumns(
         {
             "document_id": F.when(F.col("domain") != "inline", F.substring_index("passage_id", ":", 1)),
@@ -36,6 +32,12 @@ def resolve_passages(specs: DataFrame, provisions: DataFrame, sections: DataFram
             ),
         }
     )
+    keys = ["domain", "document_id", "_part"]
+    held = held.join(split.select(*keys).distinct(), keys, "left_semi")  # only wanted texts are moved
+    # One text per id and a count, so a repeated id is reported without gathering its texts.
+    unique = held.groupBy("domain", "document_id", "_part").agg(
+        F.count("*").alias("_matches"), F.min("text").alias("_text"), F.min("source_anchor").alias("_anchor")
+    )
     joined = split.join(known, "document_id", "left").join(unique, ["domain", "document_id", "_part"], "left")
     inline = F.col("domain") == "inline"
     body = F.when(inline, F.col("text")).otherwise(F.col("_text"))

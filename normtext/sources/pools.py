@@ -35,7 +35,7 @@ def select_pool(listing: DataFrame, seeds: DataFrame, count: int, rule: Column)
         listing.where(rule)
         .groupBy("document_id")
         .agg(F.max("issued_at").alias("issued_at"))
-        .join(F.broadcast(fixed.select("document_id")), "document_id", "left_anti")
+        .join(fixed.select("document_id"), "document_id", "left_anti")
         .orderBy(F.desc("issued_at"), "document_id")
         .limit(count)
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -86,6 +87,7 @@ def main():
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = build_session(
         master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="compare-"), spark__normtext__scanTasks="16",
         spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
