@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normtext import fixed_values as fv
-from normtext.functions.text import IGNORE_CASE, sql_literal
+from normtext.functions.text import BLOCK, IGNORE_CASE, sql_literal
 from normtext.lexicon import SWEDISH, Lexicon
 from normtext.operators.shortlist import any_of, fires
 
@@ -46,21 +46,21 @@ PART = "struct<content:string,start:int>"
 
 def packed_parts(text: str, room: str) -> Column:
     """Greedy packing of blank-line blocks into parts of at most ``room`` characters."""
-    block = "p"
-    fits = f"s.started AND length(s.now) > 0 AND length(s.now) + 2 + length({block}) <= {room}"
-    close = (
-        "if(s.started AND length(s.now) > 0,"
-        " concat(s.parts, array(named_struct('content', s.now, 'start', s.at))), s.parts)"
-    )
+    fits = f"s.started AND length(s.now) > 0 AND length(s.now) + 2 + length(p) <= {room}"
+    ends = "s.started AND length(s.now) > 0"
+    part = "array(named_struct('content', s.now, 'start', s.at))"
+    full = f"size(s.block) >= {BLOCK}"  # finished parts move on in blocks, so many parts stay cheap
     return F.expr(
         f"aggregate(split({text}, '\\n\\n', -1),"
-        f" named_struct('started', false, 'now', '', 'at', 0, 'next', 0, 'parts', cast(array() AS array<{PART}>)),"
-        f" (s, {block}) -> if({fits},"
-        f" named_struct('started', true, 'now', concat(s.now, '\\n\\n', {block}), 'at', s.at,"
-        f" 'next', s.next + length({block}) + 2, 'parts', s.parts),"
-        f" named_struct('started', true, 'now', {block}, 'at', s.next,"
-        f" 'next', s.next + length({block}) + 2, 'parts', {close})),"
-        f" s -> {close})"
+        f" named_struct('started', false, 'now', '', 'at', 0, 'next', 0, 'block', cast(array() AS array<{PART}>),"
+        f" 'done', cast(array() AS array<array<{PART}>>)),"
+        f" (s, p) -> if({fits},"
+        f" named_struct('started', true, 'now', concat(s.now, '\\n\\n', p), 'at', s.at,"
+        f" 'next', s.next + length(p) + 2, 'block', s.block, 'done', s.done),"
+        f" named_struct('started', true, 'now', p, 'at', s.next, 'next', s.next + length(p) + 2,"
+        f" 'block', if({ends}, if({full}, {part}, concat(s.block, {part})), s.block),"
+        f" 'done', if({ends} AND {full}, concat(s.done, array(s.block)), s.done))),"
+        f" s -> flatten(concat(s.done, array(s.block), if({ends}, array({part}), cast(array() AS array<array<{PART}>>)))))"
     )
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normtext.operators import runs
 from normtext.plans import run_sql
 from normtext.plans.bindings import readings, slot_observations, source_slots, sources, table, texts
 from normtext.plans.registry import Registry
+from normtext.session import shared_path
+from normtext.sources import tables
 
 registry = Registry()
 DEPTH = 7
@@ -535,3 +540,22 @@ def projected_observations(spark, sf_dir):
 )
 def projected_call_events(spark, sf_dir):
     return runs.project_run(run_records(spark, sf_dir))["call_events"].drop("receipt")
+
+
+@registry.add(
+    "exported_run",
+    f"""WITH {run_sql.BASE} SELECT 'texts' AS table_name, run_id, count(*) AS rows, min(text_id) AS first_id FROM texts WHERE run_id = 'run-1' GROUP BY 2
+    UNION ALL SELECT 'source_slots', run_id, count(*), min(text_id) FROM source_slots WHERE run_id = 'run-1' GROUP BY 2
+    UNION ALL SELECT 'readings', run_id, count(*), min(text_id) FROM readings WHERE run_id = 'run-1' GROUP BY 2
+    UNION ALL SELECT 'slot_observations', run_id, count(*), min(text_id) FROM observations WHERE run_id = 'run-1' GROUP BY 2""",
+)
+def exported_run(spark, sf_dir):
+    """One run written as Parquet and read back, table by table."""
+    names = ["texts", "source_slots", "readings", "slot_observations"]
+    path = tables.export_run(dict(zip(names, run_tables(spark, sf_dir))), "run-1", shared_path(spark, "run"))
+    counted = [
+        tables.read_table(spark, path, name).groupBy("run_id").agg(F.count("*").alias("rows"), F.min("text_id").alias("first_id"))
+        .withColumn("table_name", F.lit(name))
+        for name in names
+    ]
+    return reduce(DataFrame.unionByName, counted)

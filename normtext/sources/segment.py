@@ -46,6 +46,25 @@ def _carried(html: str) -> Column:
     )
 
 
+def _occurrences(names: str) -> str:
+    """SQL for how often each name has occurred so far, in the order of ``names``.
+
+    The names are sorted with their places, counted in one fold and put back, so many
+    anchors cost n log n and not n squared.
+    """
+    nth = "if(x.name = s.name, s.nth + 1, 1)"
+    item = f"array(named_struct('place', x.place, 'nth', {nth}))"
+    full = f"size(s.block) >= {BLOCK}"
+    row = "array<struct<place:int,nth:int>>"
+    return (
+        f"transform(array_sort(aggregate(array_sort(transform({names}, (n, i) -> named_struct('name', n, 'place', i))),"
+        f" named_struct('name', cast(NULL AS string), 'nth', 0, 'block', cast(array() AS {row}), 'done', cast(array() AS array<{row}>)),"
+        f" (s, x) -> named_struct('name', x.name, 'nth', {nth},"
+        f" 'block', if({full}, {item}, concat(s.block, {item})), 'done', if({full}, concat(s.done, array(s.block)), s.done)),"
+        f" s -> flatten(concat(s.done, array(s.block))))), x -> x.nth)"
+    )
+
+
 def _title(segment: Column, tag: str) -> Column:
     return tag_text(F.regexp_extract(segment, rf"(?is)^<{tag}\b[^>]*>(.*?)</{tag}>", 1))
 
@@ -64,10 +83,7 @@ def segment_provisions(documents: DataFrame, keep: Sequence[str] = ("document_id
     second one is suffixed ``:occurrence:2``. Documents without anchors yield nothing."""
     found = documents.select(*keep, _carried("html").alias("_found"))
     named = found.withColumn("_names", F.expr(f"transform(_found, f -> regexp_extract(f.segment, {sql_literal(NAME)}, 1))"))
-    numbered = F.expr(
-        "transform(_names, (n, i) -> if(array_position(_names, n) = i + 1, 1,"
-        " size(filter(slice(_names, 1, i + 1), m -> m = n))))"
-    )
+    numbered = F.expr(_occurrences("_names"))
     rows = named.select(
         *keep, F.posexplode(F.arrays_zip("_found", "_names", numbered.alias("_occurrences"))).alias("_i", "_z")
     )
@@ -134,7 +150,11 @@ def segment_sections(documents: DataFrame, keep: Sequence[str] = ("document_id",
     bodies = F.filter(F.split(clean, HEADING_LINE, -1), lambda b: b.rlike(HEADING_LINE.replace("(?m)^", r"\A")))
     cut = documents.select(*keep, bodies.alias("_bodies"))
     cut = cut.withColumn("_numbers", F.transform("_bodies", lambda b: F.regexp_extract(b, r"\A(\d+(?:\.\d+)*)", 1)))
-    last = F.expr("transform(_numbers, (n, i) -> array_position(reverse(_numbers), n) = size(_numbers) - i)")
+    # Sorted with their places, a number is the last of its kind where the next one differs.
+    last = F.expr(
+        "get(transform(array(array_sort(transform(_numbers, (n, i) -> named_struct('n', n, 'place', i)))), q -> transform(array_sort("
+        "transform(q, (x, i) -> named_struct('place', x.place, 'last', coalesce(get(q, i + 1).n <> x.n, true)))), x -> x.last)), 0)"
+    )
     rows = cut.select(*keep, F.posexplode(F.arrays_zip("_bodies", "_numbers", last.alias("_last"))).alias("_i", "_z"))
     return rows.where(F.col("_z._last")).select(
         *keep,
