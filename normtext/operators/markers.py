@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normtext.functions.text import (
+    BLOCK,
     IGNORE_CASE,
     around,
     distinct_lower,
@@ -201,75 +202,38 @@ def kwic(hits_with_text: DataFrame, width: int) -> DataFrame:
 def layer_spans(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] = ("provision_id",)) -> DataFrame:
     """Cut each text at every span edge; list the spans covering each piece.
 
-    A span knows the run of pieces it covers, so pieces and spans meet in one
-    grouped aggregation. Matches of one marker never overlap each other, so a
-    piece is covered by at most one span per marker and its group is bounded by
-    the lexicon, however long the text. The narrowest span wins the piece.
+    One fold over the sorted edges, inside the row that holds the text: it carries the
+    spans that are open, and finishes a piece at each new edge. Matches of one marker
+    never overlap each other, so at most one span per marker is open, however long the
+    text. The narrowest span wins the piece. Nothing is shuffled.
     """
-    text = F.col("text")
-    found = F.col("_hits")
-    cut = df.select(*keep, text, ordered_hits("text", lexicon).alias("_hits")).withColumn(
-        "_edges",
-        F.array_sort(
-            F.array_distinct(
-                F.concat(
-                    F.array(F.lit(0), F.length(text).cast("int")),
-                    F.transform(found, lambda h: h["char_offset"]),
-                    F.transform(found, lambda h: h["char_end"]),
-                )
-            )
-        ),
+    open_span = "struct<seq:int,width:int,category:string,marker:string>"
+    piece = "struct<piece:int,start:int,end:int,piece_text:string,covering:string,narrowest:string>"
+    edges = (
+        "array_sort(concat(transform(q, (h, i) -> named_struct('at', h.char_offset, 'opens', 1, 'seq', i)),"
+        " transform(q, (h, i) -> named_struct('at', h.char_end, 'opens', 0, 'seq', i)),"
+        " array(named_struct('at', length(text), 'opens', 2, 'seq', -1))))"
     )
-    pieces = (
-        cut.select(*keep, text, "_edges", F.posexplode("_edges").alias("piece", "start"))
-        .withColumn("end", F.get("_edges", F.col("piece") + 1))
-        .where(F.col("end").isNotNull())
-        .select(
-            *keep,
-            "piece",
-            "start",
-            "end",
-            F.substring(text, F.col("start") + 1, F.col("end") - F.col("start")).alias("piece_text"),
-            F.lit(None).cast("struct<width:int,seq:int,category:string,marker:string>").alias("span"),
-        )
+    opened = (
+        "named_struct('seq', x.seq, 'width', get(q, x.seq).char_end - get(q, x.seq).char_offset,"
+        " 'category', get(q, x.seq).category, 'marker', get(q, x.seq).marker)"
     )
-    covering = (
-        cut.select(*keep, "_edges", F.posexplode("_hits").alias("seq", "h"))
-        .select(
-            *keep,
-            F.explode(
-                F.sequence(
-                    F.array_position("_edges", F.col("h.char_offset")).cast("int") - 1,
-                    F.array_position("_edges", F.col("h.char_end")).cast("int") - 2,
-                )
-            ).alias("piece"),
-            F.lit(None).cast("int").alias("start"),
-            F.lit(None).cast("int").alias("end"),
-            F.lit(None).cast("string").alias("piece_text"),
-            F.struct(
-                (F.col("h.char_end") - F.col("h.char_offset")).alias("width"),
-                F.col("seq"),
-                F.col("h.category").alias("category"),
-                F.col("h.marker").alias("marker"),
-            ).alias("span"),
-        )
+    item = (
+        "array(named_struct('piece', s.piece, 'start', s.at, 'end', x.at, 'piece_text', substring(text, s.at + 1, x.at - s.at),"
+        " 'covering', array_join(transform(s.active, a -> concat_ws(':', a.category, a.marker)), ', '),"
+        " 'narrowest', array_min(transform(s.active, a -> named_struct('width', a.width, 'seq', a.seq, 'category', a.category))).category))"
     )
-    return (
-        pieces.unionByName(covering)
-        .groupBy(*keep, "piece")
-        .agg(
-            F.max("start").alias("start"),
-            F.max("end").alias("end"),
-            F.max("piece_text").alias("piece_text"),
-            F.array_sort(F.collect_list(F.struct("span.seq", "span.category", "span.marker", "span.width"))).alias("_all"),
-            F.min_by(
-                "span.category", F.when(F.col("span").isNotNull(), F.struct("span.width", "span.seq"))
-            ).alias("narrowest"),
-        )
-        .withColumn("_all", F.filter("_all", lambda s: s["seq"].isNotNull()))
-        .withColumn(
-            "covering",
-            F.array_join(F.transform("_all", lambda s: F.concat_ws(":", s["category"], s["marker"])), ", "),
-        )
-        .drop("_all")
+    full, cuts = f"size(s.block) >= {BLOCK}", "x.at > s.at"
+    fold = (
+        f"aggregate({edges}, named_struct('at', 0, 'piece', 0, 'active', cast(array() AS array<{open_span}>),"
+        f" 'block', cast(array() AS array<{piece}>), 'done', cast(array() AS array<array<{piece}>>)),"
+        f" (s, x) -> named_struct('at', x.at, 'piece', if({cuts}, s.piece + 1, s.piece),"
+        f" 'active', CASE x.opens WHEN 1 THEN concat(s.active, array({opened}))"
+        f" WHEN 0 THEN filter(s.active, a -> a.seq <> x.seq) ELSE s.active END,"
+        f" 'block', if({cuts}, if({full}, {item}, concat(s.block, {item})), s.block),"
+        f" 'done', if({cuts} AND {full}, concat(s.done, array(s.block)), s.done)),"
+        f" s -> flatten(concat(s.done, array(s.block))))"
     )
+    found = df.select(*keep, "text", ordered_hits("text", lexicon).alias("_hits"))
+    pieces = F.expr(f"get(transform(array(_hits), q -> {fold}), 0)")
+    return found.select(*keep, F.explode(pieces).alias("_p")).select(*keep, "_p.*")
