@@ -4,31 +4,41 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+BUCKETS = 256
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def stream_new_documents(incoming: DataFrame, store: str, checkpoint: str, key: str = "document_snapshot_id") -> StreamingQuery:
     """Appends every snapshot not yet in ``store``, and ends when the input is used up.
 
-    A batch may be replayed after a failure: its rows are written under its own
-    stream and batch folder, which only a replay overwrites, so nothing is stored
-    twice. The stored ids are read without that folder for the same reason. Another
-    checkpoint is another stream and never touches this one's folders.
+    The store is divided by a hash of the key, and a batch looks only into the divisions
+    that its own keys fall into. A batch may be replayed after a failure: its rows are
+    written under its own stream and batch folder, which only a replay overwrites, so
+    nothing is stored twice. The stored ids are read without that folder for the same
+    reason. Another checkpoint is another stream and never touches this one's folders.
     """
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(store).where((F.col("stream") != stream) | (F.col("batch") != batch_id)).select(key)
-            fresh = fresh.join(known, key, "left_anti")
-        except Exception as error:  # the first batch finds no store yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{store}/stream={stream}/batch={batch_id}")
+        fresh = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        if _exists(spark, store):
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+            fields = f"{key} {dict(fresh.dtypes)[key]}, stream string, batch long, bucket int"
+            stored = spark.read.schema(fields).parquet(store)
+            known = stored.where(F.col("bucket").isin(touched) & ((F.col("stream") != stream) | (F.col("batch") != batch_id)))
+            fresh = fresh.join(known.select(key), key, "left_anti")
+        folder = f"{store}/stream={stream}/batch={batch_id}"
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
     return (
         incoming.writeStream.foreachBatch(append)
