@@ -73,18 +73,22 @@ def masked(sentence: Column) -> Column:
     return strip(F.lower(F.regexp_replace(sentence, KEYWORD, fv.KEYWORD_MASK)))
 
 
-def _by_key(found: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
-    last = F.max_by(F.struct("sentence", "keyword", "modality"), F.struct("block_no", "sentence_no"))
-    return found.groupBy(*keys, masked(F.col("sentence")).alias("requirement_key")).agg(last.alias(side))
-
-
 def requirement_drift(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("document_id",)) -> DataFrame:
     """Requirements of two versions matched by masked sentence, the last duplicate winning.
 
     ``status`` is changed, added or removed; only changed keywords get a direction,
     and a change inside one rung is neutral.
     """
-    both = _by_key(old, keys, "old").join(_by_key(new, keys, "new"), [*keys, "requirement_key"], "full_outer")
+    columns = [*keys, "sentence", "keyword", "modality", "block_no", "sentence_no"]
+    tagged = old.select(*columns, F.lit("old").alias("_side")).unionByName(new.select(*columns, F.lit("new").alias("_side")))
+
+    def last(side: str) -> Column:
+        mine = F.col("_side") == side
+        return F.max_by(
+            F.when(mine, F.struct("sentence", "keyword", "modality")), F.when(mine, F.struct("block_no", "sentence_no"))
+        ).alias(side)
+
+    both = tagged.groupBy(*keys, masked(F.col("sentence")).alias("requirement_key")).agg(last("old"), last("new"))
     status = (
         F.when(F.col("old").isNull(), "added")
         .when(F.col("new").isNull(), "removed")
