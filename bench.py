@@ -37,12 +37,15 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executors before timing
-    timings = {}
     registered = catalog.queries()
-    for name in HEADLINE:
+
+    def timed(name: str) -> float:
         start = time.perf_counter()
         registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        timings[name] = round(time.perf_counter() - start, 3)
+        return round(time.perf_counter() - start, 3)
+
+    timings = {name: timed(name) for name in HEADLINE}
+    again = {name: timed(name) for name in HEADLINE}  # compiled code, warm files
     print(
         json.dumps(
             {
@@ -50,6 +53,8 @@ def main() -> None:
                 "value": round(sum(timings.values()), 3),
                 "unit": "sec",
                 "queries": timings,
+                "second_run": again,
+                "second_value": round(sum(again.values()), 3),
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
             }
