@@ -41,7 +41,7 @@ WORD = r"[A-Za-z][A-Za-z_]{3,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 FIT_ROWS = 20_000
 PRIOR_ODDS = 1e-4
-BACK_OFF = 20  # counts that the single characters are worth
+BACK_OFF = 200  # counts that the single characters are worth: a few hundred samples leave most pairs unseen
 
 _SPAN = "named_struct('at', x.start, 'kind', {kind}, 'till', x.end, 'span', x.span)"
 
