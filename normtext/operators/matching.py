@@ -14,7 +14,6 @@ lengths, never texts, at most three per target.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from normtext.operators import gold
+
 from normtext.plans import sql_parts as sql
 from normtext.plans.bindings import documents, provisions, table
 from normtext.plans.registry import Registry
