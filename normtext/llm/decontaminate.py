@@ -7,11 +7,12 @@ holds at least ``COVERAGE`` of an item's windows is a suspect. Windows with name
 plain words are looked up beside the template ones, so a copy in other letter case is
 found too.
 
-A suspect whose item has slots is then checked: along each alignment, equal values of the
-item must stand for equal values in the document (Tom, Tom -> Ann, Ann; 3, 4, 3 -> 8, 9,
-8). If more than a fifth of the item's values break that, the passage only shares the
-template and is left alone; if it holds and some value differs, the question was
-re-parameterised.
+Every alignment of a suspect is then judged by itself, with its own coverage: equal values
+of the item must stand for equal values in the document (Tom, Tom -> Ann, Ann; 3, 4, 3 ->
+8, 9, 8). Where more than a fifth of the item's values break that, the passage only shares
+the template. One alignment that is covered and holds is enough, whatever other passages
+or shifts of the item against itself say; if some value differs in all that hold, the
+question was re-parameterised.
 
 The windows of the corpus are a narrow map over the texts; what is shuffled are hits. The
 benchmark's windows are broadcast only after their rows were counted, beyond
@@ -20,13 +21,13 @@ benchmark's windows are broadcast only after their rows were counted, beyond
 Defined cases: null texts and texts or items with fewer than ``WIDTH`` tokens have no
 windows and match nothing; item windows with fewer than ``LITERALS`` plain words are no
 evidence and don't count; items with the same text all match; repeated documents each
-match; items repeated with one ``item_id`` count as one item (their windows together). Empty
-tables give an empty table; other columns are not read.
+match; texts that share an ``item_id`` are judged one by one and give one row. Empty tables
+give an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normtext.llm.storage import UID, small, with_uid, without, written
@@ -34,6 +35,9 @@ from normtext.llm.storage import UID, small, with_uid, without, written
 WIDTH = 5
 COVERAGE = 0.8
 LITERALS = 3
+BROKEN = 0.2  # the share of an item's values that may break
+ITEM = "_item"
+ANYWHERE = 2**31 - 1
 
 # Units of measure that may follow a number.
 UNITS = (
@@ -105,10 +109,10 @@ def window_rows(texts: DataFrame, key: str) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """``item_id, item_place, hash`` of the benchmark's windows with enough plain words."""
-    tokens = items.select("item_id", valued_tokens(F.col("text")).alias("tokens"))
+    """``_item, item_place, hash`` of the benchmark's windows with enough plain words."""
+    tokens = items.select(ITEM, valued_tokens(F.col("text")).alias("tokens"))
     literal = tokens.select(
-        "item_id",
+        ITEM,
         F.posexplode(
             F.when(
                 F.size("tokens") >= WIDTH,
@@ -118,9 +122,9 @@ def item_windows(items: DataFrame) -> DataFrame:
                 ),
             ).otherwise(F.array().cast("array<int>"))
         ).alias("item_place", "literals"),
-    ).where(F.col("literals") >= LITERALS).select("item_id", "item_place")
-    rows = window_rows(items, "item_id").withColumnRenamed("place", "item_place")
-    return rows.join(literal, ["item_id", "item_place"], "left_semi").distinct()
+    ).where(F.col("literals") >= LITERALS).select(ITEM, "item_place")
+    rows = window_rows(items, ITEM).withColumnRenamed("place", "item_place")
+    return rows.join(literal, [ITEM, "item_place"], "left_semi").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -139,59 +143,97 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVER
 
 def contaminated_rows(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``contaminated`` with the row number of each row of ``docs``."""
-    wanted = written(item_windows(items))
+    texts = written(items.select("item_id", "text").distinct().withColumn(ITEM, F.monotonically_increasing_id()))
+    wanted = written(item_windows(texts))
     rows = with_uid(docs.select("doc_id", "text"))
-    # Distinct places: a repeated item_id may hold the same window of several texts.
-    sizes = wanted.groupBy("item_id").agg(F.countDistinct("item_place").alias("item_windows"))
+    sizes = wanted.groupBy(ITEM).agg(F.countDistinct("item_place").alias("item_windows"))
     probes = window_rows(rows.select(UID, "text"), UID)
-    hits = written(probes.join(small(wanted, wanted.count()), "hash").select(UID, "item_id", "item_place", "place"))
-    suspects = (
-        hits.groupBy(UID, "item_id").agg(F.size(F.collect_set("item_place")).cast("long").alias("n_windows"))
-        .join(sizes, "item_id")
-        .withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
-        .where(F.col("coverage") >= coverage)
+    hits = written(probes.join(small(wanted, wanted.count()), "hash").select(UID, ITEM, "item_place", "place"))
+    suspects = written(
+        hits.groupBy(UID, ITEM).agg(F.size(F.collect_set("item_place")).alias("n_windows"))
+        .join(sizes, ITEM)
+        .where(F.col("n_windows") / F.col("item_windows") >= coverage)
+        .select(UID, ITEM, "item_windows")
+    )
+    agreed = written(
+        hits.join(suspects, [UID, ITEM], "left_semi")
+        .select(UID, ITEM, (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
     )
-    suspects = written(suspects)
-    slotted = (
-        items.select("item_id", valued_tokens(F.col("text")).alias("item_tokens"))
-        .where(F.exists("item_tokens", _is_slot))
-        .groupBy("item_id").agg(F.min("item_tokens").alias("item_tokens"))
+    judged = (
+        _judged(rows, agreed, suspects, texts)
+        .where((F.col("coverage") >= coverage) & (F.col("n_broken") <= BROKEN * F.col("n_values")))
+        .join(texts.select(ITEM, "item_id"), ITEM)
     )
-    checked = written(_slot_check(rows, hits, suspects, slotted))
-    judged = suspects.join(checked, [UID, "item_id"], "left").where(
-        F.coalesce(F.col("n_broken"), F.lit(0)) <= (1 - COVERAGE) * F.coalesce(F.col("n_values"), F.lit(0))
+    # The alignment with the fewest changes speaks for the pair, a more complete one first among equals.
+    best = written(
+        judged.groupBy(UID, "item_id")
+        .agg(F.min(F.struct("n_changed", (-F.col("coverage")).alias("less"), "n_broken", "n_windows", "item_windows", "n_values")).alias("best"))
     )
     ids = rows.select(UID, "doc_id")
-    return ids.join(small(judged, suspects.count()), UID).select(
-        UID, "doc_id", "item_id", "n_windows", "item_windows", "coverage",
-        F.coalesce("n_values", F.lit(0)).cast("long").alias("n_values"),
-        F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"),
-        F.when(F.coalesce("n_changed", F.lit(0)) > 0, "reparameterised").otherwise("copy").alias("kind"),
+    return ids.join(small(best, best.count()), UID).select(
+        UID, "doc_id", "item_id", "best.n_windows", "best.item_windows", (-F.col("best.less")).alias("coverage"),
+        "best.n_values", "best.n_changed",
+        F.when(F.col("best.n_changed") > 0, "reparameterised").otherwise("copy").alias("kind"),
+    )
+
+
+def _alignments(agreed: DataFrame, suspects: DataFrame, texts: DataFrame) -> DataFrame:
+    """``_uid, _item, base, reach, item_place, shift``: every alignment of a pair, one row per window.
+
+    Each shift is an alignment by itself (``reach`` 0). Insertions move the shift inside a
+    passage, so each is also completed: a window that it lacks is taken from the nearest
+    shift, once within the item's length and once from anywhere.
+    """
+    grid = agreed.select(UID, ITEM, F.col("shift").alias("base")).distinct().join(
+        agreed.select(UID, ITEM, "item_place").distinct(), [UID, ITEM]
+    )
+    at = grid.join(
+        agreed.select(UID, ITEM, F.col("shift").alias("base"), "item_place", "shift"), [UID, ITEM, "base", "item_place"], "left"
+    )
+    along = Window.partitionBy(UID, ITEM, "item_place").orderBy("base")
+    below = F.last("shift", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("shift", True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    nearest = at.withColumn("below", below).withColumn("above", above).withColumn(
+        "shift",
+        F.when(F.col("above").isNull() | (F.col("base") - F.col("below") <= F.col("above") - F.col("base")), F.col("below"))
+        .otherwise(F.col("above")),
+    )
+    lengths = texts.select(ITEM, F.size(valued_tokens(F.col("text"))).alias("length"))
+    return (
+        nearest.join(lengths, ITEM)
+        .select(UID, ITEM, "base", F.explode(F.array(F.lit(0), "length", F.lit(ANYWHERE))).alias("reach"), "item_place", "shift")
+        .where(F.abs(F.col("shift") - F.col("base")) <= F.col("reach"))
     )
 
 
-def _slot_check(rows: DataFrame, hits: DataFrame, suspects: DataFrame, slotted: DataFrame) -> DataFrame:
-    """``_uid, item_id, n_values, n_broken, n_changed``: the item's slot values along each alignment."""
-    pairs = written(suspects.select(UID, "item_id").join(slotted.select("item_id"), "item_id", "left_semi"))
-    aligned = (
-        hits.join(pairs, [UID, "item_id"], "left_semi")
-        .select(UID, "item_id", "item_place", "place", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("k"))
-        .select(UID, "item_id", (F.col("item_place") + F.col("k")).alias("i"), (F.col("place") + F.col("k")).alias("j"))
-        .distinct()
+def _judged(rows: DataFrame, agreed: DataFrame, suspects: DataFrame, texts: DataFrame) -> DataFrame:
+    """``_uid, _item, n_windows, item_windows, coverage, n_values, n_broken, n_changed`` of every alignment."""
+    windows = written(_alignments(agreed, suspects, texts))
+    key = [UID, ITEM, "base", "reach"]
+    covered = windows.groupBy(*key).agg(F.count("*").alias("n_windows"))
+    # A token in windows of two shifts counts with the one nearer to the alignment's own.
+    away = F.abs(F.col("shift") - F.col("base"))
+    places = (
+        windows.select(*key, "shift", away.alias("away"), "item_place", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("k"))
+        .groupBy(*key, (F.col("item_place") + F.col("k")).alias("i"))
+        .agg(F.min(F.struct("away", "shift")).alias("nearest"))
+        .select(*key, "i", (F.col("i") + F.col("nearest.shift")).alias("j"))
     )
-    of_item = slotted.select("item_id", F.posexplode("item_tokens").alias("i", "item_value")).where(_is_slot(F.col("item_value")))
-    wanted = pairs.select(UID).distinct()
+    of_item = texts.select(ITEM, F.posexplode(valued_tokens(F.col("text"))).alias("i", "item_value")).where(_is_slot(F.col("item_value")))
+    wanted = suspects.select(UID).distinct()
     of_doc = (
-        rows.select(UID, "text").join(small(wanted, pairs.count()), UID)
+        rows.select(UID, "text").join(small(wanted, suspects.count()), UID)
         .select(UID, F.posexplode(valued_tokens(F.col("text"))).alias("j", "value")).where(_is_slot(F.col("value")))
     )
-    along = aligned.join(of_item, ["item_id", "i"]).join(of_doc, [UID, "j"])
-    per_value = along.groupBy(UID, "item_id", (F.col("j") - F.col("i")).alias("shift"), "item_value").agg(
-        F.min("value").alias("low"), F.max("value").alias("high")
+    values = places.join(of_item, [ITEM, "i"]).join(of_doc, [UID, "j"])
+    per_value = values.groupBy(*key, "item_value").agg(
+        (F.min("value") != F.max("value")).alias("broken"), F.bool_or(F.col("value") != F.col("item_value")).alias("changed")
+    )
+    slots = per_value.groupBy(*key).agg(
+        F.count("*").alias("n_values"), F.count_if("broken").alias("n_broken"), F.count_if("changed").alias("n_changed")
     )
-    return per_value.groupBy(UID, "item_id", "item_value").agg(
-        F.max((F.col("low") != F.col("high")).cast("int")).alias("broken"),
-        F.max((F.col("low") != F.col("item_value")).cast("int")).alias("changed"),
-    ).groupBy(UID, "item_id").agg(
-        F.count("*").alias("n_values"), F.sum("broken").alias("n_broken"), F.sum("changed").alias("n_changed")
+    return (
+        covered.join(slots, key, "left").fillna(0, ["n_values", "n_broken", "n_changed"])
+        .join(suspects, [UID, ITEM])
+        .withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
     )

@@ -56,6 +56,30 @@ def test_empty_tables(spark, tmp_path):
     assert contaminated(stored(documents(spark, []), tmp_path, "empty"), some).collect() == []
 
 
+def judged(spark, tmp_path, items, texts):
+    """``item_id, kind`` found in each text."""
+    docs = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path)
+    bench = stored(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), tmp_path, "items")
+    found = contaminated(docs, bench).collect()
+    return [{(r.item_id, r.kind) for r in found if r.doc_id == i} for i in range(len(texts))]
+
+
+def test_every_alignment_by_itself(spark, tmp_path):
+    boxes = "box 3 holds 5 red balls and box 4 holds 3 red balls and box 5 holds 3 red balls so how many red balls are there in all"
+    broken = QUESTION.replace("buys 3", "buys 5").replace("Tom walks", "Bob walks")
+    dealt = QUESTION.replace("Tom", "Ann").replace("3", "8")
+    texts = [
+        in_noise(boxes, 20),
+        in_noise(QUESTION, 21) + " " + in_noise(broken, 22),
+        in_noise(broken, 23) + " " + in_noise(dealt, 24),
+        in_noise(broken, 25),
+    ]
+    long_item = QUESTION + " and what would they have had in all if there had been a second boy who had brought as many again from that other market"
+    assert judged(spark, tmp_path, [boxes, QUESTION], texts) == [{(0, "copy")}, {(1, "copy")}, {(1, "reparameterised")}, set()]
+    texts = [in_noise(long_item.replace("market opens", "very old market opens").replace("3", "8"), 28) + " " + in_noise(long_item.replace("buys 3", "buys 5").replace("Tom walks", "Bob walks"), 29)]
+    assert judged(spark, tmp_path / "long", [long_item], texts) == [{(0, "reparameterised")}]
+
+
 def plain_tokens(text):
     """The same canonical form by one scan over words instead of three replacements."""
     out, end, unit_end = [], 0, -1
