@@ -3,9 +3,13 @@
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed
 placeholders; the rest is lower-cased words. A window is ``WIDTH`` template tokens in a
 row. Documents' windows meet the benchmark's windows in a hash join; a document that
-holds at least ``COVERAGE`` of an item's windows is a suspect. Windows with names kept as
+holds at least ``CANDIDATE`` of an item's windows is a suspect. Windows with names kept as
 plain words are looked up beside the template ones, so a copy in other letter case is
-found too.
+found too, and windows with every capitalised word as a name, since a name at the start of
+a sentence, after a quote or with inner capitals can't be told from other words. A suspect's tokens are
+then compared one by one along its shifts; a capitalised word agrees with any other.
+At least ``COVERAGE`` of the item's windows must agree. An exchanged ordinary word costs
+the up to ``WIDTH`` windows that hold it.
 
 Every alignment of a suspect is then judged by itself, with its own coverage: equal values
 of the item must stand for equal values in the document (Tom, Tom -> Ann, Ann; 3, 4, 3 ->
@@ -34,6 +38,7 @@ from normtext.llm.storage import UID, small, with_uid, without, written
 
 WIDTH = 5
 COVERAGE = 0.8
+CANDIDATE = 0.4  # the share of an item's windows that must be hit before its tokens are compared
 LITERALS = 3
 BROKEN = 0.2  # the share of an item's values that may break
 ITEM = "_item"
@@ -47,40 +52,60 @@ UNITS = (
     " kilograms liters litres"
 ).split()
 
-NUMBER_MARK, UNIT_MARK, NAME_MARK, AFTER_MARKS = "\ue000", "\ue001", "\ue002", "\ue003"
+NUMBER_MARK, UNIT_MARK, NAME_MARK, CAPITAL_MARK = "\ue000", "\ue001", "\ue002", "\ue003"
 _UNIT = r"(?i)(?<=\d)\s?(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r"|[%€$£°])(?![\p{L}\p{N}])"
 _NUMBER = r"\d+(?:[.,:/]\d+)*"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;)] \p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
-_SEPARATOR = "(?:[^\\p{L}\\p{M}\\p{N}\ue000-\ue002%€$£°/.,:-]|[/.,:-](?!\\d)|(?<!\ue001)[%€$£°])+"
+_CAPITAL = "(?<![\\p{L}\\p{M}\\p{N}\ue001\ue002])\\p{Lu}[\\p{L}\\p{M}]*"
+_SEPARATOR = "(?:[^\\p{L}\\p{M}\\p{N}\ue000-\ue003%€$£°/.,:-]|[/.,:-](?!\\d)|(?<!\ue001)[%€$£°])+"
 
 
-def valued_tokens(text: Column) -> Column:
-    """Tokens of a text in lower case; numbers, units and names begin with their mark."""
+def cased_tokens(text: Column) -> Column:
+    """Tokens of a text in lower case; numbers, units, names and other capitalised words begin with their mark."""
     marked = F.regexp_replace(text, _UNIT, f" {UNIT_MARK}$1 ")
     marked = F.regexp_replace(marked, _NAME, f" {NAME_MARK}$0 ")
+    marked = F.regexp_replace(marked, _CAPITAL, f" {CAPITAL_MARK}$0")
     marked = F.regexp_replace(marked, _NUMBER, f" {NUMBER_MARK}$0 ")
     return F.array_remove(F.split(F.lower(marked), _SEPARATOR), "")
 
 
+def _without_capitals(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.ltrim(x, F.lit(CAPITAL_MARK)))
+
+
+def valued_tokens(text: Column) -> Column:
+    """Tokens of a text in lower case; numbers, units and names begin with their mark."""
+    return _without_capitals(cased_tokens(text))
+
+
 def _is_slot(token: Column) -> Column:
-    return (token >= NUMBER_MARK) & (token < AFTER_MARKS)
+    return (token >= NUMBER_MARK) & (token < CAPITAL_MARK)
+
+
+def _plain(token: Column) -> Column:
+    return F.ltrim(token, F.lit(NUMBER_MARK + UNIT_MARK + NAME_MARK + CAPITAL_MARK))
+
+
+def _class(token: Column) -> Column:
+    """The mark of a slot or capitalised word, names and capitals alike; null for other words."""
+    return F.when(token >= NAME_MARK, F.lit(NAME_MARK)).when(token >= NUMBER_MARK, F.left(token, F.lit(1)))
 
 
 def _template_hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.xxhash64(F.when(_is_slot(x), F.left(x, F.lit(1))).otherwise(x)))
+    return F.transform(tokens, lambda x: F.xxhash64(F.when(_is_slot(x), F.left(x, F.lit(1))).otherwise(F.ltrim(x, F.lit(CAPITAL_MARK)))))
 
 
 def _plain_name_hashes(tokens: Column) -> Column:
     return F.transform(
         tokens,
-        lambda x: F.xxhash64(
-            F.when(F.startswith(x, F.lit(NAME_MARK)), F.substring(x, 2, 1 << 20))
-            .when(_is_slot(x), F.left(x, F.lit(1)))
-            .otherwise(x)
-        ),
+        lambda x: F.xxhash64(F.when(x >= NAME_MARK, F.substring(x, 2, 1 << 20)).when(x >= NUMBER_MARK, F.left(x, F.lit(1))).otherwise(x)),
     )
 
 
+def _capital_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(F.coalesce(_class(x), x)))
+
+
 def _windows(hashes: Column) -> Column:
     """The hash of every window; none if there are too few tokens."""
     places = F.sequence(F.lit(0), F.size(hashes) - WIDTH)
@@ -89,42 +114,60 @@ def _windows(hashes: Column) -> Column:
 
 
 def window_rows(texts: DataFrame, key: str) -> DataFrame:
-    """``key, place, hash`` of all template windows, and of those with plain names where a text has names."""
-    tokens = texts.select(key, valued_tokens(F.col("text")).alias("tokens"))
+    """``key, place, hash`` of all template windows, and of those with plain names and with all capitalised words as names."""
+    tokens = texts.select(key, cased_tokens(F.col("text")).alias("tokens"))
     hashes = tokens.select(
         key,
         _template_hashes(F.col("tokens")).alias("template"),
         F.when(F.exists("tokens", lambda x: F.startswith(x, F.lit(NAME_MARK))), _plain_name_hashes(F.col("tokens"))).alias("plain"),
+        F.when(F.exists("tokens", lambda x: x >= CAPITAL_MARK), _capital_hashes(F.col("tokens"))).alias("capital"),
     )
+    none = F.array().cast("array<bigint>")
     windows = hashes.select(
         key,
         F.explode(
             F.array(
                 _windows(F.col("template")),
-                F.when(F.col("plain").isNotNull(), _windows(F.col("plain"))).otherwise(F.array().cast("array<bigint>")),
+                F.when(F.col("plain").isNotNull(), _windows(F.col("plain"))).otherwise(none),
+                F.when(F.col("capital").isNotNull(), _windows(F.col("capital"))).otherwise(none),
             )
         ).alias("windows"),
     )
     return windows.select(key, F.posexplode("windows").alias("place", "hash"))
 
 
-def item_windows(items: DataFrame) -> DataFrame:
-    """``_item, item_place, hash`` of the benchmark's windows with enough plain words."""
+def _literals(tokens: Column, is_slot) -> Column:
+    """The number of plain words in every window."""
+    places = F.sequence(F.lit(0), F.size(tokens) - WIDTH)
+    found = F.transform(places, lambda i: F.size(F.filter(F.slice(tokens, i + 1, WIDTH), lambda x: ~is_slot(x))))
+    return F.when(F.size(tokens) >= WIDTH, found).otherwise(F.array().cast("array<int>"))
+
+
+def item_places(items: DataFrame) -> DataFrame:
+    """``_item, item_place``: the windows of the benchmark with enough plain words."""
     tokens = items.select(ITEM, valued_tokens(F.col("text")).alias("tokens"))
-    literal = tokens.select(
-        ITEM,
-        F.posexplode(
-            F.when(
-                F.size("tokens") >= WIDTH,
-                F.transform(
-                    F.sequence(F.lit(0), F.size("tokens") - WIDTH),
-                    lambda i: F.size(F.filter(F.slice("tokens", i + 1, WIDTH), lambda x: ~_is_slot(x))),
-                ),
-            ).otherwise(F.array().cast("array<int>"))
-        ).alias("item_place", "literals"),
-    ).where(F.col("literals") >= LITERALS).select(ITEM, "item_place")
-    rows = window_rows(items, ITEM).withColumnRenamed("place", "item_place")
-    return rows.join(literal, [ITEM, "item_place"], "left_semi").distinct()
+    return (
+        tokens.select(ITEM, F.posexplode(_literals(F.col("tokens"), _is_slot)).alias("item_place", "literals"))
+        .where(F.col("literals") >= LITERALS).select(ITEM, "item_place")
+    )
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """``_item, item_place, hash`` of the windows of ``item_places``.
+
+    With capitalised words as names a window is looked up only if it still has enough plain words.
+    """
+    tokens = items.select(ITEM, cased_tokens(F.col("text")).alias("tokens"))
+    capitals = _capital_hashes(F.col("tokens"))
+    weak = (
+        tokens.select(ITEM, F.posexplode(F.arrays_zip(
+            _windows(capitals).alias("hash"), _literals(F.col("tokens"), lambda x: x >= NUMBER_MARK).alias("literals")
+        )).alias("item_place", "w"))
+        .where(F.col("w.literals") < LITERALS)
+    )
+    # A window without capitals has the same hash as its template and is then not weak.
+    rows = window_rows(items, ITEM).withColumnRenamed("place", "item_place").join(item_places(items), [ITEM, "item_place"], "left_semi")
+    return rows.join(weak.select(ITEM, "item_place", F.col("w.hash").alias("hash")), [ITEM, "item_place", "hash"], "left_anti").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -145,22 +188,21 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, coverage: float = COVER
     """``contaminated`` with the row number of each row of ``docs``."""
     texts = written(items.select("item_id", "text").distinct().withColumn(ITEM, F.monotonically_increasing_id()))
     wanted = written(item_windows(texts))
+    evidence = written(item_places(texts))
     rows = with_uid(docs.select("doc_id", "text"))
-    sizes = wanted.groupBy(ITEM).agg(F.countDistinct("item_place").alias("item_windows"))
+    sizes = evidence.groupBy(ITEM).agg(F.count("*").alias("item_windows"))
     probes = window_rows(rows.select(UID, "text"), UID)
     hits = written(probes.join(small(wanted, wanted.count()), "hash").select(UID, ITEM, "item_place", "place"))
     suspects = written(
         hits.groupBy(UID, ITEM).agg(F.size(F.collect_set("item_place")).alias("n_windows"))
         .join(sizes, ITEM)
-        .where(F.col("n_windows") / F.col("item_windows") >= coverage)
+        .where(F.col("n_windows") / F.col("item_windows") >= F.least(F.lit(coverage), F.lit(CANDIDATE)))
         .select(UID, ITEM, "item_windows")
     )
-    agreed = written(
-        hits.join(suspects, [UID, ITEM], "left_semi")
-        .select(UID, ITEM, (F.col("place") - F.col("item_place")).alias("shift"), "item_place").distinct()
-    )
+    of_doc = written(_document_tokens(rows, suspects))
+    agreed = written(_agreeing_windows(hits.join(suspects, [UID, ITEM], "left_semi"), of_doc, texts, evidence))
     judged = (
-        _judged(rows, agreed, suspects, texts)
+        _judged(of_doc, agreed, suspects, texts)
         .where((F.col("coverage") >= coverage) & (F.col("n_broken") <= BROKEN * F.col("n_values")))
         .join(texts.select(ITEM, "item_id"), ITEM)
     )
@@ -177,6 +219,31 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, coverage: float = COVER
     )
 
 
+def _document_tokens(rows: DataFrame, suspects: DataFrame) -> DataFrame:
+    """``_uid, j, token`` of the documents of suspects."""
+    wanted = suspects.select(UID).distinct()
+    return (
+        rows.select(UID, "text").join(small(wanted, suspects.count()), UID)
+        .select(UID, F.posexplode(cased_tokens(F.col("text"))).alias("j", "token"))
+    )
+
+
+def _agreeing_windows(hits: DataFrame, of_doc: DataFrame, texts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``_uid, _item, shift, item_place``: windows whose tokens agree one by one along a shift.
+
+    Equal words agree, and so do two numbers, two units and two capitalised words.
+    """
+    shifts = hits.select(UID, ITEM, (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    of_item = texts.select(ITEM, F.posexplode(cased_tokens(F.col("text"))).alias("i", "item_token"))
+    same = (_plain(F.col("token")) == _plain(F.col("item_token"))) | (_class(F.col("token")) == _class(F.col("item_token")))
+    agreeing = (
+        shifts.join(of_item, ITEM).withColumn("j", F.col("i") + F.col("shift")).join(of_doc, [UID, "j"]).where(same)
+        .select(UID, ITEM, "shift", F.explode(F.sequence(F.col("i") - (WIDTH - 1), F.col("i"))).alias("item_place"))
+    )
+    full = agreeing.groupBy(UID, ITEM, "shift", "item_place").agg(F.count("*").alias("n")).where(F.col("n") == WIDTH).drop("n")
+    return full.join(evidence, [ITEM, "item_place"], "left_semi")
+
+
 def _alignments(agreed: DataFrame, suspects: DataFrame, texts: DataFrame) -> DataFrame:
     """``_uid, _item, base, reach, item_place, shift``: every alignment of a pair, one row per window.
 
@@ -206,7 +273,7 @@ def _alignments(agreed: DataFrame, suspects: DataFrame, texts: DataFrame) -> Dat
     )
 
 
-def _judged(rows: DataFrame, agreed: DataFrame, suspects: DataFrame, texts: DataFrame) -> DataFrame:
+def _judged(of_doc: DataFrame, agreed: DataFrame, suspects: DataFrame, texts: DataFrame) -> DataFrame:
     """``_uid, _item, n_windows, item_windows, coverage, n_values, n_broken, n_changed`` of every alignment."""
     windows = written(_alignments(agreed, suspects, texts))
     key = [UID, ITEM, "base", "reach"]
@@ -219,16 +286,19 @@ def _judged(rows: DataFrame, agreed: DataFrame, suspects: DataFrame, texts: Data
         .agg(F.min(F.struct("away", "shift")).alias("nearest"))
         .select(*key, "i", (F.col("i") + F.col("nearest.shift")).alias("j"))
     )
-    of_item = texts.select(ITEM, F.posexplode(valued_tokens(F.col("text"))).alias("i", "item_value")).where(_is_slot(F.col("item_value")))
-    wanted = suspects.select(UID).distinct()
-    of_doc = (
-        rows.select(UID, "text").join(small(wanted, suspects.count()), UID)
-        .select(UID, F.posexplode(valued_tokens(F.col("text"))).alias("j", "value")).where(_is_slot(F.col("value")))
-    )
-    values = places.join(of_item, [ITEM, "i"]).join(of_doc, [UID, "j"])
-    per_value = values.groupBy(*key, "item_value").agg(
-        (F.min("value") != F.max("value")).alias("broken"), F.bool_or(F.col("value") != F.col("item_value")).alias("changed")
+    of_item = (
+        texts.select(ITEM, F.posexplode(cased_tokens(F.col("text"))).alias("i", "item_token"))
+        .where(F.col("item_token") >= NUMBER_MARK)
+        .select(ITEM, "i", _class(F.col("item_token")).alias("class"), _plain(F.col("item_token")).alias("item_value"),
+                _is_slot(F.col("item_token")).alias("sure"))
     )
+    values = places.join(of_item, [ITEM, "i"]).join(of_doc.select(UID, "j", _plain(F.col("token")).alias("value")), [UID, "j"])
+    # A capitalised word that is no name inside a sentence, and never differs, is an ordinary first word.
+    per_value = values.groupBy(*key, "class", "item_value").agg(
+        (F.min("value") != F.max("value")).alias("broken"),
+        F.bool_or(F.col("value") != F.col("item_value")).alias("changed"),
+        F.bool_or("sure").alias("sure"),
+    ).where("sure OR changed")
     slots = per_value.groupBy(*key).agg(
         F.count("*").alias("n_values"), F.count_if("broken").alias("n_broken"), F.count_if("changed").alias("n_changed")
     )

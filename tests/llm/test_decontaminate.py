@@ -80,6 +80,26 @@ def test_every_alignment_by_itself(spark, tmp_path):
     assert judged(spark, tmp_path / "long", [long_item], texts) == [{(0, "reparameterised")}]
 
 
+SHOP = "Tom has 3 apples. Tom buys 5 more apples at the shop. Tom then gives 2 apples to Ann. How many apples does Tom have left now"
+FARM = 'Tom has 3 cows. Sam has 4 cows.\nMcCoy has 5 cows. "Ann" has 6 cows (Eve only 2). How many cows do they have'
+
+
+def test_names_in_every_place(spark, tmp_path):
+    farm = FARM
+    for old, new in (("Tom", "Bob"), ("Sam", "Lea"), ("McCoy", "EVE-O"), ("Ann", "Ida"), ("Eve", "Max")):
+        farm = farm.replace(old, new.replace("EVE-O", "DeWitt"))
+    texts = [
+        in_noise(SHOP.replace("Tom", "Bob"), 30),
+        in_noise(SHOP.replace("Tom", "Bob").replace("Bob buys", "Lea buys").replace("Bob then", "Max then"), 31),  # one value of five breaks: no more than a fifth
+        in_noise(farm, 32),
+        in_noise(FARM.upper(), 33),
+        in_noise(SHOP.replace("apples", "boats"), 34),  # other words
+        in_noise(SHOP, 35),
+    ]
+    want = [{(0, "reparameterised")}, {(0, "reparameterised")}, {(1, "reparameterised")}, {(1, "copy")}, set(), {(0, "copy")}]
+    assert judged(spark, tmp_path, [SHOP, FARM], texts) == want
+
+
 def plain_tokens(text):
     """The same canonical form by one scan over words instead of three replacements."""
     out, end, unit_end = [], 0, -1
