@@ -22,9 +22,15 @@ The windows of the corpus are a narrow map over the texts; what is shuffled are
 benchmark's windows are broadcast only after their rows were counted, beyond
 ``storage.BROADCAST_ROWS`` the join shuffles.
 
-Defined cases: null texts and texts or items with fewer than ``WIDTH`` tokens have no
-windows and match nothing; item windows with fewer than ``LITERALS`` plain words are no
-evidence and don't count; items with the same text all match; repeated documents each
+Items without a window of at least ``LITERALS`` plain words (arithmetic, lists of numbers or
+names, items of fewer than ``WIDTH`` tokens) are looked up exactly, by windows of words,
+numbers and signs as they are, as long as the item where it is shorter than ``WIDTH``. Exchanged
+values are not found in these.
+
+Defined cases: null texts and items without a word, number or sign match nothing; an item of
+one or two words matches every document that holds them in a row; other item windows with
+fewer than ``LITERALS`` plain words are no evidence and don't count; in scripts without
+spaces each letter is a token; items with the same text all match; repeated documents each
 match; texts that share an ``item_id`` are judged one by one and give one row. Empty tables
 give an empty table; other columns are not read.
 """
@@ -52,10 +58,13 @@ UNITS = (
     " kilograms liters litres"
 ).split()
 
-NUMBER_MARK, UNIT_MARK, NAME_MARK, CAPITAL_MARK = "\ue000", "\ue001", "\ue002", "\ue003"
+NUMBER_MARK, UNIT_MARK, NAME_MARK, CAPITAL_MARK, AFTER_MARKS = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _UNIT = r"(?i)(?<=\d)\s?(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r"|[%€$£°])(?![\p{L}\p{N}])"
+# Scripts without spaces between words: each letter is a token.
+_UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + r"]\p{M}*"
 _NUMBER = r"\d+(?:[.,:/]\d+)*"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;)] \p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
+_EXACT = rf"{_NUMBER}|{_UNSPACED}|(?:(?!{_UNSPACED})[\p{{L}}\p{{M}}])+|[\p{{N}}\p{{Sm}}]|[*/^-](?=\s?[\d(])"
 _CAPITAL = "(?<![\\p{L}\\p{M}\\p{N}\ue001\ue002])\\p{Lu}[\\p{L}\\p{M}]*"
 _SEPARATOR = "(?:[^\\p{L}\\p{M}\\p{N}\ue000-\ue003%€$£°/.,:-]|[/.,:-](?!\\d)|(?<!\ue001)[%€$£°])+"
 
@@ -66,11 +75,21 @@ def cased_tokens(text: Column) -> Column:
     marked = F.regexp_replace(marked, _NAME, f" {NAME_MARK}$0 ")
     marked = F.regexp_replace(marked, _CAPITAL, f" {CAPITAL_MARK}$0")
     marked = F.regexp_replace(marked, _NUMBER, f" {NUMBER_MARK}$0 ")
+    marked = F.regexp_replace(marked, _UNSPACED, " $0 ")
     return F.array_remove(F.split(F.lower(marked), _SEPARATOR), "")
 
 
+def exact_tokens(text: Column) -> Column:
+    """Words, numbers and signs of arithmetic of a text in lower case, as they are."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_EXACT), F.lit(0))
+
+
+def _without_capital(token: Column) -> Column:
+    return F.ltrim(token, F.lit(CAPITAL_MARK))
+
+
 def _without_capitals(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.ltrim(x, F.lit(CAPITAL_MARK)))
+    return F.transform(tokens, _without_capital)
 
 
 def valued_tokens(text: Column) -> Column:
@@ -82,23 +101,29 @@ def _is_slot(token: Column) -> Column:
     return (token >= NUMBER_MARK) & (token < CAPITAL_MARK)
 
 
+def _marked(token: Column) -> Column:
+    return (token >= NUMBER_MARK) & (token < AFTER_MARKS)
+
+
 def _plain(token: Column) -> Column:
     return F.ltrim(token, F.lit(NUMBER_MARK + UNIT_MARK + NAME_MARK + CAPITAL_MARK))
 
 
 def _class(token: Column) -> Column:
     """The mark of a slot or capitalised word, names and capitals alike; null for other words."""
-    return F.when(token >= NAME_MARK, F.lit(NAME_MARK)).when(token >= NUMBER_MARK, F.left(token, F.lit(1)))
+    return F.when(_marked(token), F.when(token >= NAME_MARK, F.lit(NAME_MARK)).otherwise(F.left(token, F.lit(1))))
 
 
 def _template_hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.xxhash64(F.when(_is_slot(x), F.left(x, F.lit(1))).otherwise(F.ltrim(x, F.lit(CAPITAL_MARK)))))
+    return F.transform(tokens, lambda x: F.xxhash64(F.when(_is_slot(x), F.left(x, F.lit(1))).otherwise(_without_capital(x))))
 
 
 def _plain_name_hashes(tokens: Column) -> Column:
     return F.transform(
         tokens,
-        lambda x: F.xxhash64(F.when(x >= NAME_MARK, F.substring(x, 2, 1 << 20)).when(x >= NUMBER_MARK, F.left(x, F.lit(1))).otherwise(x)),
+        lambda x: F.xxhash64(
+            F.when(_marked(x), F.when(x >= NAME_MARK, F.substring(x, 2, 1 << 20)).otherwise(F.left(x, F.lit(1)))).otherwise(x)
+        ),
     )
 
 
@@ -120,7 +145,7 @@ def window_rows(texts: DataFrame, key: str) -> DataFrame:
         key,
         _template_hashes(F.col("tokens")).alias("template"),
         F.when(F.exists("tokens", lambda x: F.startswith(x, F.lit(NAME_MARK))), _plain_name_hashes(F.col("tokens"))).alias("plain"),
-        F.when(F.exists("tokens", lambda x: x >= CAPITAL_MARK), _capital_hashes(F.col("tokens"))).alias("capital"),
+        F.when(F.exists("tokens", lambda x: F.startswith(x, F.lit(CAPITAL_MARK))), _capital_hashes(F.col("tokens"))).alias("capital"),
     )
     none = F.array().cast("array<bigint>")
     windows = hashes.select(
@@ -161,7 +186,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     capitals = _capital_hashes(F.col("tokens"))
     weak = (
         tokens.select(ITEM, F.posexplode(F.arrays_zip(
-            _windows(capitals).alias("hash"), _literals(F.col("tokens"), lambda x: x >= NUMBER_MARK).alias("literals")
+            _windows(capitals).alias("hash"), _literals(F.col("tokens"), _marked).alias("literals")
         )).alias("item_place", "w"))
         .where(F.col("w.literals") < LITERALS)
     )
@@ -206,6 +231,9 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, coverage: float = COVER
         .where((F.col("coverage") >= coverage) & (F.col("n_broken") <= BROKEN * F.col("n_values")))
         .join(texts.select(ITEM, "item_id"), ITEM)
     )
+    exact = _exact_pairs(rows, texts, evidence, coverage)
+    if exact is not None:
+        judged = judged.select(exact.columns).unionByName(exact)
     # The alignment with the fewest changes speaks for the pair, a more complete one first among equals.
     best = written(
         judged.groupBy(UID, "item_id")
@@ -219,6 +247,48 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, coverage: float = COVER
     )
 
 
+def _exact_windows(texts: DataFrame, key: str, widths: list[int]) -> DataFrame:
+    """``key, width, place, hash`` of the windows of exact tokens of every width."""
+    hashes = texts.select(key, F.transform(exact_tokens(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"))
+
+    def windows(width: int) -> Column:
+        found = F.transform(
+            F.sequence(F.lit(0), F.size("hashes") - width), lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(width)])
+        )
+        return F.struct(
+            F.lit(width).alias("width"), F.when(F.size("hashes") >= width, found).otherwise(F.array().cast("array<bigint>")).alias("hashes")
+        )
+
+    each = hashes.select(key, F.explode(F.array(*[windows(w) for w in widths])).alias("w"))
+    return each.select(key, "w.width", F.posexplode("w.hashes").alias("place", "hash"))
+
+
+def _exact_pairs(rows: DataFrame, texts: DataFrame, evidence: DataFrame, coverage: float) -> DataFrame | None:
+    """Pairs with an item that has no window in ``evidence``, by windows with all values kept; None without such items."""
+    bare = texts.join(evidence.select(ITEM), ITEM, "left_anti").withColumn(
+        "width", F.least(F.size(exact_tokens(F.col("text"))), F.lit(WIDTH))
+    ).where("width > 0")
+    bare = written(bare.withColumn(
+        "n_values", F.size(F.array_distinct(F.filter(valued_tokens(F.col("text")), _is_slot))).cast("long")
+    ))
+    widths = sorted(r["width"] for r in bare.select("width").distinct().collect())  # at most WIDTH numbers
+    if not widths:
+        return None
+    wanted = written(
+        _exact_windows(bare, ITEM, widths).join(bare.select(ITEM, "width"), [ITEM, "width"]).withColumnRenamed("place", "item_place")
+    )
+    sizes = wanted.groupBy(ITEM).agg(F.count("*").alias("item_windows"))
+    probes = _exact_windows(rows.select(UID, "text"), UID, widths)
+    hits = probes.join(small(wanted, wanted.count()), ["width", "hash"]).select(UID, ITEM, "item_place").distinct()
+    found = hits.groupBy(UID, ITEM).agg(F.count("*").alias("n_windows")).join(sizes, ITEM)
+    return (
+        found.withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= coverage)
+        .join(bare.select(ITEM, "item_id", "n_values"), ITEM)
+        .select(UID, "item_id", "n_windows", "item_windows", "coverage", "n_values",
+                F.lit(0).cast("long").alias("n_broken"), F.lit(0).cast("long").alias("n_changed"))
+    )
+
+
 def _document_tokens(rows: DataFrame, suspects: DataFrame) -> DataFrame:
     """``_uid, j, token`` of the documents of suspects."""
     wanted = suspects.select(UID).distinct()
@@ -288,7 +358,7 @@ def _judged(of_doc: DataFrame, agreed: DataFrame, suspects: DataFrame, texts: Da
     )
     of_item = (
         texts.select(ITEM, F.posexplode(cased_tokens(F.col("text"))).alias("i", "item_token"))
-        .where(F.col("item_token") >= NUMBER_MARK)
+        .where(_marked(F.col("item_token")))
         .select(ITEM, "i", _class(F.col("item_token")).alias("class"), _plain(F.col("item_token")).alias("item_value"),
                 _is_slot(F.col("item_token")).alias("sure"))
     )

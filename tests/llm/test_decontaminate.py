@@ -100,6 +100,21 @@ def test_names_in_every_place(spark, tmp_path):
     assert judged(spark, tmp_path, [SHOP, FARM], texts) == want
 
 
+def test_items_of_few_words(spark, tmp_path):
+    items = ["12 + 30 = 42", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "Who wrote it?", "Ann Bob Eve Ida Lea Max Tom", "小明每天早上买三个苹果然后走到市场去", "???", "", None, QUESTION, "ﬁrst ﬂags ﬁnd ﬂat ﬁelds ﬂow"]
+    texts = [
+        in_noise("12 + 30 = 42", 40), in_noise("12 - 30 = 42", 41), in_noise("12 + 30 = 43", 42),
+        in_noise(items[1], 43), in_noise(items[1][::-1], 44),
+        in_noise("who wrote it", 45), "Who wrote it", in_noise("who wrote this", 46),
+        in_noise("Ann, Bob, Eve, Ida, Lea, Max, Tom", 47), in_noise("Ann Bob Eve Max Ida Tom Lea", 48),
+        "我们知道小明每天早上买三个苹果然后走到市场去,而且很高兴", "小红晚上走到学校去然后买两个橘子", in_noise("???", 49),
+        in_noise(QUESTION.replace("Tom", "Ann"), 50), in_noise(items[9].replace("ﬁnd", "ﬂnd"), 51), in_noise(items[9], 52),
+    ]
+    found = judged(spark, tmp_path, items, texts)
+    one = lambda i: {(i, "copy")}
+    assert found == [one(0), set(), set(), one(1), set(), one(2), one(2), set(), one(3), set(), one(4), set(), set(), {(8, "reparameterised")}, set(), one(9)]
+
+
 def plain_tokens(text):
     """The same canonical form by one scan over words instead of three replacements."""
     out, end, unit_end = [], 0, -1
