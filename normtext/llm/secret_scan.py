@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 Base spans come from three patterns over the whole text. The method adds spans of kind
-``random``: runs of key characters (at least ``LEAST_RUN``) that mix letters with digits
-or change from lower to upper case inside, whose transitions are likelier under a model
-of random strings than under one of ordinary identifiers, by more than the prior odds
-against a secret. Both models are counts of character pairs backed by their single characters, learned from
+``random`` inside runs of key characters (at least ``LEAST_RUN``): transitions likelier under
+a model of random strings than under one of ordinary identifiers, by more than the prior
+odds against a secret. A run that mixes letters with digits or changes from lower to upper
+case, and scores so as a whole, is one span; of any other the best-scoring stretch is
+taken, so a path or name before a secret doesn't outvote it. Both models are counts of character pairs backed by their single characters, learned from
 samples: the values that the base patterns label as secrets, and the letter runs of the
 same documents outside them. About ``FIT_ROWS`` rows are read for that. Added spans that touch a
 base span are dropped. DataFrame functions only.
@@ -98,18 +99,39 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> list[float]:
     return [log_share("random", a, b) - log_share("ordinary", a, b) for a in ALPHABET for b in ALPHABET]
 
 
-def _ratio_sql(span: str, ratios: list[float]) -> str:
-    """The summed log-likelihood ratio of a run, whose characters are all in the alphabet."""
+def _stretch_sql(span: str, ratios: list[float]) -> str:
+    """``sum`` of a run's log-likelihood ratios, and its best-scoring stretch: ``best``, first and last character."""
     table = "array(" + ", ".join(f"{r:.6f}D" for r in ratios) + ")"
     letters = sql_literal(ALPHABET)
     place = "(instr({a}, substr({s}, i, 1)) - 1) * {n} + instr({a}, substr({s}, i + 1, 1)) - 1".format(a=letters, s=span, n=len(ALPHABET))
-    return f"aggregate(sequence(1, length({span}) - 1), 0D, (sum, i) -> sum + get({table}, {place}))"
+    each = f"transform(sequence(1, length({span}) - 1), i -> coalesce(get({table}, {place}), 0D))"
+    start = "named_struct('i', 1, 'sum', 0D, 'run', 0D, 'from', 1, 'best', 0D, 'first', 1, 'last', 1)"
+    begun = "if(s.run > 0D, s.from, s.i)"
+    run = "v + greatest(s.run, 0D)"
+    better = f"{run} > s.best"
+    step = (
+        f"named_struct('i', s.i + 1, 'sum', s.sum + v, 'run', {run}, 'from', {begun}, 'best', greatest({run}, s.best),"
+        f" 'first', if({better}, {begun}, s.first), 'last', if({better}, s.i + 1, s.last))"
+    )
+    return f"aggregate({each}, {start}, (s, v) -> {step})"
+
+
+def _candidates_sql(ratios: list[float], prior_odds: float) -> str:
+    """Runs that score as a whole, and the best-scoring stretch of the others."""
+    least = f"{-math.log(prior_odds)}D"
+    scored = f"transform({matches_sql('text', RUN)}, x -> named_struct('x', x, 'w', {_stretch_sql('x.span', ratios)}))"
+    whole = f"rlike(c.x.span, {sql_literal(MIXED)}) AND c.w.sum > {least}"
+    at, till = f"if({whole}, c.x.start, c.x.start + c.w.first - 1)", f"if({whole}, c.x.end, c.x.start + c.w.last)"
+    span = f"if({whole}, c.x.span, substr(c.x.span, c.w.first, c.w.last - c.w.first + 1))"
+    return (
+        f"transform(filter({scored}, c -> ({whole}) OR c.w.best > {least}),"
+        f" c -> named_struct('at', {at}, 'kind', 3, 'till', {till}, 'span', {span}))"
+    )
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], prior_odds: float = PRIOR_ODDS) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random`` per row of ``docs`` (``doc_id, text``)."""
-    likely = f"rlike(x.span, {sql_literal(MIXED)}) AND {_ratio_sql('x.span', ratios)} > {-math.log(prior_odds)}D"
-    based = with_base_spans(docs).withColumn("candidates", F.expr(_spans(3, RUN, likely)))
+    based = with_base_spans(docs).withColumn("candidates", F.expr(_candidates_sql(ratios, prior_odds)))
     added = F.filter(
         "candidates", lambda c: ~F.exists("base", lambda b: (b["at"] < c["till"]) & (c["at"] < b["till"]))
     )

@@ -73,3 +73,18 @@ def test_without_samples(spark, tmp_path):
     blank = stored(documents(spark, [None, ""]), tmp_path, "blank")
     assert {r.spans for r in scan(blank).collect()} == {""}
     assert set(fit(blank)) == {0.0}
+
+
+def test_secrets_behind_paths(spark, tmp_path):
+    rng = random.Random(8)
+    path = "com/internal/services/payments/config/identifier/processing/readable/ordinary/sentences/session_identifier="
+    secrets = [key(rng, 32) for _ in range(20)]
+    texts = [f"see {path}{s} there" for s in secrets] + [f"see {path} there"] * 20
+    known = [t for _, t in cases()]
+    docs = stored(documents(spark, [*texts, *known]), tmp_path)
+    found = {r.doc_id: r for r in scan(docs).collect()}
+    for i, s in enumerate(secrets):
+        spans = [x.split(":") for x in found[i].spans.split(",") if x.startswith("random")]
+        at = texts[i].index(s)
+        assert any(min(int(b), at + 32) - max(int(a), at) >= 24 for _, a, b in spans), i
+    assert all(found[i].n_random == 0 for i in range(20, 40))
