@@ -10,6 +10,7 @@ from normtext.llm.exact_chunks import exact_duplicates
 from normtext.llm.language_bits import identify
 from normtext.llm.length_buckets import pack
 from normtext.llm.minhash import near_duplicates
+from normtext.llm.periodic_runs import periodic_runs, with_repetition
 from normtext.llm.secret_scan import scan
 from normtext.llm.site_quality import measure, site_quality
 from normtext.llm.toxic_crf import score_toxicity
@@ -122,6 +123,51 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+# crc32 of a list of bytes, as a table of 256 entries and a fold over the bytes.
+_CRC_TABLE = """
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS crc_table
+"""
+_CRC = "xor(list_reduce({bytes}, lambda c, b: xor(c >> 8, crc_table[xor(c, b) % 256 + 1]), 4294967295), 4294967295)"
+
+_RUNS = rf"""
+WITH t AS ({_CRC_TABLE}), d AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         {_CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")} AS h
+  FROM documents, t
+), planted AS (
+  SELECT *, (h // 10) % len(words) AS a, 1 + (len(words) - (h // 10) % len(words)) // (3 + (h // 10) % 8) AS p FROM d
+), w AS (
+  SELECT uid, doc_id, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0
+           THEN list_transform(range(0, len(words)), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1])
+           ELSE words END AS words
+  FROM planted
+), places AS (
+  SELECT uid, n, unnest(words) AS word, unnest(range(0, n)) AS i FROM w
+), pairs AS (
+  SELECT x.uid, y.i - x.i AS q, x.i FROM places x JOIN places y ON x.uid = y.uid AND x.word = y.word AND y.i > x.i
+  WHERE 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY uid, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT uid, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY uid, q, island
+), runs AS (
+  SELECT uid, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY uid, start, length
+), told AS (
+  SELECT uid, count(*) AS n_runs, first(start ORDER BY length DESC, start, period) AS start, max(length) AS length,
+         first(period ORDER BY length DESC, start, period) AS period,
+         string_agg(concat_ws(',', start, length, period) || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY uid
+), kept AS (
+  SELECT uid, string_agg(word, ' ' ORDER BY i) AS collapsed FROM places
+  WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.uid = places.uid AND i >= start + period AND i < start + length)
+  GROUP BY uid
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM w LEFT JOIN told USING (uid) LEFT JOIN kept USING (uid)
+"""
+
 
 @registry.add("op1_url_filter", _URLS)
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,3 +246,19 @@ def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "measures",
     )
     return site_quality(sited, _table(spark, sf_dir, "labels"))
+
+
+@registry.add("op13_periodic_runs", _RUNS)
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them made periodic from some word on."""
+    found = periodic_runs(with_repetition(_table(spark, sf_dir, "documents")), ["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", (-F.col("longest.s")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.q")).alias("period"), F.expr("1000 * longest.length DIV -longest.q").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
