@@ -13,6 +13,7 @@ from normtext.llm.minhash import near_duplicates
 from normtext.llm.periodic_runs import periodic_runs, with_repetition
 from normtext.llm.secret_scan import scan
 from normtext.llm.site_quality import measure, site_quality
+from normtext.llm.spelling_trie import damaged, frequent_words, letter_runs, spelling_variants
 from normtext.llm.toxic_crf import score_toxicity
 from normtext.llm.url_filter import host_of, path_of, url_verdicts
 from normtext.llm.warc import archived
@@ -168,6 +169,41 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * leng
 FROM w LEFT JOIN told USING (uid) LEFT JOIN kept USING (uid)
 """
 
+_SPELLING = rf"""
+WITH RECURSIVE t AS ({_CRC_TABLE}), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS c, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+           lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x)::BIGINT // 64, 128 + unicode(x)::BIGINT % 64] END)) AS bytes
+  FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, c, {_CRC.format(bytes="bytes")} AS h FROM counted, t
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING sum(c) >= 5 AND length(word) >= 6
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cuts.word, words.word, words.n FROM cuts JOIN words ON cuts.cut = words.word
+  UNION SELECT words.word, cuts.word, cuts.n FROM cuts JOIN words ON cuts.cut = words.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form,
+         CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), reach AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL SELECT reach.word, formed.form, steps + 1 FROM reach JOIN formed ON formed.word = reach.root WHERE formed.form IS NOT NULL
+)
+SELECT word, form, (SELECT first(root ORDER BY steps DESC) FROM reach WHERE reach.word = formed.word) AS root, n, n_near, form_n FROM formed
+"""
+
 
 @registry.add("op1_url_filter", _URLS)
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,3 +298,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-F.col("longest.q")).alias("period"), F.expr("1000 * longest.length DIV -longest.q").alias("exponent_milli"),
         "runs_sha256", "collapsed_sha256",
     )
+
+
+@registry.add("op11_spelling_variants", _SPELLING)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents with their near words, forms and roots, one run of letters in 199 damaged."""
+    return spelling_variants(frequent_words(damaged(letter_runs(_table(spark, sf_dir, "documents")))))
