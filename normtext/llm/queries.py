@@ -9,6 +9,7 @@ from normtext.llm.decontaminate import contaminated
 from normtext.llm.exact_chunks import exact_duplicates
 from normtext.llm.language_bits import identify
 from normtext.llm.length_buckets import pack
+from normtext.llm.license_scan import all_rules, labels_of, scan_licenses, spaced
 from normtext.llm.minhash import near_duplicates
 from normtext.llm.periodic_runs import periodic_runs, with_repetition
 from normtext.llm.secret_scan import scan
@@ -205,6 +206,51 @@ SELECT word, form, (SELECT first(root ORDER BY steps DESC) FROM reach WHERE reac
 """
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LICENSES = rf"""
+WITH rules(rule, priority, label, weight, keywords, pattern) AS (VALUES
+  {", ".join(f"({i}, {r.priority}, {_quoted(r.label)}, {r.weight}::DOUBLE, [{', '.join(map(_quoted, r.keywords))}], {_quoted(spaced(r.pattern))})" for i, r in enumerate(all_rules()))}
+), d AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{{00}}-\x{{2F}}\x{{3A}}-\x{{60}}\x{{7B}}-\x{{7F}}]+') AS words
+  FROM documents
+), hits AS (
+  SELECT uid, rule, priority, label, weight, ' ' || array_to_string(words, '  ') || ' ' AS line, pattern
+  FROM d JOIN rules ON list_has_all(words, keywords)
+), parts AS (
+  SELECT *, unnest(spans) AS span, unnest(gaps[1 : len(spans)]) AS gap, unnest(range(0, len(spans))) AS k
+  FROM (SELECT *, regexp_extract_all(line, pattern) AS spans, regexp_split_to_array(line, pattern) AS gaps FROM hits)
+), counted AS (
+  SELECT uid, rule, priority, label, weight, k, (length(gap) - length(replace(gap, ' ', ''))) // 2 AS g,
+         (length(span) - length(replace(span, ' ', ''))) // 2 AS s
+  FROM parts
+), placed AS (
+  SELECT *, (sum(g + s) OVER (PARTITION BY uid, rule ORDER BY k))::BIGINT AS stop FROM counted
+), found AS (
+  SELECT uid, rule, priority, label, weight, stop - s AS first, stop FROM placed
+), kept AS (
+  SELECT * FROM found f WHERE priority = 0 OR NOT EXISTS (
+    SELECT 1 FROM found o WHERE o.uid = f.uid AND o.priority BETWEEN 1 AND f.priority AND o.first <= f.first AND o.stop >= f.stop
+      AND (o.first < f.first OR o.stop > f.stop OR o.priority < f.priority OR o.rule < f.rule))
+), strongest AS (
+  SELECT uid, label, max(weight) AS weight FROM kept GROUP BY uid, label
+), scored AS (
+  SELECT uid, string_agg(label, ',' ORDER BY label) AS labels,
+         1::DOUBLE - list_reduce(list(1::DOUBLE - weight ORDER BY label), lambda p, w: p * w, 1::DOUBLE) AS score
+  FROM strongest GROUP BY uid
+), base AS (
+  SELECT uid, count(*) AS n_base, min(first) AS first_word, max(first) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM kept WHERE priority = 0 GROUP BY uid
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0::DOUBLE) AS score
+FROM d LEFT JOIN base USING (uid) LEFT JOIN scored USING (uid)
+"""
+
+
 @registry.add("op1_url_filter", _URLS)
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's URL; listed are the pages whose document is labelled toxic."""
@@ -304,3 +350,15 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words of all documents with their near words, forms and roots, one run of letters in 199 damaged."""
     return spelling_variants(frequent_words(damaged(letter_runs(_table(spark, sf_dir, "documents")))))
+
+
+@registry.add("op12_license_scan", _LICENSES)
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements in every document by ordered signature rules, with every place of the base phrases."""
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda d: d["first"].cast("long"))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels_of("base").alias("base_labels"), labels_of("base", "detections").alias("labels"), "score",
+    )
