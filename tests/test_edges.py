@@ -2,7 +2,6 @@
 
 import html
 import random
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from normtext.functions.text import decode_references
 from normtext.operators import gold, markers, profile, runs, slots
-from normtext.operators.matching import independent_runs, match_lengths
+from normtext.operators.matching import Merges, Tie, match_lengths, sweep
 
 PASSAGES = "passage_id string, chars long"
 
@@ -35,12 +34,44 @@ def test_length_matching_at_every_size(spark, n, m, longest):
     assert sorted(map(tuple, found.collect())) == nearest_unused(targets, controls)
 
 
-def test_sparse_targets_are_independent():
-    rng = random.Random(1)
-    targets = Counter(rng.randrange(10**6) for _ in range(500))
-    controls = Counter(rng.randrange(10**6) for _ in range(50_000))
-    found = independent_runs(targets, controls)
-    assert found["members"].sum() == 500 and len(found) > 400 and found["members"].max() < 20
+def test_length_matching_with_chains_of_ties(spark, monkeypatch):
+    """Every target stands half way between two lengths, and what one leaves the next one splits: ids decide all along."""
+    rng = random.Random(9)
+    targets = [(f"t{i}", 10 * (i // 5) + 5) for i in range(1500)]
+    controls = [(f"{rng.randrange(1500):05d}", 10 * (i // 7)) for i in range(2200)]  # many equal ids
+    sweeps = []
+    monkeypatch.setattr("normtext.operators.matching.sweep", lambda *a: sweeps.append(sweep(*a)) or sweeps[-1])
+    found = match_lengths(spark.createDataFrame(targets, PASSAGES), spark.createDataFrame(controls, PASSAGES))
+    assert sorted(map(tuple, found.collect())) == nearest_unused(targets, controls)
+    assert len(sweeps[0].guessed) > 250 and len(sweeps) <= 4
+
+
+def test_length_matching_with_large_ties(spark):
+    """One length holds a third of all controls and ties again and again; answers reach over their window."""
+    rng = random.Random(10)
+    targets = [(f"t{i}", 50 + (i % 3)) for i in range(4000)]
+    controls = [(f"c{rng.random()}", rng.choice([0, 49, 51, 53, 100, 101, 104])) for i in range(9000)]
+    found = match_lengths(spark.createDataFrame(targets, PASSAGES), spark.createDataFrame(controls, PASSAGES))
+    assert sorted(map(tuple, found.collect())) == nearest_unused(targets, controls)
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
+def test_sweep_holds_counts_only():
+    """A thousand million rows in three lengths are a few steps."""
+    settled = sweep({5: 10**9, 6: 5}, {4: 10**9, 6: 10**9, 9: 1}, Merges())
+    assert settled.guessed == {Tie(0, 1, 10**9)}
+    merges = Merges()
+    merges.learn(0, 1, 10**9 - 2, 4 * 10**8, "0110")
+    settled = sweep({5: 10**9, 6: 5}, {4: 10**9, 6: 10**9, 9: 1}, merges)
+    assert not settled.guessed and settled.ties == [(0, 0, 4 * 10**8 + 1, 10**9, 6 * 10**8 - 1)]
+    assert settled.runs == [(10**9, 16 * 10**8 - 1, 5)]
+
+
+def test_rows_without_a_length(spark):
+    targets = spark.createDataFrame([("t", 3), ("u", None)], PASSAGES)
+    controls = spark.createDataFrame([("c", None), ("d", 9), (None, 3)], PASSAGES)
+    assert [tuple(r) for r in match_lengths(targets, controls).collect()] == [(None, "t", 3, 0)]
+    assert match_lengths(targets.limit(0), controls).count() == 0
 
 
 def test_too_few_controls(spark):
