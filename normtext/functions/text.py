@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,65 +78,10 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, UNICODE + r"\s+", " "))
 
 
-def decode_references(text: Column) -> Column:
-    """Every character reference decoded: named ones with their semicolon, decimal and hexadecimal ones.
-
-    One pass from left to right, so ``&amp;lt;`` is ``&lt;``. Unknown names stay as they are.
-    """
-    names = F.expr(
-        "map(" + ", ".join(f"'{n}', '{chr(c)}'" if c not in (39, 92) else f"'{n}', '\\{chr(c)}'" for n, c in {**name2codepoint, "apos": 39}.items()) + ")"
-    )
-
-    def decoded(part: Column) -> Column:
-        reference = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        hexadecimal = F.rlike(reference, F.lit("^#[xX]"))
-        code = F.conv(F.regexp_extract(reference, "([0-9a-fA-F]+)$", 1), 16, 16)
-        code = F.when(hexadecimal, code).otherwise(F.conv(F.regexp_extract(reference, "([0-9]+)$", 1), 10, 16))
-        valid = F.conv(code, 16, 10).cast("long")
-        safe = F.when((valid == 0) | valid.between(0xD800, 0xDFFF) | (valid > 0x10FFFF), "FFFD").otherwise(code)
-        character = F.when(
-            F.startswith(reference, F.lit("#")), F.decode(F.unhex(F.lpad(safe, 8, "0")), "UTF-32")
-        ).otherwise(F.try_element_at(names, reference))
-        return F.coalesce(
-            F.when(reference != "", F.concat(character, F.substr(part, F.length(reference) + 2))), F.concat(F.lit("&"), part)
-        )
-
-    parts = F.split(text, "&", -1)
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
-    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
-
-
-def normalize_text(fragment: Column) -> Column:
-    """Plain text of an HTML fragment: br is a line end, p a blank line.
-
-    Other tags vanish, character references are decoded once, non-breaking spaces become spaces, and runs of spaces or of three or
-    more line ends are reduced.
-    """
-    text = F.regexp_replace(fragment, r"(?is)<br\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"(?is)<p\b[^>]*>", "\n\n")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"(?s)</?[A-Za-z!][^>]*>", "")
-    for reference, character in (
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-        ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    text = F.translate(text, "\u00a0", " ")
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
-    text = F.regexp_replace(text, r" *\n *", "\n")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return strip(text)
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, UNICODE + r"^\s+|\s+$", "")
 
 
-def tag_text(fragment: Column) -> Column:
-    """The text of a small inline fragment, tags replaced by spaces and squeezed."""
-    return squeeze(normalize_text(F.regexp_replace(fragment, r"<[^>]*>", " ")))
-
-
 def sentence_at(text: Column, start: Column, fallback: int) -> Column:
     """The sentence around a 0-based position: after the last period before it, up
     to and including the next one, or ``fallback`` characters on if there is none."""

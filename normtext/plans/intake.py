@@ -195,7 +195,7 @@ def statute_html(spark, sf_dir):
         text = F.replace(F.replace(line, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
         return F.concat(
             chapter, heading, F.lit('<a class="paragraf" name="'), name, F.lit('"><b>'), (i + 1).cast("string"),
-            F.lit(' §</b></a> <a name="'), name, F.lit('S1"></a>'), text, F.lit("<br>tail&nbsp;<i>note "), i.cast("string"), F.lit("</i><p>"),
+            F.lit(' §</b></a> <a name="'), name, F.lit('S1"></a>'), text, F.lit("<br title=\"1 > 0\">tail&nbsp;&aring;&sect&#167;&#xA7; &amp;lt; <i class='a>b'>note "), i.cast("string"), F.lit("</i><p>"),
         )
 
     lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")
@@ -212,7 +212,7 @@ paragraphs AS MATERIALIZED (SELECT 'doc-' || doc_id AS document_id, i, doc_id,
   'P' || (i - CASE WHEN i % 4 = 3 THEN 1 ELSE 0 END + 1) AS source_anchor,
   CASE WHEN i % 4 = 3 THEN 2 ELSE 1 END AS source_anchor_occurrence, (i + 1) || ' §' AS label,
   'Chapter ' || ((i // 5) * 5) AS chapter, CASE WHEN i >= 1 THEN 'Heading ' || (((i - 1) // 3) * 3 + 1) ELSE '' END AS heading,
-  (i + 1)::INT AS "order", trim(regexp_replace(line, ' +', ' ', 'g')) || chr(10) || 'tail note ' || i AS text FROM lines)"""
+  (i + 1)::INT AS "order", trim(regexp_replace(line, ' +', ' ', 'g')) || chr(10) || 'tail å§§§ &lt; note ' || i AS text FROM lines)"""
 
 
 @registry.add(
@@ -248,21 +248,28 @@ def transitional_provisions(spark, sf_dir):
     return found.select("document_id", "provision_suffix", "label", "order", "text")
 
 
-_RE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
-  '(?i)<br\b[^>]*>', chr(10), 'g'), '(?i)<p\b[^>]*>', chr(10) || chr(10), 'g'), '(?s)<!--.*?-->', '', 'g'),
-  '</?[A-Za-z!][^>]*>', '', 'g'), 'x^', '', 'g')"""
-_ENTITIES = f"replace(replace(replace(replace(replace(replace({_RE}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'),
+  '(?i)<br\b[^>]*>', chr(10), 'g'), '(?i)<p\b[^>]*>', chr(10) || chr(10), 'g'), '</?[A-Za-z!][^>]*>', '', 'g')"""
+_DECODED = _STRIPPED
+for _name, _character in (
+    ("&nbsp;", "chr(160)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'"),
+):
+    _DECODED = f"replace({_DECODED}, '{_name}', {_character})"
+
+# Markup in front of every page that a pattern up to the next ">" and a list of a few names would get wrong.
+_PLANTED = """<i title="1 > 0" data-x='a>b'>&aring;&sect&#167;&#xA7; &amp;lt;</i><!-- a > b --><script>if (a < b) "<p>";</script><br class="x>y">"""
 
 
 @registry.add(
     "normalized_pages",
-    rf"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({_ENTITIES}, chr(160), ' '),
+    rf"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('å§§§ &lt;' || chr(10) || replace({_DECODED}, chr(160), ' '),
       '[ \t\r\f\v]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""",
 )
 def normalized_pages(spark, sf_dir):
-    from normtext.functions.text import normalize_text
+    from normtext.functions.markup import normalize_text
 
-    return table(spark, sf_dir, "pages").select("page_id", normalize_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", normalize_text(F.concat(F.lit(_PLANTED), F.col("html"))).alias("text"))
 
 
 def section_text(spark, sf_dir):

@@ -12,112 +12,145 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normtext import fixed_values as fv
-from normtext.functions.text import BLOCK, normalize_text, sql_literal, strip, tag_text
+from normtext.functions.markup import OPEN, attribute, events_sql, joined_text, scanned, siblings_text, tokens
+from normtext.functions.text import strip
 
-ANCHOR = r"(?is)<a\b(?=[^>]*\bclass=\"[^\"]*\bparagraf\b)(?=[^>]*\bname=\")"
-CUT = r"(?is)(?=<h[34]\b)|(?=<a\b(?=[^>]*\bclass=\"[^\"]*\bparagraf\b)(?=[^>]*\bname=\"))"
-NAME = r"(?is)^<[^>]*\bname=\"([^\"]*)\""
-CHAPTER = r"(?is)^<h3\b[^>]*\bname=\"K\d+\""
-TRANSITIONAL = r"(?is)<h3\b[^>]*\bname=\"overgang\"[^>]*>.*?</h3>"
 MARKER_LINE = r"(?m)^(\d{4}:\d+)$"
 HEADING_LINE = r"(?m)^(?=\d+(?:\.\d+)*\.?[^\S\n]+\S)"
 
+ANCHOR, CHAPTER, HEADING, TRANSITIONAL = "anchor", "chapter", "heading", "transitional"
+
+
+def with_events(documents: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns with ``_events``, the tokens of ``html`` with their places and roles, and ``_ends`` of its elements."""
+
+    def with_role(t: Column) -> Column:
+        name = F.when((t["kind"] == OPEN) & t["name"].isin("a", "h3"), attribute(t["token"], "name"))
+        classes = F.split(F.coalesce(attribute(t["token"], "class"), F.lit("")), r"\s+")
+        return F.struct(t["kind"].alias("kind"), t["name"].alias("name"), t["token"].alias("token"), name.alias("label"), classes.alias("classes"))
+
+    def role(t: Column) -> Column:
+        kind = (
+            F.when(t["kind"] != OPEN, None)
+            .when((t["name"] == "a") & t["label"].isNotNull() & F.array_contains(t["classes"], "paragraf"), ANCHOR)
+            .when((t["name"] == "h3") & F.rlike(t["label"], F.lit(r"^K\d+$")), CHAPTER)
+            .when((t["name"] == "h3") & (t["label"] == "overgang"), TRANSITIONAL)
+            .when(t["name"] == "h4", HEADING)
+        )
+        return F.struct(t["kind"].alias("kind"), t["name"].alias("name"), t["token"].alias("token"), t["label"].alias("label"), kind.alias("role"))
+
+    def classed(t: Column) -> Column:  # a class is read from anchors only
+        return F.when((t["kind"] == OPEN) & (t["name"] == "a"), with_role(t)).otherwise(
+            F.struct(
+                t["kind"].alias("kind"), t["name"].alias("name"), t["token"].alias("token"),
+                F.when((t["kind"] == OPEN) & (t["name"] == "h3"), attribute(t["token"], "name")).alias("label"), F.array(F.lit("")).alias("classes"),
+            )
+        )
+
+    told = documents.select(*keep, F.transform(F.transform(tokens(F.col("html")), classed), role).alias("_tokens"))
+    placed = told.select(*keep, "_tokens", F.expr(events_sql("_tokens")).alias("_scan"))
+    # Zipped first: a column named inside a lambda may be computed again for each item.
+    events = F.expr(
+        "transform(arrays_zip(_tokens, _scan.places), (z, i) -> named_struct('at', i, 'kind', z._tokens.kind, 'name', z._tokens.name,"
+        " 'token', z._tokens.token, 'label', z._tokens.label, 'role', z._tokens.role, 'depth', z.places.depth, 'parent', z.places.parent,"
+        " 'nth', z.places.nth, 'chapter', z.places.chapter, 'heading', z.places.heading))"
+    )
+    return placed.select(*keep, events.alias("_events"), F.col("_scan.ends").alias("_ends"))
+
 
-def _carried(html: str) -> Column:
-    """The segments that open a provision, each with the chapter and heading before it.
+def _provisions_sql() -> str:
+    """The anchors in order, each with the event that ends its contents.
 
-    One fold over the segments; finished provisions move from a short block to the
-    result so that appending stays cheap.
+    The contents are the anchor's following siblings: they end at the next heading or anchor as
+    deep as it, or with the element around them.
     """
-    row = "struct<chapter:string,heading:string,segment:string>"
-    found = "array(named_struct('chapter', s.chapter, 'heading', s.heading, 'segment', p))"
-    is_anchor = f"rlike(p, {sql_literal('^' + ANCHOR)})"
-    full = f"size(s.block) >= {BLOCK}"
-    block = f"if({is_anchor}, if({full}, {found}, concat(s.block, {found})), s.block)"
-    done = f"if({is_anchor} AND {full}, concat(s.done, array(s.block)), s.done)"
-    return F.expr(
-        f"aggregate(split({html}, {sql_literal(CUT)}, -1),"
-        f" named_struct('chapter', '', 'heading', '', 'block', cast(array() AS array<{row}>),"
-        f" 'done', cast(array() AS array<array<{row}>>)),"
-        f" (s, p) -> named_struct("
-        f"'chapter', if(rlike(p, {sql_literal(CHAPTER)}), p, s.chapter),"
-        f" 'heading', if(rlike(p, '(?is)^<h4\\\\b'), p, s.heading), 'block', {block}, 'done', {done}),"
-        f" s -> flatten(concat(s.done, array(s.block))))"
+    told = (
+        "transform(filter(_events, e -> e.role = 'anchor' OR (e.kind = 1 AND e.name IN ('h3', 'h4'))), e -> named_struct('depth', e.depth,"
+        " 'at', e.at, 'nth', e.nth, 'parent', e.parent, 'label', e.label, 'role', e.role, 'chapter', e.chapter, 'heading', e.heading))"
     )
+    end = "if(x.parent < 0, size(_events), get(_ends, x.parent))"
+    stop = f"if(coalesce(get(q, i + 1).depth = x.depth, false), least(get(q, i + 1).at, {end}), {end})"
+    anchors = f"filter(transform(q, (x, i) -> named_struct('at', x.at, 'stop', {stop}, 'e', x)), x -> x.e.role = 'anchor')"
+    return f"array_sort(flatten(transform(array(array_sort({told})), q -> {anchors})))"
 
 
 def _occurrences(names: str) -> str:
     """SQL for how often each name has occurred so far, in the order of ``names``.
 
-    The names are sorted with their places, counted in one fold and put back, so many
+    The names are sorted with their places, counted in one scan and put back, so many
     anchors cost n log n and not n squared.
     """
-    nth = "if(x.name = s.name, s.nth + 1, 1)"
-    item = f"array(named_struct('place', x.place, 'nth', {nth}))"
-    full = f"size(s.block) >= {BLOCK}"
-    row = "array<struct<place:int,nth:int>>"
-    return (
-        f"transform(array_sort(aggregate(array_sort(transform({names}, (n, i) -> named_struct('name', n, 'place', i))),"
-        f" named_struct('name', cast(NULL AS string), 'nth', 0, 'block', cast(array() AS {row}), 'done', cast(array() AS array<{row}>)),"
-        f" (s, x) -> named_struct('name', x.name, 'nth', {nth},"
-        f" 'block', if({full}, {item}, concat(s.block, {item})), 'done', if({full}, concat(s.done, array(s.block)), s.done)),"
-        f" s -> flatten(concat(s.done, array(s.block))))), x -> x.nth)"
+    scan = scanned(
+        f"array_sort(transform({names}, (n, i) -> named_struct('name', n, 'place', i)))", {"name": "cast(NULL AS string)", "nth": "0"},
+        {"name": "t.name", "nth": "nth"}, "concat(t.place, ',', nth, ';')", {"nth": "if(t.name = s.name, s.nth + 1, 1)"},
     )
-
-
-def _title(segment: Column, tag: str) -> Column:
-    return tag_text(F.regexp_extract(segment, rf"(?is)^<{tag}\b[^>]*>(.*?)</{tag}>", 1))
+    rows = "transform(filter(split(f.out, ';'), x -> x <> ''), x -> cast(split(x, ',') AS array<int>))"
+    return f"get(transform(array({scan}), f -> transform(array_sort({rows}), x -> x[1])), 0)"
 
 
 def subsection_anchors(content: Column) -> Column:
-    return F.regexp_extract_all(content, F.lit(r"(?is)<a\b[^>]*\bname=\"(P[^\s\"]+S\d+)\""), F.lit(1))
+    """Names of the form P…S… of the anchors among a provision's events."""
+    names = F.transform(F.filter(content, lambda e: (e["kind"] == OPEN) & (e["name"] == "a")), lambda e: e["label"])
+    return F.filter(names, lambda n: F.rlike(n, F.lit(r"^P[^\s]+S\d+$")))
 
 
-def amendment_notes(content: Column) -> Column:
-    notes = F.regexp_extract_all(content, F.lit(r"(?is)<i\b[^>]*>(.*?)</i>"), F.lit(1))
-    return F.transform(notes, tag_text)
+def amendment_notes(content: str, ends: str) -> Column:
+    """The texts of the ``i`` elements among a provision's events, in order; one never closed reads to the end of the provision."""
+    notes = F.expr(
+        f"transform(filter(transform({content}, (e, i) -> named_struct('e', e, 'i', i)), x -> x.e.kind = 1 AND x.e.name = 'i'),"
+        f" x -> slice({content}, x.i + 2, greatest(least(get({ends}, x.i), size({content})) - x.i - 1, 0)))"
+    )
+    return F.transform(notes, joined_text)
 
 
 def segment_provisions(documents: DataFrame, keep: Sequence[str] = ("document_id",)) -> DataFrame:
     """One row per paragraph anchor, in order. A repeated anchor keeps its rows: the
     second one is suffixed ``:occurrence:2``. Documents without anchors yield nothing."""
-    found = documents.select(*keep, _carried("html").alias("_found"))
-    named = found.withColumn("_names", F.expr(f"transform(_found, f -> regexp_extract(f.segment, {sql_literal(NAME)}, 1))"))
-    numbered = F.expr(_occurrences("_names"))
-    rows = named.select(
-        *keep, F.posexplode(F.arrays_zip("_found", "_names", numbered.alias("_occurrences"))).alias("_i", "_z")
+    found = with_events(documents, keep).withColumn("_found", F.expr(_provisions_sql()))
+    numbered = found.withColumn("_nths", F.expr(_occurrences("transform(_found, f -> f.e.label)")))
+
+    def element(at: str) -> str:  # the events inside the element that event ``at`` opens
+        return f"if({at} < 0, slice(_events, 1, 0), slice(_events, {at} + 2, get(_ends, get(_events, {at}).nth) - {at} - 1))"
+
+    first = "(get(_ends, f.e.nth) + 1)"
+    content = f"slice(_events, {first} + 1, greatest(f.stop - {first}, 0))"
+    parts = F.expr(
+        f"transform(arrays_zip(_found, _nths), z -> get(transform(array(z._found), f -> named_struct('name', f.e.label, 'nth', z._nths, 'depth', f.e.depth,"
+        f" 'label', {element('f.at')}, 'chapter', {element('f.e.chapter')}, 'heading', {element('f.e.heading')}, 'content', {content},"
+        f" 'content_ends', transform({content}, e -> if(e.kind = 1 AND e.name = 'i', get(_ends, e.nth) - {first}, NULL)))), 0))"
     )
-    segment = F.col("_z._found.segment")
-    content = F.regexp_replace(segment, r"(?is)^<a\b[^>]*>.*?</a>", "")
-    anchor, occurrence = F.col("_z._names"), F.col("_z._occurrences")
+    rows = numbered.select(*keep, F.posexplode(parts).alias("_i", "_p"))
+    anchor, occurrence = F.col("_p.name"), F.col("_p.nth")
     return rows.select(
         *keep,
         F.when(occurrence == 1, anchor).otherwise(F.concat_ws(":occurrence:", anchor, occurrence.cast("string"))).alias("provision_suffix"),
         F.lit("paragraph").alias("kind"),
         anchor.alias("source_anchor"),
         occurrence.alias("source_anchor_occurrence"),
-        _title(segment, "a").alias("label"),
-        _title(F.col("_z._found.chapter"), "h3").alias("chapter"),
-        _title(F.col("_z._found.heading"), "h4").alias("heading"),
+        joined_text(F.col("_p.label")).alias("label"),
+        joined_text(F.col("_p.chapter")).alias("chapter"),
+        joined_text(F.col("_p.heading")).alias("heading"),
         (F.col("_i") + 1).cast("int").alias("order"),
-        normalize_text(content).alias("text"),
-        subsection_anchors(content).alias("subsection_anchors"),
-        amendment_notes(content).alias("amendment_notes"),
+        siblings_text("_p.content", "_p.depth").alias("text"),
+        subsection_anchors(F.col("_p.content")).alias("subsection_anchors"),
+        amendment_notes("_p.content", "_p.content_ends").alias("amendment_notes"),
     )
 
 
-def paragraph_count(html: Column) -> Column:
-    return F.regexp_count(html, F.lit(ANCHOR))
-
-
 def segment_transitional(documents: DataFrame, keep: Sequence[str] = ("document_id",)) -> tuple[DataFrame, DataFrame]:
     """(provisions, rejects) of the transitional section, cut at lines that are only
     ``YYYY:N``. No section yields nothing; a section without markers is a reject."""
-    html = F.col("html")
-    after = F.when(html.rlike(TRANSITIONAL), F.get(F.split(html, TRANSITIONAL, 2), F.lit(1)))
-    sections = documents.select(
-        *keep, paragraph_count(html).alias("_first"), normalize_text(after).alias("_text")
-    ).where(F.col("_text").isNotNull())
+    # Exploding the headings, of which the first counts, keeps a filter from repeating the whole reading.
+    opening = with_events(documents, keep).select(
+        *keep, "_events", "_ends", F.size(F.filter("_events", lambda e: e["role"] == ANCHOR)).alias("_first"),
+        F.explode(F.expr(f"slice(filter(_events, e -> e.role = '{TRANSITIONAL}'), 1, 1)")).alias("_heading"),
+    )
+    after = opening.select(*keep, "_first", "_heading", F.expr("slice(_events, get(_ends, _heading.nth) + 2, size(_events))").alias("_after"))
+    outside = F.expr("cast(array_position(transform(_after, e -> e.depth < _heading.depth), true) AS int)")
+    siblings = after.select(
+        *keep, "_first", "_heading", F.when(outside > 0, F.slice("_after", 1, outside - 1)).otherwise(F.col("_after")).alias("_siblings")
+    )
+    sections = siblings.select(*keep, "_first", siblings_text("_siblings", "_heading.depth").alias("_text"))
     pieces = F.filter(F.split("_text", r"(?m)^(?=\d{4}:\d+$)", -1), lambda p: p.rlike(r"(?m)\A\d{4}:\d+$"))
     cut = sections.withColumn("_pieces", pieces)
     number = F.regexp_extract("_p", MARKER_LINE, 1)
