@@ -7,12 +7,14 @@ cut into pieces of a few megabytes; one document is never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 2 << 20
+PIECES_HELD = 64  # results between two returns of freed memory
 
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.isin(np.arange(256), _SPACES)
@@ -47,6 +49,29 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
         start = end
 
 
+def returned(results: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``results``, giving memory that is free again back to the system now and then and at the end.
+
+    A Python worker serves many tasks of all stages; what Arrow's pool and the allocator keep for
+    themselves after one of them would stay beside the next one's needs.
+    """
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    try:
+        for i, result in enumerate(results, 1):
+            yield result
+            if i % PIECES_HELD == 0:
+                del result
+                give_back()
+    finally:
+        give_back()
+
+
 def _filled(array: pa.Array) -> pa.Array:
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normtext.llm.buffers import pieces, text_bytes
+from normtext.llm.buffers import pieces, returned, text_bytes
 from normtext.llm.storage import written
 
 UNDETERMINED = "und"
@@ -40,6 +40,7 @@ FOREIGN = 50
 FIT_ROWS = 20_000
 LEAST_SCORE = 0.3  # a text of which less is known n-grams of its best language is rejected
 HASHES = 3
+PIECE = 256 << 10  # bytes of text looked up at a time: arrays of some 40 times as much stand beside them
 PLACE_BITS = 20  # rows of the table: 2**20, over 20 for each n-gram that a language can have
 
 _LETTERS = np.arange(256, dtype=np.uint8)
@@ -61,7 +62,7 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     grams = np.zeros(n, np.uint32)
     for k in range(GRAM):
         grams |= data[k : k + n].astype(np.uint32) << np.uint32(8 * k)
-    document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    document = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     inside = (document[:n] == document[GRAM - 1 :]) & (grams != np.uint32(0x20202020))
     return grams[inside], document[:n][inside]
 
@@ -71,7 +72,7 @@ def _places(grams: np.ndarray) -> list[np.ndarray]:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     low = np.uint64((1 << PLACE_BITS) - 1)
-    return [(h >> np.uint64(64 - PLACE_BITS * (k + 1))) & low for k in range(HASHES)]
+    return [((h >> np.uint64(64 - PLACE_BITS * (k + 1))) & low).astype(np.uint32) for k in range(HASHES)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = batch.column("lang").unique()
         for language in languages.to_pylist():
             rows = batch.filter(pc.equal(batch.column("lang"), language))
-            for piece in pieces(rows, "text"):
+            for piece in pieces(rows, "text", PIECE):
                 grams, times = np.unique(_grams(piece.column("text"))[0], return_counts=True)
                 yield pa.record_batch({
                     "lang": pa.array([language] * len(grams), pa.string()),
@@ -91,7 +92,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame) -> LanguageModel:
     """Learns from ``text, lang`` of all given rows."""
     counts = labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(
-        _counted, "lang string, gram long, times long"
+        lambda batches: returned(_counted(batches)), "lang string, gram long, times long"
     )
     counts = written(counts.groupBy("lang", "gram").agg(F.sum("times").alias("times")))
     totals = counts.groupBy("lang").agg(F.sum("times").alias("total"))
@@ -151,7 +152,7 @@ def classify(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarr
 
 def _predicted(model: LanguageModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in pieces(batch, "text"):
+        for piece in pieces(batch, "text", PIECE):
             languages, scores = classify(model, piece.column("text"))
             kept = [piece.column(i) for i, c in enumerate(piece.schema.names) if c != "text"]
             names = [c for c in piece.schema.names if c != "text"]
@@ -165,7 +166,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
     rows = docs.select("text", *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return rows.mapInArrow(
-        lambda batches: _predicted(model, batches), f"{fields + ', ' if fields else ''}lang_pred string, score double"
+        lambda batches: returned(_predicted(model, batches)), f"{fields + ', ' if fields else ''}lang_pred string, score double"
     )
 
 
@@ -190,15 +191,14 @@ def drop_undetermined(docs: DataFrame, least: float = LEAST_SCORE, fit_rows: int
     """``docs`` with all its columns, less the rows that are ``und`` or score under ``least``."""
     model = _learned(docs, fit_rows)
 
-    @F.arrow_udf("boolean")
-    def accepted(texts: pa.Array) -> pa.Array:
-        told = []
-        for piece in pieces(pa.record_batch({"text": texts}), "text"):
-            languages, scores = classify(model, piece.column("text"))
-            told.extend(language != UNDETERMINED and score >= least for language, score in zip(languages, scores.tolist()))
-        return pa.array(told, pa.bool_())
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text", PIECE):
+                languages, scores = classify(model, piece.column("text"))
+                told = [language != UNDETERMINED and score >= least for language, score in zip(languages, scores.tolist())]
+                yield piece.filter(pa.array(told, pa.bool_()))
 
-    return docs.where(accepted("text"))
+    return docs.mapInArrow(lambda batches: returned(accepted(batches)), docs.schema)
 
 
 def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

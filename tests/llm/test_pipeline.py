@@ -65,6 +65,6 @@ def test_stages_return_documents(spark, tmp_path):
 
 def test_all_operators_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert list(corpus_pipeline.queries()) == ["pipeline"]
