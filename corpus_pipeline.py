@@ -23,7 +23,7 @@ SHINGLE_WORDS = 5  # near duplicates here are documents with 0.8 of their five-w
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters or known n-grams go."""
+    """Documents whose language is told; those without letters, or of which too little is known n-grams of one language, go."""
     return drop_undetermined(docs)
 
 
