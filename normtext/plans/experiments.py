@@ -554,7 +554,7 @@ def exported_run(spark, sf_dir):
     names = ["texts", "source_slots", "readings", "slot_observations"]
     path = tables.export_run(dict(zip(names, run_tables(spark, sf_dir))), "run-1", shared_path(spark, "run"))
     counted = [
-        tables.read_table(spark, path, name).groupBy("run_id").agg(F.count("*").alias("rows"), F.min("text_id").alias("first_id"))
+        spark.read.parquet(f"{path}/{name}").groupBy("run_id").agg(F.count("*").alias("rows"), F.min("text_id").alias("first_id"))
         .withColumn("table_name", F.lit(name))
         for name in names
     ]

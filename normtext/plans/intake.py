@@ -343,7 +343,7 @@ _SAMPLE = ["provision_id", "document_id", "document_title", "char_count"]
     f"""WITH {sql.PROVISIONS} SELECT provision_id, document_id, document_title, char_count FROM provisions""",
 )
 def written_tables(spark, sf_dir):
-    """Tables written with a staged swap, registered as views and read back through SQL."""
+    """Tables committed as one set, registered as views and read back through SQL."""
     silver = provisions(spark, sf_dir)
     path = tables.write_tables({"provisions": silver.select(*_SAMPLE)}, shared_path(spark, "tables"))
     tables.open_tables(spark, path, ("provisions",))
@@ -356,8 +356,7 @@ def written_tables(spark, sf_dir):
 )
 def exported_csv(spark, sf_dir):
     counts = provisions(spark, sf_dir).groupBy("document_id", "document_title").agg(F.count("*").alias("provisions"))
-    path = shared_path(spark, "export")
-    tables.export_csv(counts, path)
+    path = tables.export_csv(counts, shared_path(spark, "export"))
     return spark.read.csv(path, header=True, sep=";", escape='"', schema=counts.schema)
 
 
