@@ -11,6 +11,7 @@ IGNORE_CASE = "(?iuU)"  # Unicode-aware case folding, \w and \b
 UNICODE = "(?uU)"
 MATCH_TYPE = "array<struct<span:string,start:int,end:int,ahead:string>>"
 BLOCK = 64
+MARKS, STAND_INS = "\ufdd0\ufdd1\ufdd2", "\ufdd3\ufdd4\ufdd5"  # no characters: texts may hold them, but hardly do
 
 
 def sql_literal(value: str) -> str:
@@ -18,43 +19,67 @@ def sql_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _marked(text: str) -> str:
+    """SQL for struct<text, clean>: the text without the three characters that mark matches, and whether it had none."""
+    clean = " AND ".join(f"NOT contains({text}, '{m}')" for m in MARKS)
+    return f"named_struct('clean', {clean}, 'text', if({clean}, {text}, translate({text}, '{''.join(MARKS)}', '{STAND_INS}')))"
+
+
 def matches_sql(text: str, pattern: str, ahead: str | None = None, computed: bool = False) -> str:
     """SQL for every match of ``pattern`` in the SQL expression ``text``.
 
-    array<struct<span, start, end, ahead>> in text order. The gaps between the
-    matches and the matches themselves tile the text, so a running sum of their
-    lengths gives the offsets. ``ahead`` is a pattern for text to read after each
-    match without consuming it. The pattern must not match the empty string. With
+    array<struct<span, start, end, ahead>> in text order. ``ahead`` is a pattern for text to
+    read after each match without consuming it. The pattern must not match the empty string. With
     ``computed`` the pattern is itself an SQL expression, one pattern per row.
-
-    The fold appends to a short block and the block to the result, because
-    appending to one array copies it and would make a text with many matches
-    quadratic. It is written as SQL text because the same expression built call
-    by call costs a thousand round trips to the JVM per pattern.
     """
+    if computed:
+        return marked_matches_sql(text, pattern, f"'{MARKS[0]}$0{MARKS[1]}{MARKS[2]}'")
+    return marked_matches_sql(text, *map(sql_literal, search(pattern, ahead)))
+
+
+def search(pattern: str, ahead: str | None = None) -> tuple[str, str]:
+    """The pattern to search for and what it is replaced by, so that matches stand between marks with the text ahead."""
+    if ahead is None:
+        return pattern, f"{MARKS[0]}$0{MARKS[1]}{MARKS[2]}"
     flags = next((f for f in (IGNORE_CASE, UNICODE) if pattern.startswith(f)), "")
     body = pattern[len(flags) :]
-    regex = pattern if computed else sql_literal(pattern)
-    spans = f"regexp_extract_all({text}, {regex}, 0)"
-    if ahead is None:
-        tails = f"transform({spans}, s -> '')"
-    else:
-        looking = sql_literal(f"{flags}(?:{body})(?=({ahead}))")
-        tails = f"regexp_extract_all({text}, {looking}, {re.compile(body).groups + 1})"
-    found = (
-        "named_struct('span', p.`1`, 'start', s.at + length(p.`0`),"
-        " 'end', s.at + length(p.`0`) + length(p.`1`), 'ahead', p.`2`)"
+    return f"{flags}(?:{body})(?=({ahead}))", f"{MARKS[0]}$0{MARKS[1]}${re.compile(body).groups + 1}{MARKS[2]}"
+
+
+def marked_matches_sql(text: str, regex: str, replacement: str) -> str:
+    """``matches_sql`` from SQL expressions for the text, the pattern and the replacement of ``search``.
+
+    One pass of the pattern puts marks around every match; the rest is cutting at the marks and adding up
+    lengths. A fold copies its whole state for each item, so matches are folded in short chunks and
+    moved to the result chunk by chunk: a text with many matches stays far from quadratic. It is
+    written as SQL text because the same expression built call by call costs a thousand round trips to the JVM.
+
+    A text that holds a mark itself is searched with stand-ins of the same length, and its spans are cut from the original.
+    """
+    begin, middle, end = MARKS
+    span, rest = f"substring_index(p, '{middle}', 1)", f"substring_index(p, '{middle}', -1)"
+    stop = f"s.at + length({span})"
+
+    def cut(value: str, start: str) -> str:
+        return f"if(v.clean, {value}, substring({text}, {start} + 1, length({value})))"
+
+    ahead = f"substring_index({rest}, '{end}', 1)"
+    item = (
+        f"named_struct('span', {cut(span, 's.at')}, 'start', s.at, 'end', {stop}, 'ahead', {cut(ahead, stop)})"
     )
-    full = f"size(s.block) >= {BLOCK}"
+    inner = (
+        f"aggregate(c, named_struct('at', w.at, 'block', cast(array() AS {MATCH_TYPE})),"
+        f" (s, p) -> named_struct('at', {stop} + length(substring_index({rest}, '{end}', -1)), 'block', concat(s.block, array({item}))))"
+    )
+    outer = f"aggregate(array({inner}), w, (w, r) -> named_struct('at', r.at, 'done', concat(w.done, array(r.block))))"
+    folded = (
+        f"aggregate(transform(sequence(0, greatest(size(q) - 2, 0) DIV {BLOCK}), b -> slice(q, cast(b * {BLOCK} + 2 AS int), {BLOCK})),"
+        f" named_struct('at', length(q[0]), 'done', cast(array() AS array<{MATCH_TYPE}>)), (w, c) -> {outer}, w -> flatten(w.done))"
+    )
+    parts = f"split(regexp_replace(v.text, {regex}, {replacement}), '{begin}', -1)"
     return (
-        f"CASE WHEN rlike({text}, {regex}) THEN aggregate("
-        f"filter(arrays_zip(split({text}, {regex}, -1), {spans}, {tails}), p -> p.`1` IS NOT NULL),"
-        f" named_struct('at', 0, 'block', cast(array() AS {MATCH_TYPE}),"
-        f" 'done', cast(array() AS array<{MATCH_TYPE}>)),"
-        f" (s, p) -> named_struct('at', s.at + length(p.`0`) + length(p.`1`),"
-        f" 'block', if({full}, array({found}), concat(s.block, array({found}))),"
-        f" 'done', if({full}, concat(s.done, array(s.block)), s.done)),"
-        f" s -> flatten(concat(s.done, array(s.block)))) ELSE cast(array() AS {MATCH_TYPE}) END"
+        f"flatten(transform(array({_marked(text)}), v -> flatten(transform(array({parts}),"
+        f" q -> if(size(q) = 1, cast(array() AS {MATCH_TYPE}), {folded})))))"
     )
 
 
@@ -63,6 +88,22 @@ def matches(text: str, pattern: str, ahead: str | None = None) -> Column:
     return F.expr(matches_sql(text, pattern, ahead))
 
 
+# Letters that match another letter without regard to case, though their lower case differs from its (the long s, the dotted I).
+_VARIANTS = {
+    c: c.upper().lower()
+    for c in map(chr, range(0x80, 0x10000))
+    if len(c.upper()) == len(c.upper().lower()) == 1 and c.lower() != c.upper().lower()
+} | {"İ": "i"}
+
+
+def folded(text: str) -> str:
+    """SQL for the text with every letter as its case-insensitive matches have it, for ``contains``."""
+    return (
+        f"if(octet_length({text}) = length({text}), lower({text}),"
+        f" lower(translate({text}, {sql_literal(''.join(_VARIANTS))}, {sql_literal(''.join(_VARIANTS.values()))})))"
+    )
+
+
 def distinct_lower(text: Column, pattern: str) -> Column:
     """The distinct lower-cased matches, sorted."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

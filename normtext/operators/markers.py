@@ -17,12 +17,14 @@ from normtext.functions.text import (
     IGNORE_CASE,
     around,
     distinct_lower,
+    folded,
+    marked_matches_sql,
     matches,
-    matches_sql,
     one_line,
+    search,
     sql_literal,
 )
-from normtext.lexicon import SWEDISH, Lexicon, Marker
+from normtext.lexicon import SWEDISH, Lexicon, Marker, required_literals
 
 HIT_TYPE = (
     "array<struct<category:string,marker:string,position:int,"
@@ -41,16 +43,33 @@ def hits(
     Overlaps between different markers are kept: each marker is scanned alone.
     """
     chosen = lexicon.markers if markers is None else markers
-    extra = ", 'ahead', m.ahead" if ahead else ""
-    hit_type = HIT_TYPE.replace(">>", ",ahead:string>>") if ahead else HIT_TYPE
-    per_marker = ", ".join(
-        f"transform({matches_sql(text, IGNORE_CASE + m.pattern, ahead)}, m -> named_struct("
-        f"'category', {sql_literal(m.category)}, 'marker', {sql_literal(m.marker)},"
-        f" 'position', {lexicon.markers.index(m)}, 'matched_span', m.span,"
-        f" 'char_offset', m.start, 'char_end', m.end{extra}))"
-        for m in chosen
+    if not chosen:
+        return F.expr(f"cast(array() AS {HIT_TYPE.replace('>>', ',ahead:string>>') if ahead else HIT_TYPE})")
+    extra = ", 'ahead', x.ahead" if ahead else ""
+    return F.expr(
+        f"flatten(transform({able_sql(text, lexicon, chosen, ahead)}, m -> transform({marked_matches_sql(text, 'm.pattern', 'm.replacement')},"
+        " x -> named_struct('category', m.category, 'marker', m.marker, 'position', m.position, 'matched_span', x.span,"
+        f" 'char_offset', x.start, 'char_end', x.end{extra}))))"
     )
-    return F.expr(f"cast(concat({per_marker}) AS {hit_type})" if chosen else f"cast(array() AS {hit_type})")
+
+
+def able_sql(text: str, lexicon: Lexicon, chosen: Sequence[Marker], ahead: str | None = None) -> str:
+    """SQL for the markers that can fire on ``text``, as structs with their pattern: those of which a required literal occurs.
+
+    The lexicon is data in the plan, not a branch of it, so the plan is as small for eighty markers as for one.
+    """
+
+    def row(m: Marker) -> str:
+        pattern, replacement = search(IGNORE_CASE + m.pattern, ahead)
+        literals = required_literals(m.pattern)
+        needed = f"array({', '.join(map(sql_literal, literals))})" if literals else "cast(array() AS array<string>)"
+        return (
+            f"named_struct('category', {sql_literal(m.category)}, 'marker', {sql_literal(m.marker)}, 'weight', {m.weight},"
+            f" 'position', {lexicon.markers.index(m)}, 'pattern', {sql_literal(pattern)}, 'replacement', {sql_literal(replacement)}, 'literals', {needed})"
+        )
+
+    rows = f"array({', '.join(map(row, chosen))})"
+    return f"flatten(transform(array({folded(text)}), f -> filter({rows}, m -> size(m.literals) = 0 OR exists(m.literals, l -> contains(f, l)))))"
 
 
 def ordered_hits(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
@@ -71,29 +90,22 @@ def fires(text: Column, marker: Marker) -> Column:
     return text.rlike(IGNORE_CASE + marker.pattern)
 
 
-def fired(text: Column, lexicon: Lexicon = SWEDISH, category: str | None = None) -> Column:
+def _fired_sql(text: str, lexicon: Lexicon, chosen: Sequence[Marker]) -> str:
+    return f"filter({able_sql(text, lexicon, chosen)}, m -> rlike({text}, m.pattern))"
+
+
+def fired(text: str = "text", lexicon: Lexicon = SWEDISH, category: str | None = None) -> Column:
     """The labels that fire, once each, in lexicon order."""
     chosen = lexicon.markers if category is None else lexicon.of(category)
-    return F.array_compact(F.array(*[F.when(fires(text, m), F.lit(m.marker)) for m in chosen]))
+    if not chosen:
+        return F.expr("cast(array() AS array<string>)")
+    return F.expr(f"transform({_fired_sql(text, lexicon, chosen)}, m -> m.marker)")
 
 
 def fired_markers(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] = ("provision_id",)) -> DataFrame:
     """One row per (provision, marker) that fires at least once."""
-    text = F.col("text")
-    entries = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    fires(text, m),
-                    F.struct(
-                        F.lit(m.category).alias("category"),
-                        F.lit(m.marker).alias("marker"),
-                        F.lit(m.weight).alias("weight"),
-                    ),
-                )
-                for m in lexicon.markers
-            ]
-        )
+    entries = F.expr(
+        f"transform({_fired_sql('text', lexicon, lexicon.markers)}, m -> named_struct('category', m.category, 'marker', m.marker, 'weight', m.weight))"
     )
     return df.select(*keep, F.explode(entries).alias("_m")).select(*keep, "_m.*")
 
