@@ -9,6 +9,9 @@ from normtext.operators import gold, markers, profile, shortlist
 from normtext.plans import sql_parts as sql
 from normtext.plans.bindings import STAND_IN, documents, provisions
 from normtext.plans.registry import Registry
+from normtext.session import shared_path
+from normtext.sources.text_index import build_text_index
+from normtext.sources.text_index import text_search as find_phrase
 
 registry = Registry()
 CANDIDATES = f"WITH {sql.candidates()}"
@@ -202,7 +205,10 @@ def top_candidates(spark, sf_dir):
     FROM provisions WHERE text ILIKE '%of the%'""",
 )
 def text_search(spark, sf_dir):
-    return gold.text_search(provisions(spark, sf_dir), "of the")
+    """All provisions indexed by trigrams, then one phrase looked up in the postings."""
+    path = shared_path(spark, "text-index")
+    build_text_index(provisions(spark, sf_dir), path)
+    return find_phrase(spark, path, "of the")
 
 
 @registry.add(
