@@ -61,11 +61,14 @@ UNITS = (
 NUMBER_MARK, UNIT_MARK, NAME_MARK, CAPITAL_MARK, AFTER_MARKS = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _UNIT = r"(?i)(?<=\d)\s?(" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r"|[%€$£°])(?![\p{L}\p{N}])"
 # Scripts without spaces between words: each letter is a token.
-_UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + r"]\p{M}*"
+# All of them lie above U+0E00, which is asked first: telling a script is slow.
+_UNSPACED = (
+    r"[\x{E00}-\x{10FFFF}&&[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + r"]]\p{M}*"
+)
 _NUMBER = r"\d+(?:[.,:/]\d+)*"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},;)] \p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 _EXACT = rf"{_NUMBER}|{_UNSPACED}|(?:(?!{_UNSPACED})[\p{{L}}\p{{M}}])+|[\p{{N}}\p{{Sm}}]|[*/^-](?=\s?[\d(])"
-_CAPITAL = "(?<![\\p{L}\\p{M}\\p{N}\ue001\ue002])\\p{Lu}[\\p{L}\\p{M}]*"
+_CAPITAL = "(?=\\p{Lu})(?<![\\p{L}\\p{M}\\p{N}\ue001\ue002])\\p{Lu}[\\p{L}\\p{M}]*"
 _SEPARATOR = "(?:[^\\p{L}\\p{M}\\p{N}\ue000-\ue003%€$£°/.,:-]|[/.,:-](?!\\d)|(?<!\ue001)[%€$£°])+"
 
 
@@ -138,27 +141,31 @@ def _windows(hashes: Column) -> Column:
     return F.when(F.size(hashes) >= WIDTH, found).otherwise(F.array().cast("array<bigint>"))
 
 
+def _windows_at(hashes: Column, tokens: Column, mark: str) -> Column:
+    """``place, hash`` of the windows that hold a token with ``mark``: in all others the variant is the template."""
+    marked = F.filter(F.transform(tokens, lambda x, i: F.when(F.startswith(x, F.lit(mark)), i)), lambda i: i.isNotNull())
+    last = F.size(tokens) - WIDTH
+    places = F.array_distinct(F.flatten(F.transform(marked, lambda i: F.sequence(F.greatest(i - (WIDTH - 1), F.lit(0)), F.least(i, last)))))
+    found = F.transform(
+        places, lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(hashes, i + k) for k in range(WIDTH)]).alias("hash"))
+    )
+    return F.when((last >= 0) & hashes.isNotNull(), found).otherwise(F.array().cast("array<struct<place:int,hash:bigint>>"))
+
+
 def window_rows(texts: DataFrame, key: str) -> DataFrame:
-    """``key, place, hash`` of all template windows, and of those with plain names and with all capitalised words as names."""
+    """``key, place, hash`` of all template windows, and where they differ of those with plain names and with all capitalised words as names."""
     tokens = texts.select(key, cased_tokens(F.col("text")).alias("tokens"))
     hashes = tokens.select(
-        key,
+        key, "tokens",
         _template_hashes(F.col("tokens")).alias("template"),
         F.when(F.exists("tokens", lambda x: F.startswith(x, F.lit(NAME_MARK))), _plain_name_hashes(F.col("tokens"))).alias("plain"),
         F.when(F.exists("tokens", lambda x: F.startswith(x, F.lit(CAPITAL_MARK))), _capital_hashes(F.col("tokens"))).alias("capital"),
     )
-    none = F.array().cast("array<bigint>")
-    windows = hashes.select(
-        key,
-        F.explode(
-            F.array(
-                _windows(F.col("template")),
-                F.when(F.col("plain").isNotNull(), _windows(F.col("plain"))).otherwise(none),
-                F.when(F.col("capital").isNotNull(), _windows(F.col("capital"))).otherwise(none),
-            )
-        ).alias("windows"),
+    template = F.transform(_windows(F.col("template")), lambda h, i: F.struct(i.alias("place"), h.alias("hash")))
+    windows = F.concat(
+        template, _windows_at(F.col("plain"), F.col("tokens"), NAME_MARK), _windows_at(F.col("capital"), F.col("tokens"), CAPITAL_MARK)
     )
-    return windows.select(key, F.posexplode("windows").alias("place", "hash"))
+    return hashes.select(key, F.explode(windows).alias("w")).select(key, "w.place", "w.hash")
 
 
 def _literals(tokens: Column, is_slot) -> Column:
