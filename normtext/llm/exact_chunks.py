@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from normtext.llm.buffers import BYTE_VALUE, IS_SPACE, binary_array, pieces, returned, text_bytes
-from normtext.llm.storage import UID, with_uid, without, written
+from normtext.llm.buffers import BYTE_VALUE, IS_SPACE, binary_array, pieces, text_bytes
+from normtext.llm.storage import UID, mapped, with_uid, without, written
 
 CUT_BITS = 10  # a chunk has about 2**CUT_BITS bytes
 WINDOW = 32  # bytes that decide about a cut
@@ -132,8 +132,7 @@ def shared_fingerprints(docs: DataFrame, hash_of: Callable = fingerprint) -> Dat
     Each distinct chunk moves once, and none of its copies inside a task moves at all.
     """
     contents = (
-        docs.select("text")
-        .mapInArrow(lambda batches: returned(_chunks(hash_of, batches)), "key binary, content binary")
+        mapped(docs.select("text"), lambda batches: _chunks(hash_of, batches), "key binary, content binary")
         .groupBy("key", "content")
         .agg(F.count("*").alias("copies"))
     )
@@ -152,8 +151,8 @@ def chunk_recipes(docs: DataFrame, hash_of: Callable = fingerprint) -> DataFrame
     """
     rows = with_uid(docs.select("doc_id", "text"))
     recipes = written(
-        rows.mapInArrow(
-            lambda batches: returned(_recipes(hash_of, batches)),
+        mapped(
+            rows, lambda batches: _recipes(hash_of, batches),
             f"{UID} long, doc_id long, n_points long, text_sha256 string, recipe binary",
         )
     )
@@ -162,8 +161,8 @@ def chunk_recipes(docs: DataFrame, hash_of: Callable = fingerprint) -> DataFrame
         return recipes.withColumn("ordinals", F.lit(""))
     # Some fingerprint stands for several contents: add the ordinal of the content to each chunk that has it.
     numbered = written(
-        rows.mapInArrow(
-            lambda batches: returned(_occurrences(hash_of, batches)), f"{UID} long, place long, key binary, content binary"
+        mapped(
+            rows, lambda batches: _occurrences(hash_of, batches), f"{UID} long, place long, key binary, content binary"
         )
         .join(clashes, ["key", "content"], "left")
         .select(UID, "place", F.coalesce("ordinal", F.lit(0)).alias("ordinal"))

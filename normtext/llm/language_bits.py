@@ -30,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normtext.llm.buffers import pieces, returned, text_bytes
-from normtext.llm.storage import written
+from normtext.llm.buffers import pieces, text_bytes
+from normtext.llm.storage import mapped, written
 
 UNDETERMINED = "und"
 GRAM = 4  # bytes
@@ -91,8 +91,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame) -> LanguageModel:
     """Learns from ``text, lang`` of all given rows."""
-    counts = labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(
-        lambda batches: returned(_counted(batches)), "lang string, gram long, times long"
+    counts = mapped(
+        labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL"), _counted, "lang string, gram long, times long"
     )
     counts = written(counts.groupBy("lang", "gram").agg(F.sum("times").alias("times")))
     totals = counts.groupBy("lang").agg(F.sum("times").alias("total"))
@@ -165,8 +165,8 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
     """``keep`` columns with ``lang_pred`` and ``score``; only ``text`` decides."""
     rows = docs.select("text", *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return rows.mapInArrow(
-        lambda batches: returned(_predicted(model, batches)), f"{fields + ', ' if fields else ''}lang_pred string, score double"
+    return mapped(
+        rows, lambda batches: _predicted(model, batches), f"{fields + ', ' if fields else ''}lang_pred string, score double"
     )
 
 
@@ -198,7 +198,7 @@ def drop_undetermined(docs: DataFrame, least: float = LEAST_SCORE, fit_rows: int
                 told = [language != UNDETERMINED and score >= least for language, score in zip(languages, scores.tolist())]
                 yield piece.filter(pa.array(told, pa.bool_()))
 
-    return docs.mapInArrow(lambda batches: returned(accepted(batches)), docs.schema)
+    return mapped(docs, accepted, docs.schema)
 
 
 def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

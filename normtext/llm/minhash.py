@@ -35,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normtext.llm.buffers import IS_SPACE, LOWER, mix, pieces, returned, span_hashes, text_bytes, window_hashes, words_of
+from normtext.llm.buffers import IS_SPACE, LOWER, mix, pieces, span_hashes, text_bytes, window_hashes, words_of
 from normtext.llm.components import components
-from normtext.llm.storage import UID, small, with_uid, without, written
+from normtext.llm.storage import UID, mapped, small, with_uid, without, written
 
 SHINGLE = 4
 PERCENT = 80
@@ -128,8 +128,8 @@ def _signed(width: int, bands: int, rows: int, batches: Iterator[pa.RecordBatch]
 
 def signed(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Set size, digest of the set and band keys per row."""
-    return with_uid(docs.select("doc_id", "text")).mapInArrow(
-        lambda batches: returned(_signed(width, bands, rows, batches)),
+    return mapped(
+        with_uid(docs.select("doc_id", "text")), lambda batches: _signed(width, bands, rows, batches),
         f"{UID} long, doc_id long, n_shingles long, digest binary, bands array<long>",
     )
 
@@ -163,9 +163,8 @@ def confirmed_links(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE, pe
     """The pairs ``a, b`` whose full shingle sets are similar enough. ``texts`` has ``node, text``."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        lambda batches: returned(_confirmed(width, percent, batches)), "a long, b long"
-    )
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    return mapped(both, lambda batches: _confirmed(width, percent, batches), "a long, b long")
 
 
 def _similar_size(x: str, y: str, percent: int):
@@ -209,12 +208,12 @@ def _sketches(texts: DataFrame, width: int) -> DataFrame:
     Two sketches differ in at most as many bits as the sets differ in shingles, so too
     many bits prove that a pair is no link, without its texts.
     """
-    return texts.select("node", "text").mapInArrow(lambda batches: returned(_sketched(width, batches)), "node long, sketch array<long>")
+    return mapped(texts.select("node", "text"), lambda batches: _sketched(width, batches), "node long, sketch array<long>")
 
 
 def _unshared(texts: DataFrame, width: int) -> DataFrame:
     """``node, u``: how many shingles of a text no other of the given texts has."""
-    shingles = texts.select("node", "text").mapInArrow(lambda batches: returned(_sets(width, batches)), "node long, shingle long")
+    shingles = mapped(texts.select("node", "text"), lambda batches: _sets(width, batches), "node long, shingle long")
     once = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("node").alias("node")).where("texts = 1")
     return once.groupBy("node").agg(F.count("*").alias("u"))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from normtext.llm.buffers import returned
+
 from normtext.session import stable
 
 UID = "_uid"
@@ -35,3 +39,19 @@ BROADCAST_ROWS = 200_000
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, with a hint to broadcast if its counted ``rows`` of a few numbers each are at most ``most``."""
     return F.broadcast(df) if rows <= most else df
+
+
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES = "8m"
+
+
+def mapped(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of a few megabytes, whose workers give freed memory back.
+
+    Spark's own bound of 64 MB stands several times beside each core, in the JVM's buffers and in the
+    worker. The session's setting is lowered only where nobody has set it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES) == ARROW_DEFAULT:
+        conf.set(ARROW_BYTES, BATCH_BYTES)
+    return df.mapInArrow(lambda batches: returned(function(batches)), schema)
