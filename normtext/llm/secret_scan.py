@@ -4,8 +4,9 @@ Base spans come from three patterns over the whole text. The method adds spans o
 ``random`` inside runs of key characters (at least ``LEAST_RUN``): transitions likelier under
 a model of random strings than under one of ordinary identifiers, by more than the prior
 odds against a secret. A run that mixes letters with digits or changes from lower to upper
-case, and scores so as a whole, is one span; of any other the best-scoring stretch is
-taken, so a path or name before a secret doesn't outvote it. Both models are counts of character pairs backed by their single characters, learned from
+case, and scores so as a whole, is one span; of any other every stretch is taken that scores so,
+up to where the sum has fallen by as much again, so a path or name before a secret doesn't outvote it
+and none hides the next one. Both models are counts of character pairs backed by their single characters, learned from
 samples: the values that the base patterns label as secrets, and the letter runs of the
 same documents outside them. About ``FIT_ROWS`` rows are read for that. Added spans that touch a
 base span are dropped. DataFrame functions only.
@@ -99,34 +100,44 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> list[float]:
     return [log_share("random", a, b) - log_share("ordinary", a, b) for a in ALPHABET for b in ALPHABET]
 
 
-def _stretch_sql(span: str, ratios: list[float]) -> str:
-    """``sum`` of a run's log-likelihood ratios, and its best-scoring stretch: ``best``, first and last character."""
+def _stretches_sql(span: str, ratios: list[float], least: str) -> str:
+    """``sum`` of a run's log-likelihood ratios, and its scoring stretches: ``found``, their first and last characters.
+
+    A stretch ends at its best sum once the sum has fallen below it by ``least``, or to nothing; what follows is
+    judged by itself. So stretches are parted only by transitions that speak against a secret as strongly as a secret
+    must speak for itself.
+    """
     table = "array(" + ", ".join(f"{r:.6f}D" for r in ratios) + ")"
     letters = sql_literal(ALPHABET)
     place = "(instr({a}, substr({s}, i, 1)) - 1) * {n} + instr({a}, substr({s}, i + 1, 1)) - 1".format(a=letters, s=span, n=len(ALPHABET))
     each = f"transform(sequence(1, length({span}) - 1), i -> coalesce(get({table}, {place}), 0D))"
-    start = "named_struct('i', 1, 'sum', 0D, 'run', 0D, 'from', 1, 'best', 0D, 'first', 1, 'last', 1)"
+    nothing = "cast(array() AS array<struct<first:int,last:int>>)"
+    start = f"named_struct('i', 1, 'sum', 0D, 'run', 0D, 'from', 1, 'best', 0D, 'first', 1, 'last', 1, 'found', {nothing})"
+    run, stretch = "v + greatest(s.run, 0D)", "array(named_struct('first', s.first, 'last', s.last))"
     begun = "if(s.run > 0D, s.from, s.i)"
-    run = "v + greatest(s.run, 0D)"
+    over = f"({run} <= 0D OR s.best - ({run}) > {least})"  # the stretch at hand ends here
     better = f"{run} > s.best"
     step = (
-        f"named_struct('i', s.i + 1, 'sum', s.sum + v, 'run', {run}, 'from', {begun}, 'best', greatest({run}, s.best),"
-        f" 'first', if({better}, {begun}, s.first), 'last', if({better}, s.i + 1, s.last))"
+        f"if({over}, named_struct('i', s.i + 1, 'sum', s.sum + v, 'run', 0D, 'from', s.i + 1, 'best', 0D, 'first', s.i + 1, 'last', s.i + 1,"
+        f" 'found', if(s.best > {least}, concat(s.found, {stretch}), s.found)),"
+        f" named_struct('i', s.i + 1, 'sum', s.sum + v, 'run', {run}, 'from', {begun}, 'best', greatest({run}, s.best),"
+        f" 'first', if({better}, {begun}, s.first), 'last', if({better}, s.i + 1, s.last), 'found', s.found))"
     )
-    return f"aggregate({each}, {start}, (s, v) -> {step})"
+    end = f"named_struct('sum', s.sum, 'found', if(s.best > {least}, concat(s.found, {stretch}), s.found))"
+    return f"aggregate({each}, {start}, (s, v) -> {step}, s -> {end})"
 
 
 def _candidates_sql(ratios: list[float], prior_odds: float) -> str:
-    """Runs that score as a whole, and the best-scoring stretch of the others."""
+    """Runs that score as a whole, and the scoring stretches of the others."""
     least = f"{-math.log(prior_odds)}D"
-    scored = f"transform({matches_sql('text', RUN)}, x -> named_struct('x', x, 'w', {_stretch_sql('x.span', ratios)}))"
+    scored = f"transform({matches_sql('text', RUN)}, x -> named_struct('x', x, 'w', {_stretches_sql('x.span', ratios, least)}))"
     whole = f"rlike(c.x.span, {sql_literal(MIXED)}) AND c.w.sum > {least}"
-    at, till = f"if({whole}, c.x.start, c.x.start + c.w.first - 1)", f"if({whole}, c.x.end, c.x.start + c.w.last)"
-    span = f"if({whole}, c.x.span, substr(c.x.span, c.w.first, c.w.last - c.w.first + 1))"
-    return (
-        f"transform(filter({scored}, c -> ({whole}) OR c.w.best > {least}),"
-        f" c -> named_struct('at', {at}, 'kind', 3, 'till', {till}, 'span', {span}))"
+    stretches = (
+        "transform(c.w.found, f -> named_struct('at', c.x.start + f.first - 1, 'kind', 3, 'till', c.x.start + f.last,"
+        " 'span', substr(c.x.span, f.first, f.last - f.first + 1)))"
     )
+    run = "array(named_struct('at', c.x.start, 'kind', 3, 'till', c.x.end, 'span', c.x.span))"
+    return f"flatten(transform({scored}, c -> if({whole}, {run}, {stretches})))"
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], prior_odds: float = PRIOR_ODDS) -> DataFrame:

@@ -25,7 +25,7 @@ from normtext.llm.storage import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|sessionid|sid)(=|$)"
 KEYS_PER_BLOCK = 16  # bits of a block over keys in it: 16 bits a key
-MOST_BLOCKS = 1 << 18
+BROADCAST_BLOCKS = 1 << 18  # blocks of five numbers that may be broadcast
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
@@ -80,14 +80,21 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
 
 def block_count(keys: int) -> int:
     wanted = max(1, -(-keys // KEYS_PER_BLOCK))
-    return min(MOST_BLOCKS, 1 << (wanted - 1).bit_length())
+    return 1 << (wanted - 1).bit_length()
 
 
-def possible_hits(rows: DataFrame, listed: DataFrame, keys: int) -> DataFrame:
-    """``rows`` with ``possible``: whether the filter of ``listed`` lets their ``canonical`` pass."""
+def possible_hits(rows: DataFrame, listed: DataFrame, keys: int, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """``rows`` with ``possible``: whether the filter of ``listed`` lets their ``canonical`` pass.
+
+    The filter grows with the list. Up to ``broadcast_blocks`` blocks it is broadcast; a larger one meets the rows in a
+    hash join by block number, so no task holds more than its share of it.
+    """
     blocks = block_count(keys)
-    probe = rows.withColumn("block", _block(F.col("canonical"), blocks))
-    joined = probe.join(F.broadcast(bloom_blocks(listed, blocks)), "block", "left")
+    # Rows without a canonical form meet no block, each under a number of its own.
+    nowhere = -1 - F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
+    probe = rows.withColumn("block", F.when(F.col("canonical").isNull(), nowhere).otherwise(_block(F.col("canonical"), blocks)))
+    table = bloom_blocks(listed, blocks)
+    joined = probe.join(F.broadcast(table) if blocks <= broadcast_blocks else table, "block", "left")
     passes = F.lit(True)
     for k, bits in enumerate(_bits(F.col("canonical"))):
         passes = passes & (F.col(f"w{k}").bitwiseAND(bits) == bits)

@@ -37,7 +37,8 @@ from normtext.session import shared_path
 ARCHIVE_BYTES = 64 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 1_000  # about so many records train the dictionary,
-SAMPLE_LONGEST = 32 << 10  # none longer than this
+SAMPLE_LONGEST = 32 << 10  # with so many characters of each at most,
+SAMPLE_PARTS = 4  # which come from so many places of a longer one
 LEVEL = 3
 
 # Fixed values of the formats.
@@ -89,8 +90,9 @@ def _file_system(folder: str):
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     samples = []
     for batch in batches:
-        for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-            samples.append(record(page_id, url, (html or "").encode(), False, None))
+        for page_id, url, parts in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "parts"))):
+            samples.append(record(page_id, url, parts[0].encode(), False, None))
+            samples += [part.encode() for part in parts[1:]]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 20)
     try:
         found = zstandard.train_dictionary(size, samples).as_bytes() if size >= 256 else b""
@@ -100,12 +102,21 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS) -> bytes:
-    """A dictionary from about ``rows`` records of at most ``SAMPLE_LONGEST`` characters, chosen by a hash; empty if they are too few."""
+    """A dictionary from about ``rows`` records, chosen by a hash; empty if they are too few.
+
+    Of a record of more than ``SAMPLE_LONGEST`` characters ``SAMPLE_PARTS`` parts, spread over the whole of it,
+    train the dictionary, together as long as that.
+    """
     share = min(1.0, rows / max(1, pages.count()))
-    short = pages.where(F.coalesce(F.length("html"), F.lit(0)) <= SAMPLE_LONGEST)
-    sample = short.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # The sample is bounded by its two parameters, so one task holds it.
-    return sample.select("page_id", "url", "html").repartition(1).mapInArrow(_trained, "dictionary binary").first()["dictionary"]
+    sample = pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(share * 1_000_000))
+    part = SAMPLE_LONGEST // SAMPLE_PARTS
+    parts = F.expr(
+        f"if(length(html) <= {SAMPLE_LONGEST}, array(html), transform(sequence(0, {SAMPLE_PARTS - 1}),"
+        f" i -> substring(html, cast(i * (length(html) - {part}) DIV {SAMPLE_PARTS - 1} AS int) + 1, {part})))"
+    )
+    cut = sample.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).select("page_id", "url", parts.alias("parts"))
+    # The sample is bounded by its parameters, so one task holds it.
+    return cut.repartition(1).mapInArrow(_trained, "dictionary binary").first()["dictionary"]
 
 
 def _written(folder: str, dictionary: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,12 @@
 import hashlib
+import math
 import random
 import re
 import string
 
 from helpers import ODD_TEXTS, clashing, documents, stored, words
 
-from normtext.llm.secret_scan import fit, scan
+from normtext.llm.secret_scan import ALPHABET, BACK_OFF, PRIOR_ODDS, find_secrets, fit, scan
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 KINDS = ("assign", "access", "hex")
@@ -88,3 +89,73 @@ def test_secrets_behind_paths(spark, tmp_path):
         at = texts[i].index(s)
         assert any(min(int(b), at + 32) - max(int(a), at) >= 24 for _, a, b in spans), i
     assert all(found[i].n_random == 0 for i in range(20, 40))
+
+
+def plain_stretches(ratios, span):
+    """First and last characters of the scoring stretches of a run, in plain Python."""
+    least, run, best, found = -math.log(PRIOR_ODDS), 0.0, 0.0, []
+    begun = first = last = 0
+    for i in range(len(span) - 1):
+        a, b = ALPHABET.find(span[i]), ALPHABET.find(span[i + 1])
+        value = ratios[a * len(ALPHABET) + b]
+        begun = begun if run > 0 else i
+        run = value + max(run, 0.0)
+        if run <= 0 or best - run > least:
+            if best > least:
+                found.append((first, last))
+            run = best = 0.0
+            first = last = begun = i + 1
+        elif run > best:
+            best, first, last = run, begun, i + 1
+    return found + [(first, last)] if best > least else found
+
+
+def test_every_secret_of_a_run(spark, tmp_path):
+    """Several secrets behind paths in one run: each is a span, and all are those of the plain fold over both models."""
+    rng = random.Random(9)
+    path = "com/internal/services/payments/config/identifier/processing/readable/ordinary/sentences/session_identifier="
+    runs, texts = [], []
+    for n in (1, 2, 3, 4) * 8:
+        secrets = [key(rng, 32) for _ in range(n)]
+        runs.append(secrets)
+        texts.append("see " + "/".join(path + s for s in secrets) + "/" + path + " there")
+    docs = stored(documents(spark, [*texts, *[t for _, t in cases()]]), tmp_path)
+    ratios = fit(docs)
+    found = {r.doc_id: r for r in find_secrets(docs, ratios).collect()}
+    for i, (secrets, text) in enumerate(zip(runs, texts)):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in found[i].spans.split(",") if x.startswith("random")]
+        whole = max(text.split(), key=len)
+        assert spans == [(4 + a, 4 + b + 1) for a, b in plain_stretches(ratios, whole)], i
+        for s in secrets:
+            at = text.index(s)
+            assert any(min(b, at + 32) - max(a, at) >= 24 for a, b in spans), (i, s)
+
+
+def test_ratios_match_plain_counts(spark, tmp_path):
+    """Both models from plain counts of the distinct pairs of each sample."""
+    import collections
+
+    texts = [t for _, t in cases() if t]
+    docs = stored(documents(spark, texts), tmp_path)
+    counts = {"random": collections.Counter(), "ordinary": collections.Counter()}
+    for text in texts:
+        found = [(m.start(), m.group(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
+        base = [v for _, _, v in found] + [m[0] for m in re.finditer("AKIA[A-Z0-9]{16,}", text)] + [m[0] for m in re.finditer("[0-9a-f]{24,}", text)]
+        spans = [g for _, g, _ in found] + base[len(found):]
+        words = [w for w in re.findall("[A-Za-z][A-Za-z_]{3,}", text) if not any(w in s for s in spans)]
+        for kind, samples in (("random", base), ("ordinary", words)):
+            for s in samples:
+                counts[kind].update({s[i : i + 2] for i in range(len(s) - 1) if s[i] in ALPHABET and s[i + 1] in ALPHABET})
+    singles = {k: collections.Counter() for k in counts}
+    rows = {k: collections.Counter() for k in counts}
+    for k, c in counts.items():
+        for pair, n in c.items():
+            rows[k][pair[0]] += n
+            singles[k][pair[1]] += n
+
+    def log_share(k, a, b):
+        everywhere = (singles[k][b] + 0.5) / (sum(singles[k].values()) + 0.5 * len(ALPHABET))
+        return math.log((counts[k][a + b] + BACK_OFF * everywhere) / (rows[k][a] + BACK_OFF))
+
+    want = [log_share("random", a, b) - log_share("ordinary", a, b) for a in ALPHABET for b in ALPHABET]
+    assert all(abs(x - y) < 1e-9 for x, y in zip(fit(docs), want))

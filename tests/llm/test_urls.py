@@ -51,7 +51,7 @@ def tables(spark, tmp_path, urls=URLS, listed=LISTED):
 def test_verdicts_match_plain(spark, tmp_path, monkeypatch, blocks):
     """Also with a filter so full that nearly everything passes to the exact join."""
     if blocks:
-        monkeypatch.setattr(url_filter, "MOST_BLOCKS", blocks)
+        monkeypatch.setattr(url_filter, "block_count", lambda keys: blocks)
     pages, listed = tables(spark, tmp_path, listed=[*LISTED, *(f"http://f.org/{i}" for i in range(3000))])
     known = {plain_canonical(u) for u in LISTED} - {None}
     want = [(i, *plain_verdict(u, known)) for i, u in [*enumerate(URLS), (4, URLS[4]), (None, URLS[5])]]
@@ -76,3 +76,27 @@ def test_empty_tables(spark, tmp_path):
     assert url_verdicts(pages, listed, RULES).collect() == []
     pages, listed = tables(spark, tmp_path / "b", listed=[])
     assert {r.verdict for r in url_verdicts(pages, listed, []).collect()} == {"allow"}
+
+
+def test_a_filter_too_large_to_broadcast(spark):
+    """Joined by block number the filter tells the same, passes all that is listed and little else, and has no most."""
+    from pyspark.sql import functions as F
+
+    from normtext.llm.url_filter import block_count, possible_hits
+
+    listed = spark.range(20_000).select(F.concat(F.lit("h.com/"), "id").alias("canonical"))
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 != 3, F.concat(F.lit("h.com/"), "id")).alias("canonical"), "id")
+    small = possible_hits(rows, listed, 20_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # Spark's own choice for small tables
+    try:
+        large = possible_hits(rows, listed, 20_000, broadcast_blocks=8)
+        told = large.where("possible").select("id").collect()
+        plan = large._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(told) == sorted(small.where("possible").select("id").collect())
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    hits = {r.id for r in told}
+    assert {i for i in range(20_000) if i % 10 != 3} <= hits and not any(i % 10 == 3 for i in hits)
+    assert len([i for i in hits if i >= 20_000]) < 0.02 * 36_000
+    assert block_count(10**9) * 16 >= 10**9

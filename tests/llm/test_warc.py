@@ -90,3 +90,16 @@ def test_record_form():
     assert head.splitlines()[0] == "WARC/1.1" and "WARC-Target-URI: http://a/ü" in head
     assert f"Content-Length: {len(rest.encode()) - 4}" in head and text.endswith("abc\r\n\r\n")
     assert urllib.parse.urlparse("urn:page:5").scheme == "urn"
+
+
+def test_long_pages_train_a_dictionary(spark):
+    """Where all pages are long, parts of them from all over train it; archives then begin with a skippable frame."""
+    from pyspark.sql import functions as F
+
+    from normtext.llm.warc import dictionary_frame, train_dictionary
+
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2500)), lambda i: F.concat(F.lit("<p>row "), F.sha2(F.concat("id", i).cast("string"), 256).substr(1, 8), F.lit("</p>"))), "\n")
+    pages = spark.range(120).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), body.alias("html"))
+    assert pages.agg(F.min(F.length("html"))).first()[0] > 45_000
+    dictionary = train_dictionary(pages)
+    assert len(dictionary) > 10_000 and dictionary_frame(dictionary)[:4] == (0x184D2A5D).to_bytes(4, "little")
