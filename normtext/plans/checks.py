@@ -84,7 +84,8 @@ def missing_lineage(spark, sf_dir):
 
 @registry.add(
     "reconciled_totals",
-    f"""WITH {sql.PROVISIONS} SELECT count(*) AS gold_total, count(DISTINCT provision_id) AS silver_total, true AS reconciled FROM provisions""",
+    f"""WITH {sql.PROVISIONS} SELECT count(*) AS gold_total, count(DISTINCT provision_id) AS silver_total,
+      count(*) = count(DISTINCT provision_id) AS reconciled FROM provisions""",
 )
 def reconciled_totals(spark, sf_dir):
     silver = provisions(spark, sf_dir)
