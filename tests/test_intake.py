@@ -1,9 +1,11 @@
 """The document store: replays, late and repeated snapshots, and what a batch reads of it."""
 
+import hashlib
 import shutil
 
 import pytest
 
+from normtext.plans import intake as intake_plans
 from normtext.streaming import ingest
 
 SCHEMA = "document_snapshot_id string, body string"
@@ -70,3 +72,16 @@ def test_a_full_filter_only_costs_reading(intake, monkeypatch):
     run()
     add(*[f"a{i}" for i in range(400, 500)])
     assert len(run()) == 500
+
+
+def test_streamed_documents_are_a_file_or_a_folder_of_files(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(1, 31)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "parts").glob("part-*.parquet")), tmp_path / "one" / "documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    expected = sorted((f"doc-{i}", hashlib.sha256(text.encode()).hexdigest()) for i, text in rows)
+    for folder, wanted in (("one", expected), ("many", expected), ("none", [])):
+        assert sorted(map(tuple, intake_plans.streamed_documents(spark, str(tmp_path / folder)).collect())) == wanted
