@@ -202,3 +202,18 @@ def test_a_long_document(spark):
     table = spark.createDataFrame([(1, source)], "id int, html string")
     found = segment.segment_provisions(table, ["id"]).agg(F.count("*").alias("n"), F.max("order").alias("last"), F.count_if(F.expr("text = concat('text ', `order` - 1)")).alias("right")).first()
     assert tuple(found) == (20_000, 20_000, 20_000)
+
+
+def test_attributes_and_references_are_searched_once(spark):
+    tags = {
+        """<a name="it's'">""": "it's'", "<a x='name=1' NAME = p&amp;1>": "p&1", "<a name>": "", '<a name="">': "", "<a rename=1>": None,
+        "<a b=c name='\"q\"\n'>": '"q"\n', "<a name=P1/>": "P1/", "<a>": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in tags], "tag string")
+    assert {r[0]: r[1] for r in rows.select("tag", attribute(F.col("tag"), "name")).collect()} == tags
+    texts = {"&#x41;&#66;;&#0;&#128;&#xD800;": "AB;\ufffd€\ufffd", "&amp;lt; &lt &nosuch; & &#; &#x;": "&lt; < &nosuch; & &#; &#x;", "&#99999999;": "\ufffd9;"}
+    told = spark.createDataFrame([(t,) for t in texts], "t string").select("t", decode_references(F.col("t")))
+    assert {r[0]: r[1] for r in told.collect()} == texts
+    # What is computed again wherever a lambda names it made a page's references cost some twenty searches each.
+    assert decode_references(F.col("t"))._jc.toString().count("regexp_extract(") == 1
+    assert attribute(F.col("t"), "name")._jc.toString().count("regexp_extract(") == 3
