@@ -5,7 +5,7 @@ six bytes (stems with changing endings). Labelled tokens come from labelled docu
 a token of a toxic document is toxic if one of its features is in far more toxic than
 clean documents than chance allows (a likelihood-ratio test over grouped document counts).
 The field has one weight per hashed feature and one per transition between the two tags;
-it is trained by full-batch gradient steps whose sums run in Spark tasks. Forward and
+it is trained by full-batch gradient steps whose sums run in a few Spark tasks. Forward and
 backward passes give each token's marginal; a logistic function of a document's summed
 and largest marginal, fitted on the same rows, is its score. Runs of tokens with a marginal of at
 least one half are the offending spans.
@@ -38,6 +38,7 @@ FIT_ROWS = 6_000
 FEATURE_BITS = 18
 PREFIXES = (4, 5, 6)
 LEAST_EVIDENCE = 20.0  # of the likelihood-ratio test, for a feature to label tokens
+FIT_TASKS = 8  # of a gradient step over the fitting rows, which are few: each sends its sum to the driver
 STEPS = 14
 RATE = 1.0
 DECAY = 1e-6
@@ -200,7 +201,23 @@ def _gradients(model: ToxicModel, batches: Iterator[pa.RecordBatch]) -> Iterator
         for piece in pieces(batch, "features", 4 * PIECE):
             buckets, labels, first = _token_rows(piece)
             total += gradient(buckets, labels, first, model)
-    yield pa.record_batch({"gradient": pa.array([total.astype(np.float64).tobytes()], pa.binary())})
+    at = np.flatnonzero(total)  # the features of a task's rows are few of all
+    yield pa.record_batch({
+        "at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "gradient": pa.array([total[at].tobytes()], pa.binary()),
+    })
+
+
+def gradient_parts(tokens: DataFrame, model: ToxicModel) -> DataFrame:
+    """The gradient's non-zero places and values, one row a task: at most ``FIT_TASKS``, however many files hold the rows."""
+    return tokens.coalesce(FIT_TASKS).mapInArrow(lambda batches: _gradients(model, batches), "at binary, gradient binary")
+
+
+def slope(tokens: DataFrame, model: ToxicModel) -> np.ndarray:
+    """The gradient over all rows, added up part by part."""
+    total = np.zeros(len(model.weights) + 4)
+    for part in gradient_parts(tokens, model).collect():
+        total[np.frombuffer(part["at"], np.int32)] += np.frombuffer(part["gradient"], np.float64)
+    return total
 
 
 def _summary(p: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,11 +279,10 @@ def fit(labelled: DataFrame) -> ToxicModel:
     past = np.full(size + 4, 1e-8)
     for _ in range(STEPS):
         model = ToxicModel(weights, steps, np.zeros(3))
-        parts = tokens.mapInArrow(lambda batches: _gradients(model, batches), "gradient binary").collect()
-        slope = np.sum([np.frombuffer(r["gradient"], np.float64) for r in parts], axis=0)
-        slope[:size] -= DECAY * (n_clean + n_toxic) * weights
-        past = past + slope**2
-        move = RATE * slope / np.sqrt(past)
+        uphill = slope(tokens, model)
+        uphill[:size] -= DECAY * (n_clean + n_toxic) * weights
+        past = past + uphill**2
+        move = RATE * uphill / np.sqrt(past)
         weights, steps = weights + move[:size], steps + 0.3 * move[size:].reshape(2, 2)
     model = ToxicModel(weights, steps, np.zeros(3))
     told = tokens.mapInArrow(

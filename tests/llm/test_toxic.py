@@ -108,3 +108,20 @@ def test_tokens_fold_case_and_keep_places():
     assert first.tolist() == [0, 3, 3, 3, 5]
     assert (buckets[0] == buckets[1]).all() and (buckets[1] == buckets[2]).all()
     assert (end - begin)[:3].tolist() == [6, 6, 6]
+
+
+def test_few_gradients_reach_the_driver(spark):
+    rng = np.random.default_rng(5)
+    rows, sums = [], []
+    model = ToxicModel(rng.normal(size=(1 << toxic_crf.FEATURE_BITS) + 1) / 10, rng.normal(size=(2, 2)) / 10, np.zeros(3))
+    for i in range(40):
+        n = int(rng.integers(0, 30))
+        buckets = rng.integers(0, 1 << toxic_crf.FEATURE_BITS, (n, 1 + len(toxic_crf.PREFIXES))).astype(np.int32)
+        labels = rng.integers(0, 2, n).astype(bool)
+        rows.append((i % 2, buckets.tobytes(), labels.tobytes()))
+        sums.append(gradient(buckets, labels.astype(float), np.array([0, n]), model))
+    tokens = spark.createDataFrame(rows, "toxic int, features binary, labels binary").repartition(30)
+    parts = toxic_crf.gradient_parts(tokens, model).collect()
+    assert len(parts) <= toxic_crf.FIT_TASKS
+    assert sum(len(p["at"]) + len(p["gradient"]) for p in parts) < 12 * 40 * 30 * 4 + 1000
+    assert np.allclose(toxic_crf.slope(tokens, model), np.sum(sums, axis=0))
