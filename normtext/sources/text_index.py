@@ -26,13 +26,11 @@ FEW = 1_000  # candidate rows that are looked up by number; more are joined
 
 
 def grams(text: Column) -> Column:
-    """The distinct trigrams of a text, from one split into letters."""
-    letters = F.split(F.lower(text), "")
+    """The distinct trigrams of a text, from one search that takes a letter and looks at the next two."""
+    lowered = F.lower(text)
     return F.array_distinct(
-        F.flatten(F.transform(F.array(letters), lambda x: F.when(
-            F.size(x) > GRAM,
-            F.transform(F.sequence(F.lit(0), F.size(x) - GRAM), lambda i: F.concat(*[F.get(x, i + k) for k in range(GRAM)])),
-        ).otherwise(F.array(F.array_join(x, "")))))
+        F.when(F.length(lowered) > GRAM, F.regexp_extract_all(lowered, F.lit(rf"(?s)(?=(.{{{GRAM}}})).")))
+        .otherwise(F.array(lowered))
     )
 
 

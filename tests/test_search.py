@@ -49,3 +49,15 @@ def test_few_texts_are_read(spark, indexed):
 def test_grams(spark):
     row = spark.createDataFrame([("Abcab",), ("aB",), ("",), ("🙂é漢x",)], "t string").select(grams(F.col("t")).alias("g")).collect()
     assert [r.g for r in row] == [["abc", "bca", "cab"], ["ab"], [""], ["🙂é漢", "é漢x"]]
+
+
+def test_grams_are_all_threes_of_letters_from_one_search(spark):
+    texts = ["", "a", "aB", "Abc", "abcd", "a\nb\r\nc\u2028d", "x\U0001F600y\U0001F601z\U00020000", "\U0001F600\U0001F601\U0001F602\U0001F603", "åäö ÅÄÖ åäö", " " * 9]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", grams(F.col("t")).alias("g")).collect()
+    for t, found in rows:
+        if t is None:
+            assert not found or found == [None]
+        else:
+            low = t.lower()
+            assert sorted(found) == sorted({low[i : i + 3] for i in range(max(1, len(low) - 2))})
+    assert "lambdafunction" not in grams(F.col("t"))._jc.toString()  # letter by letter, a lambda made most of the index's time
