@@ -2,35 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normtext.lexicon import SWEDISH, Lexicon
 from normtext.operators.markers import (
     ceiling_windows,
-    ordered_hits,
-    qualifier_clauses,
+    clauses_of,
+    hits_with_clauses,
+    in_reading_order,
     with_determinacy,
     with_qualifier_determinacy,
+    without_ahead,
 )
 from normtext.operators.shortlist import score
 
 
-def dossier(provisions: DataFrame, ranks: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
+def dossier(
+    provisions: DataFrame, ranks: DataFrame, lexicon: Lexicon = SWEDISH, digest: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Spans, clauses, both rungs, score breakdown, rank and ceiling flags per provision.
 
     ``ranks`` is the ranked shortlist (provision_id, rank). The spans come from the
-    provision's own text, so only the rank needs a join.
+    provision's own text, so only the rank needs a join. Each marker is searched once; flags, spans
+    and clauses all come from its hits. ``digest`` names columns made of the dossier's own before that
+    join: only they, the id, the rank and ``table_rows`` are then carried through it.
     """
-    graded = score(provisions.select("provision_id", "text"), lexicon).drop("determinacy")
-    graded = with_qualifier_determinacy(with_determinacy(graded, lexicon), lexicon)
+    read = provisions.select("provision_id", "text").withColumn("_hits", hits_with_clauses("text", lexicon))
+    qualifiers = F.filter("_hits", lambda h: h["category"] == "qualifier")
+    graded = score(read, lexicon, found="_hits").drop("determinacy")
+    graded = graded.withColumn("qualifier_clauses", clauses_of(qualifiers))
+    graded = with_qualifier_determinacy(with_determinacy(graded, lexicon), lexicon, F.col("qualifier_clauses"))
     wide = graded.withColumns(
         {
-            "marker_spans": ordered_hits("text", lexicon),
-            "qualifier_clauses": qualifier_clauses("text", lexicon),
+            "marker_spans": in_reading_order(without_ahead(F.col("_hits"))),
             "ceiling_flags": F.filter(ceiling_windows("text", lexicon), lambda w: w["has_bound"]),
+            "_n": F.size("_hits"),
         }
-    )
+    ).drop("_hits")
+    if digest is not None:
+        wide = wide.select("provision_id", "_n", *[column.alias(name) for name, column in digest.items()])
     return (
         wide.join(ranks.select("provision_id", "rank"), "provision_id", "left")
         .withColumn("is_candidate", F.col("rank").isNotNull())
@@ -39,7 +52,8 @@ def dossier(provisions: DataFrame, ranks: DataFrame, lexicon: Lexicon = SWEDISH)
             F.struct(
                 F.lit(1).alias("provisions"),
                 F.col("is_candidate").cast("int").alias("candidates"),
-                F.size("marker_spans").alias("marker_hits"),
+                F.col("_n").alias("marker_hits"),
             ),
         )
+        .drop("_n")
     )

@@ -18,18 +18,21 @@ from normtext.functions.text import (
     around,
     distinct_lower,
     folded,
-    marked_matches_sql,
+    found_sql,
+    marked_sql,
     matches,
     one_line,
+    quick,
     search,
     sql_literal,
 )
-from normtext.lexicon import SWEDISH, Lexicon, Marker, required_literals
+from normtext.lexicon import CATEGORIES, SWEDISH, Lexicon, Marker, required_literals
 
 HIT_TYPE = (
     "array<struct<category:string,marker:string,position:int,"
     "matched_span:string,char_offset:int,char_end:int>>"
 )
+CLAUSE_REST = r"[^.,;:]*"
 
 
 def hits(
@@ -37,30 +40,35 @@ def hits(
     lexicon: Lexicon = SWEDISH,
     markers: Sequence[Marker] | None = None,
     ahead: str | None = None,
+    ahead_of: Sequence[str] = CATEGORIES,
 ) -> Column:
     """All occurrences of all markers as an array of structs, marker by marker.
 
-    Overlaps between different markers are kept: each marker is scanned alone.
+    Overlaps between different markers are kept: each marker is scanned alone. ``ahead`` is a pattern for
+    text to read after each match of a marker of the categories ``ahead_of``; it is empty for the others.
     """
     chosen = lexicon.markers if markers is None else markers
     if not chosen:
         return F.expr(f"cast(array() AS {HIT_TYPE.replace('>>', ',ahead:string>>') if ahead else HIT_TYPE})")
     extra = ", 'ahead', x.ahead" if ahead else ""
     return F.expr(
-        f"flatten(transform({able_sql(text, lexicon, chosen, ahead)}, m -> transform({marked_matches_sql(text, 'm.pattern', 'm.replacement')},"
+        f"flatten(transform({marked_sql(text)}, v -> flatten(transform({able_sql(text, lexicon, chosen, ahead, ahead_of)},"
+        f" m -> transform({found_sql(text, 'm.pattern', 'm.replacement')},"
         " x -> named_struct('category', m.category, 'marker', m.marker, 'position', m.position, 'matched_span', x.span,"
-        f" 'char_offset', x.start, 'char_end', x.end{extra}))))"
+        f" 'char_offset', x.start, 'char_end', x.end{extra}))))))"
     )
 
 
-def able_sql(text: str, lexicon: Lexicon, chosen: Sequence[Marker], ahead: str | None = None) -> str:
+def able_sql(
+    text: str, lexicon: Lexicon, chosen: Sequence[Marker], ahead: str | None = None, ahead_of: Sequence[str] = CATEGORIES
+) -> str:
     """SQL for the markers that can fire on ``text``, as structs with their pattern: those of which a required literal occurs.
 
     The lexicon is data in the plan, not a branch of it, so the plan is as small for eighty markers as for one.
     """
 
     def row(m: Marker) -> str:
-        pattern, replacement = search(IGNORE_CASE + m.pattern, ahead)
+        pattern, replacement = search(quick(IGNORE_CASE, m.pattern), ahead if m.category in ahead_of else None)
         literals = required_literals(m.pattern)
         needed = f"array({', '.join(map(sql_literal, literals))})" if literals else "cast(array() AS array<string>)"
         return (
@@ -72,22 +80,37 @@ def able_sql(text: str, lexicon: Lexicon, chosen: Sequence[Marker], ahead: str |
     return f"flatten(transform(array({folded(text)}), f -> filter({rows}, m -> size(m.literals) = 0 OR exists(m.literals, l -> contains(f, l)))))"
 
 
-def ordered_hits(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
-    """The hits in reading order: by start, the longer one first, then by marker."""
+def in_reading_order(found: Column) -> Column:
+    """The hits by start, the longer one first, then by marker."""
     keyed = F.transform(
-        hits(text, lexicon),
+        found,
         lambda h: F.struct(h["char_offset"], (-h["char_end"]).alias("_e"), h["position"], h.alias("hit")),
     )
     return F.transform(F.array_sort(keyed), lambda k: k["hit"])
 
 
+def ordered_hits(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
+    """The hits in reading order: by start, the longer one first, then by marker."""
+    return in_reading_order(hits(text, lexicon))
+
+
+def hits_with_clauses(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
+    """All hits, those of qualifiers with the rest of their clause in ``ahead``: one search for hits, flags and clauses."""
+    return hits(text, lexicon, ahead=CLAUSE_REST, ahead_of=("qualifier",))
+
+
+def without_ahead(found: Column) -> Column:
+    """The hits as ``hits`` gives them, from those of ``hits_with_clauses``."""
+    return F.transform(found, lambda h: h.dropFields("ahead"))
+
+
 def marker_hits(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] = ("provision_id",)) -> DataFrame:
     """One row per occurrence, over every provision, with verbatim span and offsets."""
     return df.select(*keep, F.explode(hits("text", lexicon)).alias("_h")).select(*keep, "_h.*")
 
 
 def fires(text: Column, marker: Marker) -> Column:
-    return text.rlike(IGNORE_CASE + marker.pattern)
+    return text.rlike(quick(IGNORE_CASE, marker.pattern))
 
 
 def _fired_sql(text: str, lexicon: Lexicon, chosen: Sequence[Marker]) -> str:
@@ -117,7 +140,7 @@ def determinacy_of(specific: Column, vague: Column) -> Column:
 def determinacy(text: Column, lexicon: Lexicon = SWEDISH) -> Column:
     """The rung a text reaches: specific, vague or unmarked."""
     return determinacy_of(
-        text.rlike(IGNORE_CASE + lexicon.specific), text.rlike(IGNORE_CASE + lexicon.vague)
+        text.rlike(quick(IGNORE_CASE, lexicon.specific)), text.rlike(quick(IGNORE_CASE, lexicon.vague))
     )
 
 
@@ -127,14 +150,14 @@ def with_determinacy(df: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
     return df.withColumns(
         {
             "determinacy": determinacy(text, lexicon),
-            "specific_terms": distinct_lower(text, IGNORE_CASE + lexicon.specific),
-            "vague_terms": distinct_lower(text, IGNORE_CASE + lexicon.vague),
+            "specific_terms": distinct_lower(text, quick(IGNORE_CASE, lexicon.specific)),
+            "vague_terms": distinct_lower(text, quick(IGNORE_CASE, lexicon.vague)),
         }
     )
 
 
-def qualifier_clauses(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
-    """The clause each qualifier hit opens: up to the next ``.,;:`` or the end of the text."""
+def clauses_of(found: Column) -> Column:
+    """The clauses from hits of qualifiers with the rest of their clause ahead."""
 
     def clause(hit: Column) -> Column:
         return F.struct(
@@ -144,7 +167,12 @@ def qualifier_clauses(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
             (hit["char_end"] + F.length(hit["ahead"])).cast("int").alias("clause_end"),
         )
 
-    return F.transform(hits(text, lexicon, lexicon.of("qualifier"), ahead=r"[^.,;:]*"), clause)
+    return F.transform(found, clause)
+
+
+def qualifier_clauses(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
+    """The clause each qualifier hit opens: up to the next ``.,;:`` or the end of the text."""
+    return clauses_of(hits(text, lexicon, lexicon.of("qualifier"), ahead=CLAUSE_REST))
 
 
 def qualifier_spans(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] = ("provision_id",)) -> DataFrame:
@@ -154,21 +182,28 @@ def qualifier_spans(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[st
 
 def _clause_terms(clauses: Column, pattern: str) -> Column:
     found = F.transform(
-        clauses, lambda c: F.regexp_extract_all(c["clause"], F.lit(IGNORE_CASE + pattern), F.lit(0))
+        clauses, lambda c: F.regexp_extract_all(c["clause"], F.lit(quick(IGNORE_CASE, pattern)), F.lit(0))
     )
     return F.array_sort(F.array_distinct(F.transform(F.flatten(found), F.lower)))
 
 
-def with_qualifier_determinacy(df: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
-    """The rung reached inside the qualifier clauses only, with the terms behind it."""
+def with_qualifier_determinacy(
+    df: DataFrame, lexicon: Lexicon = SWEDISH, found: Column | None = None
+) -> DataFrame:
+    """The rung reached inside the qualifier clauses only, with the terms behind it.
+
+    ``found`` gives the clauses where they are known already. The rung asks for a first match only, so the
+    terms cost nothing where nobody reads them.
+    """
     clauses = F.col("_clauses")
-    graded = df.withColumn("_clauses", qualifier_clauses("text", lexicon)).withColumns(
+    graded = df.withColumn("_clauses", qualifier_clauses("text", lexicon) if found is None else found).withColumns(
         {
             "qualifier_specific": _clause_terms(clauses, lexicon.specific),
             "qualifier_vague": _clause_terms(clauses, lexicon.vague),
         }
     )
-    rung = determinacy_of(F.size("qualifier_specific") > 0, F.size("qualifier_vague") > 0)
+    holds = lambda pattern: F.exists(clauses, lambda c: c["clause"].rlike(quick(IGNORE_CASE, pattern)))
+    rung = determinacy_of(holds(lexicon.specific), holds(lexicon.vague))
     return graded.withColumn("qualifier_determinacy", rung).drop("_clauses")
 
 
@@ -180,11 +215,11 @@ def ceiling_windows(text: str = "text", lexicon: Lexicon = SWEDISH) -> Column:
         return F.struct(
             hit["start"].alias("char_offset"),
             one_line(span).alias("window"),
-            span.rlike(IGNORE_CASE + lexicon.ceiling_bound).alias("has_bound"),
+            span.rlike(quick(IGNORE_CASE, lexicon.ceiling_bound)).alias("has_bound"),
         )
 
     after = f"(?s:.{{0,{lexicon.ceiling_window}}})"
-    return F.transform(matches(text, IGNORE_CASE + lexicon.ceiling_opener, after), window)
+    return F.transform(matches(text, quick(IGNORE_CASE, lexicon.ceiling_opener), after), window)
 
 
 def ceiling_flags(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] = ("provision_id",)) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from normtext import fixed_values as fv
 from normtext.functions.ordered import with_ordinal
-from normtext.functions.text import IGNORE_CASE
+from normtext.functions.text import IGNORE_CASE, quick
 from normtext.lexicon import CATEGORIES, SWEDISH, Lexicon
 from normtext.operators.markers import determinacy_of, fires, with_qualifier_determinacy
 from normtext.session import stable
@@ -23,11 +23,30 @@ def _flag(category: str, index: int) -> str:
     return f"_{category}_{index}"
 
 
-def with_flags(df: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
-    """One boolean column per marker, so each pattern runs once per text."""
+def with_flags(df: DataFrame, lexicon: Lexicon = SWEDISH, found: str | None = None) -> DataFrame:
+    """One boolean column per marker, so each pattern runs once per text.
+
+    ``found`` names a column with all hits of the text; then no pattern runs at all.
+    """
     text = F.col("text")
-    return df.withColumns(
-        {_flag(c, i): fires(text, m) for c in CATEGORIES for i, m in enumerate(lexicon.of(c))}
+    if found is None:
+        fired = lambda m: fires(text, m)
+    else:
+        df = df.withColumn("_fired", F.array_distinct(F.transform(found, lambda h: h["position"])))
+        fired = lambda m: F.when(
+            text.isNotNull(), F.array_contains("_fired", F.lit(lexicon.markers.index(m)))
+        )
+    flagged = df.withColumns(
+        {_flag(c, i): fired(m) for c in CATEGORIES for i, m in enumerate(lexicon.of(c))}
+    )
+    return flagged if found is None else flagged.drop("_fired")
+
+
+def complete(text: Column, lexicon: Lexicon = SWEDISH) -> Column:
+    """Whether every category fires, the category that most texts miss asked first: a text that misses one is done."""
+    return reduce(
+        lambda a, b: a & b,
+        [any_of([fires(text, m) for m in lexicon.of(c)]) for c in ("exception", "duty", "qualifier")],
     )
 
 
@@ -69,21 +88,21 @@ def strengths(df: DataFrame, lexicon: Lexicon = SWEDISH, keep: Sequence[str] = (
     )
 
 
-def score(df: DataFrame, lexicon: Lexicon = SWEDISH) -> DataFrame:
+def score(df: DataFrame, lexicon: Lexicon = SWEDISH, found: str | None = None) -> DataFrame:
     """Adds the score components and ``score``; all NULL unless every category fires.
 
-    The categories gate first: a text that misses one is never graded further.
+    The categories gate first: a text that misses one is never graded further. ``found`` is as in ``with_flags``.
     """
     text = F.col("text")
-    gated = with_flags(df, lexicon).withColumns(
+    gated = with_flags(df, lexicon, found).withColumns(
         {f"has_{c}": any_of(_flags(lexicon, c)) for c in CATEGORIES}
     )
     complete = F.col("has_duty") & F.col("has_exception") & F.col("has_qualifier")
     graded = gated.withColumns(
         {
             "_complete": complete,
-            "_specific": complete & text.rlike(IGNORE_CASE + lexicon.specific),
-            "_vague": complete & text.rlike(IGNORE_CASE + lexicon.vague),
+            "_specific": complete & text.rlike(quick(IGNORE_CASE, lexicon.specific)),
+            "_vague": complete & text.rlike(quick(IGNORE_CASE, lexicon.vague)),
             "char_count": F.length(text).cast("int"),
         }
     )
@@ -121,7 +140,7 @@ def candidates(
     length = F.length("text")
     sized = df.where(length >= min_chars) if min_chars else df
     sized = sized.where(length <= max_chars) if max_chars else sized
-    gated = score(sized, lexicon).where(F.col("score").isNotNull())
+    gated = score(sized.where(complete(F.col("text"), lexicon)), lexicon)
     return with_qualifier_determinacy(gated, lexicon).select(*CANDIDATE_COLUMNS, *keep)
 
 

@@ -384,18 +384,26 @@ def span_layers(spark, sf_dir):
 )
 def provision_dossiers(spark, sf_dir):
     texts = provisions(spark, sf_dir)
-    wide = dossier(texts, shortlist.shortlist(texts, STAND_IN), STAND_IN)
     span = lambda h: F.concat(h["category"], F.lit(":"), h["marker"], F.lit("@"), h["char_offset"], F.lit("-"), h["char_end"])
+    digest = {
+        "marker_spans": F.array_join(F.transform("marker_spans", span), "|"),
+        "qualifier_clauses": F.size("qualifier_clauses"),
+        "determinacy": F.col("determinacy"),
+        "qualifier_determinacy": F.col("qualifier_determinacy"),
+        "score": F.col("score"),
+        "ceiling_flags": F.size("ceiling_flags"),
+    }
+    wide = dossier(texts, shortlist.shortlist(texts, STAND_IN), STAND_IN, digest)
     return wide.select(
         "provision_id",
-        F.array_join(F.transform("marker_spans", span), "|").alias("marker_spans"),
-        F.size("qualifier_clauses").alias("qualifier_clauses"),
+        "marker_spans",
+        "qualifier_clauses",
         "determinacy",
         "qualifier_determinacy",
         "score",
         "rank",
         "is_candidate",
-        F.size("ceiling_flags").alias("ceiling_flags"),
+        "ceiling_flags",
         F.col("table_rows.marker_hits").alias("hit_rows"),
     )
 
