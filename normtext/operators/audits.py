@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from normtext.functions.text import IGNORE_CASE, distinct_lower, matches
 from normtext.lexicon import SWEDISH, Lexicon
 from normtext.operators.markers import determinacy_of, fires
+from normtext.session import stable
 
 WILDCARD_SHAPE = re.compile(r"\\w[+*]|\{\d+,\d*\}")  # fixed value: an open or bounded gap
 
@@ -186,8 +187,10 @@ def stratified_sample(
     """All boundary-crossing hits of the first pool, one seeded hit per top-ranked
     provision, then a seeded fill up to ``size``; each with its reason.
 
-    Only the fill is limited, and a limit of ``size`` rows is all it can ever need.
+    Only the fill is limited, and a limit of ``size`` rows is all it can ever need. The pooled hits are stored, since
+    every stratum reads them.
     """
+    pooled = stable(pooled)
     first = pools[0]
     hit = F.struct("provision_id", "char_offset", "matched_span")
     key = ["provision_id", "char_offset", "matched_span"]

@@ -9,6 +9,7 @@ from normtext.operators.dossier import dossier
 from normtext.plans import sql_parts as sql
 from normtext.plans.bindings import EARLIER_SPECIFIC, STAND_IN, provisions, table
 from normtext.plans.registry import Registry
+from normtext.session import stable
 
 registry = Registry()
 SEED = 20260911
@@ -308,12 +309,19 @@ def decision_changes(spark, sf_dir):
 SAMPLED = STAND_IN.markers[2]
 
 
-def _sampling_pool(spark, sf_dir, english: bool):
+def _sampling_pools(spark, sf_dir):
+    """v1 is the English part of v2: the hits of both come from one reading of the texts, their candidates from another,
+    and each pool is ranked by itself."""
     texts = provisions(spark, sf_dir)
-    texts = texts.where(F.col("chapter") == "en") if english else texts
     found = markers.hits("text", STAND_IN, [SAMPLED])
-    hits = texts.select("provision_id", F.explode(found).alias("h")).select("provision_id", "h.*")
-    return hits, shortlist.shortlist(texts, STAND_IN)
+    hits = texts.select("provision_id", "chapter", F.explode(found).alias("h")).select("provision_id", "chapter", "h.*")
+    hits = stable(hits)
+    candidates = stable(shortlist.candidates(texts, STAND_IN, keep=["chapter"]))
+
+    def pool(part):
+        return part(hits).drop("chapter"), shortlist.ranked(part(candidates).drop("chapter"))
+
+    return {"v1": pool(lambda rows: rows.where(F.col("chapter") == "en")), "v2": pool(lambda rows: rows)}
 
 
 _DRAW = f"sha256('{SEED}|' || provision_id || '|' || char_offset || '|' || matched_span)"
@@ -340,7 +348,7 @@ _DRAW = f"sha256('{SEED}|' || provision_id || '|' || char_offset || '|' || match
     WHERE n <= 120 - (SELECT count(*) FROM strata WHERE reason IS NOT NULL)""",
 )
 def stratified_sample(spark, sf_dir):
-    pools = {"v1": _sampling_pool(spark, sf_dir, True), "v2": _sampling_pool(spark, sf_dir, False)}
+    pools = _sampling_pools(spark, sf_dir)
     return audits.stratified_sample(
         audits.pooled_hits(pools), list(pools), STAND_IN.clause_boundary, size=120, seed=SEED
     )

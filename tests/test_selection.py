@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -5,7 +6,9 @@ from pyspark.sql import functions as F
 from normtext import fixed_values as fv
 from normtext.lexicon import SWEDISH, markers_table
 from normtext.operators import audits, markers, shortlist
+from normtext.functions.text import IGNORE_CASE, leading_letters, quick
 from normtext.operators.dossier import dossier
+from normtext.plans import selection
 
 RULE = (
     "Arbetsgivaren ska lämna besked inom två veckor, om inte särskilda skäl finns. Beskedet får dock\n"
@@ -131,3 +134,61 @@ def test_sample_is_stable_under_repartitioning(spark):
 def test_ceiling_scan_reads_the_whole_text(spark):
     text = "x " * 5000 + "Tiden är dock högst sex månader."
     assert markers.ceiling_flags(provisions(spark, text)).where(F.col("has_bound")).count() == 1
+
+
+def documents_at(spark, tmp_path, *texts):
+    """A documents table of the given texts, every third one in German."""
+    rows = [(i, text, "de" if i % 3 == 0 else "en", "web", len(text)) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    return str(tmp_path)
+
+
+def test_dossier_searches_each_marker_once(spark):
+    """Hits, flags and clauses come from one search, and a digest alone goes through the join."""
+    texts = provisions(spark, RULE, PLAIN, "", RULE + "\n" + RULE, "\ufdd0 " + RULE)
+    ranks = shortlist.shortlist(texts)
+    wide = dossier(texts, ranks)
+    plain = shortlist.score(texts).drop("determinacy")
+    plain = markers.with_qualifier_determinacy(markers.with_determinacy(plain)).withColumns(
+        {"marker_spans": markers.ordered_hits(), "qualifier_clauses": markers.qualifier_clauses()}
+    )
+    same = [c for c in plain.columns if c != "text"]
+    order = lambda df: sorted(map(str, df.select(*same).collect()))
+    assert order(wide) == order(plain)
+
+    digest = dossier(texts, ranks, digest={"spans": F.size("marker_spans"), "score": F.col("score")})
+    assert sorted(digest.columns) == ["is_candidate", "provision_id", "rank", "score", "spans", "table_rows"]
+    found = {r.provision_id: (r.spans, r.score) for r in digest.collect()}
+    assert found == {r.provision_id: (len(r.marker_spans), r.score) for r in wide.collect()}
+    plan = digest._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"_(duty|exception|qualifier)_0#\d+, RLIKE|RLIKE\([^()]*\) AS _(duty|exception|qualifier)_", plan)
+    assert "array_contains" in plan
+
+
+def test_quick_patterns_match_as_the_plain_ones(spark):
+    patterns = [m.pattern for m in SWEDISH.markers] + [SWEDISH.specific, SWEDISH.vague, r"\b(?:is|sk)\b|\bk\w*", r"\bThe\b"]
+    words = ["SKA", "ſka", "Ska", "\u212aan", "İs", "ıs", "is", "kan", "ska", "inte", "om", "the", "THE", "skall", "månader", ",", "😀", "två"]
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(words, k=6)) + rng.choice(["", " " + RULE, "\n" + PLAIN]) for _ in range(200)]
+    df = provisions(spark, *texts)
+    for p in patterns:
+        differs = F.regexp_extract_all("text", F.lit(IGNORE_CASE + p), F.lit(0)) != F.regexp_extract_all(
+            "text", F.lit(quick(IGNORE_CASE, p)), F.lit(0)
+        )
+        assert df.where(differs).count() == 0, p
+    assert leading_letters(r"\b(?:is|was)\s+\w|\bin\b") == "iw" and leading_letters(r"\b(?:a)?b") == leading_letters(r"[ab]") == ""
+
+
+def test_both_sampling_pools_come_from_one_reading(spark, tmp_path, monkeypatch):
+    line = "The work of the house and so that it lasts, for us with those that are by the sea."
+    sf_dir = documents_at(spark, tmp_path, *[f"{line}\n{'More of it. ' * i}{line}" for i in range(9)])
+    reads = []
+    real = selection.provisions
+    monkeypatch.setattr(selection, "provisions", lambda *a: reads.append(a) or real(*a))
+    sample = selection.stratified_sample(spark, sf_dir)
+    rows = sample.collect()
+    assert len(reads) == 1 and sf_dir not in str(sample.inputFiles())
+    assert len(rows) == len({(r.provision_id, r.char_offset) for r in rows}) == 18
+    assert {r.selection_reason for r in rows} <= {"known-defective-v1", "top-50-ranked", f"random-seed-{selection.SEED}"}
