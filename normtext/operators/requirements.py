@@ -9,19 +9,26 @@ from pyspark.sql import functions as F
 
 from normtext import fixed_values as fv
 from normtext.functions.ordered import with_previous
-from normtext.functions.text import UNICODE, squeeze, strip
+from normtext.functions.text import UNICODE, quick, squeeze, strip
 from normtext.operators.direction import ladder_move, looked_up, modality_rung, sign_of
 from normtext.session import stable
 
-LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
-KEYWORD = UNICODE + r"\b(" + "|".join(fv.REQUIREMENT_KEYWORDS) + r")\b"
+LINE_END = r"[\v\x1C\x1D\x1E](?:(?<=\r)\n)?"  # \v: \n \x0B \x0C \r \x85 \u2028 \u2029
+SENTENCE_END = r"\s(?<=[.:]\s)\s*(?=[A-Z(])"  # begins with what is quick to rule out, not with the look behind it
+KEYWORD = quick(UNICODE, r"\b(" + "|".join(fv.REQUIREMENT_KEYWORDS) + r")\b")
 RUNGS = ("binding", "weak", "absent")
 
 
+def page_line(line: Column) -> Column:
+    """Whether a line is a page's head or foot. Most lines hold none of what such a line must hold, and go through no pattern."""
+    may_be = F.startswith(line, F.lit("RFC ")) | F.startswith(line, F.lit("Internet-Draft")) | F.contains(line, F.lit("[Page "))
+    return may_be & line.rlike(UNICODE + fv.PAGE_LINE)
+
+
 def blocks_of(text: Column) -> Column:
     """Page lines dropped, wrapped lines joined inside blank-line blocks, whitespace squeezed."""
     lines = F.transform(F.split(text, LINE_END, -1), strip)
-    kept = F.filter(lines, lambda line: ~line.rlike(UNICODE + fv.PAGE_LINE))
+    kept = F.filter(lines, lambda line: ~page_line(line))
     blocks = F.split(F.array_join(kept, "\n"), r"\n{2,}", -1)
     return F.filter(F.transform(blocks, squeeze), lambda b: b != "")
 
@@ -32,7 +39,7 @@ def reflow(docs: DataFrame, keep: Sequence[str] = ("document_id",)) -> DataFrame
 
 def sentences(blocks: DataFrame, keep: Sequence[str] = ("document_id",)) -> DataFrame:
     """Split after a period or colon that stands before a capital or an opening bracket."""
-    cut = F.split("block", UNICODE + r"(?<=[.:])\s+(?=[A-Z(])", -1)
+    cut = F.split("block", UNICODE + SENTENCE_END, -1)
     parts = F.filter(F.transform(cut, strip), lambda s: s != "")
     return blocks.select(*keep, "block_no", F.posexplode(parts).alias("sentence_no", "sentence"))
 

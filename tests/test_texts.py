@@ -1,8 +1,11 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from normtext.functions.ordered import with_ordinal, with_previous, with_running_total
+from normtext.functions.text import UNICODE, WHITESPACE, squeeze, strip
 from normtext.operators import gold, quality, requirements
 from normtext.operators.matching import match_lengths
 from normtext.session import shared_path
@@ -176,3 +179,33 @@ def test_stream_restart_adds_nothing_twice(spark, tmp_path):
     spark.createDataFrame([("b", "2"), ("c", "1")], schema).write.mode("append").parquet(source)
     assert run(checkpoint) == ["a", "b", "c"]
     assert run(checkpoint + "-other") == ["a", "b", "c"]
+
+
+def test_reader_patterns_match_as_the_plain_ones(spark):
+    """The patterns that are quick to rule out find what the plain ones found, over all whitespace and line ends."""
+    pieces = ["a", "A.", "B:", "(c", " ", "  ", "\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1e", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u180e", "MUST NOT", "xMAY", "MAY"]
+    rng = random.Random(5)
+    texts = ["", *pieces, *["".join(rng.choices(pieces, k=rng.randint(2, 12))) for _ in range(1500)]]
+    df = spark.createDataFrame([(t,) for t in texts], "block string")
+    t, words = F.col("block"), "|".join(requirements.fv.REQUIREMENT_KEYWORDS)
+    pairs = {
+        "lines": (F.split(t, requirements.LINE_END, -1), F.split(t, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", -1)),
+        "sentences": (F.split(t, UNICODE + requirements.SENTENCE_END, -1), F.split(t, UNICODE + r"(?<=[.:])\s+(?=[A-Z(])", -1)),
+        "keyword": (F.regexp_extract(t, requirements.KEYWORD, 1), F.regexp_extract(t, UNICODE + rf"\b({words})\b", 1)),
+        "strip": (strip(t), F.regexp_replace(t, UNICODE + r"^\s+|\s+$", "")),
+        "squeeze": (squeeze(t), F.trim(F.regexp_replace(t, UNICODE + r"\s+", " "))),
+    }
+    for name, (quick_one, plain) in pairs.items():
+        assert df.where(~quick_one.eqNullSafe(plain)).count() == 0, name
+    every = spark.range(0x20, 0xD800).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    spaces = [r.c for r in every.where(F.col("c").rlike(UNICODE + r"^\s$")).collect()]
+    assert set(spaces) | set("\t\n\x0b\x0c\r") == set(WHITESPACE)
+
+
+def test_only_lines_that_may_be_page_lines_meet_the_pattern(spark):
+    """Every keyword search first rules a place out by its letter, and a line without a page's signs is not searched."""
+    lines = ["RFC 12 x", "RFC x", "Internet-Draft", "[Page 3]", "Body.x and [Page 3]", "body [Page 3]", "xRFC 1", "A" * 50, "", " [Page 3]"]
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    got = [r.line for r in df.where(requirements.page_line(F.col("line"))).collect()]
+    assert got == [line for line in lines if re.match(requirements.fv.PAGE_LINE, line)] and len(got) == 4
+    assert requirements.KEYWORD.startswith(UNICODE + "(?=[MNORS])") and requirements.LINE_END.startswith("[")
