@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +18,19 @@ from normtext.operators.markers import (
     without_ahead,
 )
 from normtext.operators.shortlist import score
+from normtext.session import stable
 
 
 def dossier(
-    provisions: DataFrame, ranks: DataFrame, lexicon: Lexicon = SWEDISH, digest: Mapping[str, Column] | None = None
+    provisions: DataFrame,
+    ranks: DataFrame | Callable[[DataFrame], DataFrame],
+    lexicon: Lexicon = SWEDISH,
+    digest: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Spans, clauses, both rungs, score breakdown, rank and ceiling flags per provision.
 
-    ``ranks`` is the ranked shortlist (provision_id, rank). The spans come from the
+    ``ranks`` is the ranked shortlist (provision_id, rank), or a function that makes it from the rows graded
+    here, which are then stored, so that no text is graded twice. The spans come from the
     provision's own text, so only the rank needs a join. Each marker is searched once; flags, spans
     and clauses all come from its hits. ``digest`` names columns made of the dossier's own before that
     join: only they, the id, the rank and ``table_rows`` are then carried through it.
@@ -44,6 +49,9 @@ def dossier(
     ).drop("_hits")
     if digest is not None:
         wide = wide.select("provision_id", "_n", *[column.alias(name) for name, column in digest.items()])
+    if callable(ranks):
+        wide = stable(wide)
+        ranks = ranks(wide)
     return (
         wide.join(ranks.select("provision_id", "rank"), "provision_id", "left")
         .withColumn("is_candidate", F.col("rank").isNotNull())

@@ -135,8 +135,16 @@ def candidates(
     min_chars: int = 0,
     max_chars: int = 0,
     keep: Sequence[str] = (),
+    graded: bool = False,
 ) -> DataFrame:
-    """Every provision carrying all three parts, unranked: one narrow pass, no shuffle."""
+    """Every provision carrying all three parts, unranked: one narrow pass, no shuffle.
+
+    ``graded`` rows have the columns of a candidate from ``score`` and ``with_qualifier_determinacy`` already.
+    """
+    if graded:
+        n = F.col("char_count")
+        complete_rows = df.where(F.col("score").isNotNull() & (n >= min_chars) & (n <= (max_chars or 2**31 - 1)))
+        return complete_rows.select(*CANDIDATE_COLUMNS, *keep)
     length = F.length("text")
     sized = df.where(length >= min_chars) if min_chars else df
     sized = sized.where(length <= max_chars) if max_chars else sized
@@ -159,6 +167,7 @@ def shortlist(
     min_chars: int = 0,
     max_chars: int = 0,
     keep: Sequence[str] = (),
+    graded: bool = False,
 ) -> DataFrame:
     """The candidates in reading order."""
-    return ranked(candidates(df, lexicon, min_chars, max_chars, keep))
+    return ranked(candidates(df, lexicon, min_chars, max_chars, keep, graded))

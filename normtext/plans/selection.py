@@ -393,15 +393,12 @@ def span_layers(spark, sf_dir):
 def provision_dossiers(spark, sf_dir):
     texts = provisions(spark, sf_dir)
     span = lambda h: F.concat(h["category"], F.lit(":"), h["marker"], F.lit("@"), h["char_offset"], F.lit("-"), h["char_end"])
-    digest = {
+    digest = {c: F.col(c) for c in shortlist.CANDIDATE_COLUMNS if c != "provision_id"} | {
         "marker_spans": F.array_join(F.transform("marker_spans", span), "|"),
         "qualifier_clauses": F.size("qualifier_clauses"),
-        "determinacy": F.col("determinacy"),
-        "qualifier_determinacy": F.col("qualifier_determinacy"),
-        "score": F.col("score"),
         "ceiling_flags": F.size("ceiling_flags"),
     }
-    wide = dossier(texts, shortlist.shortlist(texts, STAND_IN), STAND_IN, digest)
+    wide = dossier(texts, lambda graded: shortlist.shortlist(graded, STAND_IN, graded=True), STAND_IN, digest)
     return wide.select(
         "provision_id",
         "marker_spans",

@@ -166,9 +166,18 @@ def test_dossier_searches_each_marker_once(spark):
     assert not re.search(r"_(duty|exception|qualifier)_0#\d+, RLIKE|RLIKE\([^()]*\) AS _(duty|exception|qualifier)_", plan)
     assert "array_contains" in plan
 
+    columns = {c: F.col(c) for c in shortlist.CANDIDATE_COLUMNS if c != "provision_id"}
+    own = dossier(texts, lambda rows: shortlist.shortlist(rows, graded=True), digest=columns)
+    ranked = lambda df: sorted((r.provision_id, r["rank"] or 0, r.score or 0) for r in df.collect())
+    assert ranked(own) == ranked(wide) and max(r["rank"] or 0 for r in own.collect()) >= 2
+    graded = shortlist.score(texts).transform(markers.with_qualifier_determinacy)
+    for bounds in ((0, 0), (150, 250), (150, 0)):
+        by_rows, by_texts = (shortlist.candidates(df, min_chars=bounds[0], max_chars=bounds[1], graded=g) for df, g in ((graded, True), (texts, False)))
+        assert sorted(by_rows.collect()) == sorted(by_texts.collect())
+
 
 def test_quick_patterns_match_as_the_plain_ones(spark):
-    patterns = [m.pattern for m in SWEDISH.markers] + [SWEDISH.specific, SWEDISH.vague, r"\b(?:is|sk)\b|\bk\w*", r"\bThe\b"]
+    patterns = [m.pattern for m in SWEDISH.markers] + [SWEDISH.specific, SWEDISH.vague, r"\b(?:is|sk)\b|\bk\w*", r"\bThe\b", r"\bs\w+", r"\bi", r"\bs?k\w", r"\bi{1}s"]
     words = ["SKA", "ſka", "Ska", "\u212aan", "İs", "ıs", "is", "kan", "ska", "inte", "om", "the", "THE", "skall", "månader", ",", "😀", "två"]
     rng = random.Random(3)
     texts = [" ".join(rng.choices(words, k=6)) + rng.choice(["", " " + RULE, "\n" + PLAIN]) for _ in range(200)]
