@@ -67,15 +67,16 @@ def enrich(provisions: DataFrame, documents: DataFrame) -> DataFrame:
         "source_sha256",
         "bronze_ingested_at",
     )
-    return provisions.join(lineage, "document_id", "left").select(
+    hashed = provisions.withColumn("_text_sha256", F.sha2("text", 256))  # before the join: a text that nobody asks for isn't moved
+    return hashed.join(lineage, "document_id", "left").select(
         F.concat_ws(":", "document_id", "provision_suffix").alias("provision_id"),
         "*",
         F.when(F.coalesce("source_page_url", F.lit("")) != "", F.concat_ws("#", "source_page_url", "source_anchor"))
         .otherwise("")
         .alias("source_url"),
-        F.sha2("text", 256).alias("provision_text_sha256"),
+        F.col("_text_sha256").alias("provision_text_sha256"),
         F.current_timestamp().alias("silver_transformed_at"),
-    )
+    ).drop("_text_sha256")
 
 
 def unparsable(documents: DataFrame, provisions: DataFrame) -> DataFrame:

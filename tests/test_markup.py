@@ -1,5 +1,7 @@
 """The HTML reader against the standard library's parser and a plain model of siblings."""
 
+import collections
+import hashlib
 import html
 import random
 import re
@@ -7,8 +9,9 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
-from normtext.functions.markup import attribute, decode_references, normalize_text, tokens
-from normtext.sources import segment
+from normtext.functions.markup import TOKEN, attribute, decode_references, normalize_text, tokens
+from normtext.functions.markup import tidy as tidy_column
+from normtext.sources import html_reader, segment
 
 MARKS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "p", "param", "source", "track", "wbr"}
 
@@ -217,3 +220,85 @@ def test_attributes_and_references_are_searched_once(spark):
     # What is computed again wherever a lambda names it made a page's references cost some twenty searches each.
     assert decode_references(F.col("t"))._jc.toString().count("regexp_extract(") == 1
     assert attribute(F.col("t"), "name")._jc.toString().count("regexp_extract(") == 3
+
+
+ODD = [
+    "\t", "\r\n", "\x85", " ", "　", "\xa0", "  ", " \n \n \n ", "﻿", "&#xFEFF;", "&#x0;", "&#129;", "&#99999999;", "&ampfoo;", "&LT;;", "&fjlig;",
+    "<", "<<", "</", "<>", "<!-->", "<!-- open", "<SCRIPT type='a>b'>x</Script >", "<script-x>q</script>", "<scriptå>w", "<ſcript>v", "<style>p</style\n>",
+    "<br", "<BR/>", "</br>", "<b/>", "</b>", "</B >", "<a=\">\">", "<AÄ>", "</aä>", "<i>", "</i>", "<h4>", "</h3>", "</a>", "2020:1\x85", "<br>2020:1<br>", "<br>1999:2 x",
+    "<h3 name='K1\n'>Kn</h3>", "<h3 name='K1 '>Ku</h3>", "<h3 name='K1\n\n'>Kx</h3>", "<h3 name='K١'>x</h3>", "<h3 name='&#111;vergang'>", "<h3 name=overgang>x</h3>",
+    "<a class='x\tparagraf\ny' name='K1P2'>2</a>", "<a class=paragraf name>4</a>", "<a class=paragraf\x0bname=vt>vt</a>", "<a claſs=paragraf name=c>c</a>",
+    "<a name='P1S2\n'></a>", "<a name='P S3'></a>", "<a name=P1S١></a>",
+]
+
+
+def test_plain_reader_and_column_helpers_agree(spark):
+    """The tokens, references, attributes and white space of the reader are those of the column helpers, also on odd characters."""
+    rng = random.Random(33)
+    sources = ["".join(rng.choice(ODD) if rng.random() < 0.6 else random_source(rng) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    shown = spark.createDataFrame([(s,) for s in sources], "t string").repartition(4).select(
+        "t", F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("cut"), tokens(F.col("t")).alias("k"), decode_references(F.col("t")).alias("d"),
+        tidy_column(F.col("t")).alias("tidied"),
+    )
+    for r in shown.collect():
+        read = html_reader.Statute(r.t, html_reader._Kept(html_reader._tag))
+        assert html_reader.TOKEN.findall(r.t) == r.cut
+        assert [(0, "") if type(e) is str else e[:2] for e in read.events] == [(k.kind, k.name) for k in r.k], r.t
+        assert [html_reader.decoded(e) for e in read.events if type(e) is str] == [k.token for k in r.k if k.kind == 0], r.t
+        assert (html_reader.decoded(r.t), html_reader.tidy(r.t)) == (r.d, r.tidied)
+    tags = spark.createDataFrame([(t,) for t in ODD if t.startswith(("<a ", "<h3 "))], "t string")
+    for r in tags.select("t", attribute(F.col("t"), "name").alias("name"), attribute(F.col("t"), "class").alias("cls")).collect():
+        assert (html_reader.attribute(r.t, "name"), html_reader.attribute(r.t, "class")) == (r.name, r.cls), r.t
+
+
+def test_both_kinds_from_one_reading(spark):
+    rng = random.Random(34)
+    closing = '<h3 name="overgang">x</h3><br>2019:5<br>One.<br>2020:12<br>Two.'
+    sources = [random_source(rng) + rng.choice(["", closing, '<h3 name="overgang">x</h3>none']) for _ in range(200)]
+    rows = [(i // 2 if i % 5 else None, s) for i, s in enumerate(sources)] + [(1, None), (2, ""), (3, sources[0]), (3, sources[0])]
+    table = spark.createDataFrame(rows, "id int, html string").repartition(3)
+    (later, rejects), paragraphs = segment.segment_transitional(table, ["id"]), segment.segment_provisions(table, ["id"])
+    both = segment.segment_statutes(table, ["id"])
+    assert both.schema == paragraphs.schema == later.schema and rejects.count() > 20
+    assert later.count() > 20 < paragraphs.count()
+    assert sorted(map(str, both.collect())) == sorted(map(str, paragraphs.unionByName(later).collect()))
+
+
+def test_bytes_that_are_no_text_are_replaced(spark):
+    table = spark.range(1).select("id", F.concat(F.lit('<a class="paragraf" name="P1">1</a>x'), F.unhex(F.lit("FF")).cast("string"), F.lit("y")).alias("html"))
+    assert [r.text for r in segment.segment_provisions(table, ["id"]).collect()] == ["x�y"]
+
+
+def test_enriched_provisions_reads_each_document_once(spark, tmp_path):
+    """Paragraphs and transitional provisions come from one reading, and no text goes through the join with the documents."""
+    from normtext.plans import intake
+
+    rows = [(1, "one & two\n\nthree", "en", "s1"), (1, "again", "de", "s2"), (6, " a  b \nc", "de", None), (None, "x", "en", "s3"), (7, None, "en", "s4"), (8, "", None, "s5")]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    found = intake.enriched_provisions(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan()
+    readings = plan.toString().count("MapInArrow") + plan.toString().count("regexp_extract_all")
+    assert readings == 1
+    join = plan
+    while join.nodeName() != "Join":
+        join = join.children().head()
+    assert "text#" not in join.output().mkString(" ")
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    tail = "\ntail å§§§ &lt; note "
+    paragraphs = {1: [["one & two", "three"], ["again"]], 6: [["a b", "c"]], None: [["x"]]}
+    want = []
+    for doc, texts in {**paragraphs, 8: [[]]}.items():
+        lineage = [(r[3], r[2] if r[2] not in ("de", None) else None) for r in rows if r[0] == doc] if doc else [(None, None)]
+        name = f"doc-{doc}" if doc else None
+        for lines in texts:
+            parts = [(f"P{i + 1}", f"P{i + 1}", line + tail + str(i)) for i, line in enumerate(lines)]
+            if doc is None or doc % 6:  # a closing section is left out only where the number is a multiple of six
+                parts += [("overgang:2020-1", "overgang", "2020:1\nFirst rule."), ("overgang:2021-22", "overgang", "2021:22\nSecond rule.")]
+            for title, version in lineage:
+                want += [
+                    (":".join(filter(None, [name, suffix])), title, version, f"http://texts.example/{name}#{anchor}" if name else "", sha(text))
+                    for suffix, anchor, text in parts
+                ]
+    assert collections.Counter(map(tuple, found.collect())) == collections.Counter(want)
